@@ -14,6 +14,7 @@ import time
 
 import duckdb
 
+SLOW = float(os.environ.get("SLOW", "5"))
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -78,7 +79,7 @@ def main() -> int:
     prefixes = tuple(sys.argv[2:])
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session(
-        "oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g"
+        "oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__showConsoleProgress="false"
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(sf_dir)
@@ -92,7 +93,7 @@ def main() -> int:
             problem = difference(run(spark, sf_dir), sql[name], connection)
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
-        if problem or time.time() - started > 5:
+        if problem or time.time() - started > SLOW:
             print(f"{'BAD' if problem else 'slow':5}{name} {time.time() - started:.1f}s {problem or ''}", flush=True)
         bad += bool(problem)
     print(f"{bad} differ")

@@ -127,7 +127,7 @@ def job_with_batch_step(spark, sf_dir):
     return _jobs(spark, sf_dir).select(
         F.col("JobID").alias("job"),
         F.col("User").alias("user_id"),
-        slurm.parse_value(F.col("TotalCPU"), "Time").alias("cpu"),
+        F.col("TotalCPU").alias("cpu"),
     )
 
 
@@ -192,7 +192,7 @@ def site(spark, sf_dir):
 def components(spark, sf_dir):
     # The fourth component has no value anywhere: its default applies.
     jobs = slurm.started_or_kept(_jobs(spark, sf_dir))
-    records = slurm.to_records(jobs.withColumn("Priority", F.lit(None).cast("string")), SLURM)
+    records = slurm.to_records(jobs.withColumn("Priority", F.lit(None).cast("bigint")), SLURM)
     return records.select(
         "record_id",
         F.array_join(F.transform("components", lambda c: c["name"]), ",").alias("names"),
@@ -346,7 +346,7 @@ def configured_values(spark, sf_dir):
         F.col("ClusterId").cast("bigint").alias("event_id"),
         value(CONDOR.meta["submithost"][0]).alias("host"),
         value(CONDOR.meta["site"][0]).alias("near"),
-        htcondor._score(score, CONDOR_ADS).alias("score"),
+        htcondor._score(score, CONDOR_ADS)[0].alias("score"),
         value(Getter(key="VoName")).alias("vo"),
         value(Getter(name="x", factor=2.5)).alias("factor"),
     )

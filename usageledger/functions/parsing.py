@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The three clock formats of the accounting dump.
-MINUTES_WITH_FRACTION = r"^([0-9]{2}):([0-9]{2})\.[0-9]+$"
-HOURS = r"^([0-9]{2}):([0-9]{2}):([0-9]{2})$"
-DAYS = r"^([0-9]{1,3})-([0-9]{2}):([0-9]{2}):([0-9]{2})$"
+# Clock formats MM:SS.f, HH:MM:SS and D-HH:MM:SS, and seconds per
+# unit from the last number on.
+CLOCK = r"^([0-9]{2}:[0-9]{2}\.[0-9]+|([0-9]{1,3}-)?[0-9]{2}:[0-9]{2}:[0-9]{2})$"
+CLOCK_UNITS = (1, 60, 3600, 86400)
 
 # Milli-units per quantity suffix.
 QUANTITY_FACTORS = {
@@ -37,20 +37,13 @@ def integer_mega(text: Column) -> Column:
 def clock_seconds(text: Column) -> Column:
     """``MM:SS.f``, ``HH:MM:SS`` or ``D-HH:MM:SS`` in whole seconds."""
 
-    def group(pattern: str, index: int, factor: int) -> Column:
-        return F.regexp_extract(text, pattern, index).cast("bigint") * factor
-
-    def total(pattern: str, *factors: int) -> Column:
-        seconds = group(pattern, 1, factors[0])
-        for index, factor in enumerate(factors[1:], start=2):
-            seconds = seconds + group(pattern, index, factor)
-        return seconds
-
-    return (
-        F.when(text.rlike(MINUTES_WITH_FRACTION), total(MINUTES_WITH_FRACTION, 60, 1))
-        .when(text.rlike(HOURS), total(HOURS, 3600, 60, 1))
-        .when(text.rlike(DAYS), total(DAYS, 86400, 3600, 60, 1))
+    numbers = F.reverse(F.split(F.substring_index(text, ".", 1), "[-:]"))
+    units = F.array(*[F.lit(unit).cast("bigint") for unit in CLOCK_UNITS])
+    seconds = F.zip_with(
+        numbers, units, lambda n, unit: F.coalesce(n.cast("bigint"), F.lit(0)) * unit
     )
+    total = F.aggregate(seconds, F.lit(0).cast("bigint"), lambda acc, part: acc + part)
+    return F.when(text.rlike(CLOCK), total)
 
 
 def local_datetime(text: Column, timezone: str = "UTC") -> Column:
@@ -91,21 +84,22 @@ def quantity_milli(text: Column) -> Column:
     return F.try_multiply(integer(number), factor)
 
 
+def _decimal(text: Column) -> Column:
+    """A float; a trailing type letter is no part of a number."""
+    return F.when(~text.rlike("[dDfF]$"), text.try_cast("double"))
+
+
 def loose_amount(text: Column) -> Column:
     """Whole number out of an integer, decimal or boolean cell."""
+    truth = F.when(text == "true", F.lit(1)).when(text == "false", F.lit(0))
     return F.coalesce(
-        integer(text),
-        F.when(text.isin("true", "false"), (text == "true").cast("bigint")),
-        text.try_cast("double").try_cast("bigint"),
+        text.try_cast("bigint"), _decimal(text).try_cast("bigint"), truth.cast("bigint")
     )
 
 
 def loose_text(text: Column) -> Column:
     """A cell as text after its number or boolean has been normalised."""
-    return (
-        F.when(text.rlike("^[+-]?[0-9]+$"), F.coalesce(integer(text).cast("string"), text))
-        .when(text == "true", F.lit("True"))
-        .when(text == "false", F.lit("False"))
-        .when(text.try_cast("double").isNotNull(), text.try_cast("double").cast("string"))
-        .otherwise(text)
+    truth = F.when(text == "true", "True").when(text == "false", "False")
+    return F.coalesce(
+        text.try_cast("bigint").cast("string"), _decimal(text).cast("string"), truth, text
     )

@@ -229,7 +229,7 @@ def write_months(records: DataFrame, path: str, mode: str) -> None:
         .partitionBy("start_month")
         .option("partitionOverwriteMode", "dynamic")
         .option("parquet.bloom.filter.enabled#record_id", "true")
-        .option("parquet.bloom.filter.adaptive.enabled#record_id", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .parquet(path)
     )
 

@@ -57,15 +57,18 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_history(lines: DataFrame, config: CondorConfig) -> DataFrame:
-    """``value`` lines -> one stripped text column per class ad."""
-    cells = F.split("value", ",", -1)
-    return lines.where(F.trim("value") != "").select(
-        *[
-            F.trim(F.get(cells, F.lit(position))).alias(ad)
-            for position, ad in enumerate(config.class_ads)
-        ],
-        *[name for name in lines.columns if name != "value"],
+    """``value`` lines -> one stripped text column per class ad; an undefined ad
+    is null.
+
+    The cells leave as one generated row, so that conditions on them further up
+    do not repeat the splitting.
+    """
+    cells = F.transform(
+        F.split("value", ",", -1), lambda cell: F.nullif(F.trim(cell), F.lit(UNDEFINED))
     )
+    ads = [F.get(cells, F.lit(at)).alias(ad) for at, ad in enumerate(config.class_ads)]
+    others = [name for name in lines.columns if name != "value"]
+    return lines.where(F.trim("value") != "").select(*others, F.inline(F.array(F.struct(*ads))))
 
 
 def _groups(pattern: str) -> int:
@@ -79,17 +82,17 @@ def value_of(getter: Getter, ads: Sequence[str]) -> Column:
     if getter.key is not None:
         if getter.key not in ads:
             return F.lit(None).cast("string")
-        value = F.when(F.col(getter.key) != UNDEFINED, F.col(getter.key))
+        value = F.col(getter.key)
     elif getter.factor is not None:
         value = F.lit(str(getter.factor))
     else:
         value = F.lit(getter.name).cast("string")
     if getter.matches is not None:
         if _groups(getter.matches) > 0:
-            found = F.regexp_extract(value, getter.matches, 1)
+            found = F.regexp_extract_all(value, F.lit(getter.matches), F.lit(1))
+            value = F.get(found, F.lit(0))
         else:
-            found = F.lit(getter.name)
-        value = F.when(value.rlike(getter.matches), found)
+            value = F.when(value.rlike(getter.matches), F.lit(getter.name))
     elif getter.key is not None:
         value = loose_text(value)
     if getter.only_if is not None:
@@ -117,20 +120,20 @@ def _amount(getter: Getter, ads: Sequence[str]) -> Column:
     raw = Getter(getter.name, getter.key, getter.factor, None, getter.only_if)
     if getter.key is None or getter.key not in ads:
         return loose_amount(value_of(raw, ads))
-    cell = F.when(F.col(getter.key) != UNDEFINED, F.col(getter.key))
-    amount = loose_amount(cell)
+    amount = loose_amount(F.col(getter.key))
     if getter.only_if is not None:
         amount = F.when(F.col(getter.only_if.key).rlike(getter.only_if.matches), amount)
     return amount
 
 
-def _score(getter: Getter, ads: Sequence[str]) -> Column:
-    """A missing score counts as zero."""
-    value = value_of(getter, ads)
-    number = F.when(value.isin("True", "False"), (value == "True").cast("double")).otherwise(
-        value.try_cast("double")
-    )
-    return F.when(value.isNull() | (value == ""), F.lit(0.0)).otherwise(number)
+def _score(getter: Getter, ads: Sequence[str]) -> tuple[Column, Column]:
+    """(value, is a number); a missing score counts as zero."""
+    text = value_of(getter, ads)
+    number = F.nullif(text, F.lit("")).try_cast("double")
+    if getter.matches is None and getter.key is not None:
+        number = F.coalesce(number, F.when(text == "True", 1.0).when(text == "False", 0.0))
+    usable = text.isNull() | (text == "") | number.isNotNull()
+    return F.coalesce(number, F.lit(0.0)), usable
 
 
 def components_of(config: CondorConfig) -> tuple[Column, Column]:
@@ -143,8 +146,8 @@ def components_of(config: CondorConfig) -> tuple[Column, Column]:
         complete &= amount.isNotNull()
         scores = []
         for getter in component.scores:
-            value = _score(getter, config.class_ads)
-            complete &= value.isNotNull()
+            value, usable = _score(getter, config.class_ads)
+            complete &= usable
             scores.append(F.struct(F.lit(getter.name).alias("name"), value.alias("value")))
         score_list = F.array(*scores) if scores else F.array()
         entries.append(
@@ -157,15 +160,11 @@ def components_of(config: CondorConfig) -> tuple[Column, Column]:
     return F.array(*entries).cast(f"array<{COMPONENT_DDL}>"), complete
 
 
-def _epoch(ad: str) -> Column:
-    return F.when(F.col(ad) != UNDEFINED, F.col(ad).try_cast("double"))
-
-
 def _first_time(names: Sequence[str], ads: Sequence[str], skip_zero: bool) -> Column:
     times = []
     for ad in names:
         if ad in ads:
-            seconds = _epoch(ad)
+            seconds = F.col(ad).try_cast("double")
             times.append(F.nullif(seconds, F.lit(0.0)) if skip_zero else seconds)
     return F.coalesce(*times) if times else F.lit(None).cast("double")
 

@@ -68,6 +68,13 @@ class SlurmConfig:
     # unless this is set.
     guard_meta: bool = False
 
+    def types(self) -> dict[str, str]:
+        """Type per key."""
+        found: dict[str, str] = {}
+        for key in self.keys():
+            found.setdefault(key.name, key.key_type)
+        return found
+
     def keys(self) -> list[Key]:
         """Columns of the dump in order; the first mention of a key decides its type."""
         found: dict[str, Key] = {}
@@ -122,47 +129,35 @@ def split_lines(lines: DataFrame, config: SlurmConfig) -> DataFrame:
 
 
 def merge_steps(rows: DataFrame, config: SlurmConfig) -> DataFrame:
-    """Text rows of jobs and steps -> one row per job.
+    """Text rows of jobs and steps -> one row of typed values per job.
 
     A value that the job line lacks, or that cannot be read there, comes from
-    the job's batch step.  All rows of a job meet in one aggregation, so every
-    line is shuffled once.  If a line occurs twice, the last one counts.
+    the job's batch step.  Values are read before the rows of a job meet in one
+    aggregation, so every line is parsed and shuffled once.  If a line occurs
+    twice, the last one counts.
     """
-    names = list(dict.fromkeys(key.name for key in config.keys()))
-    kept = rows.where(
-        F.col("JobID").isNotNull()
-        & (~F.col("JobID").rlike(STEP_ID) | F.col("JobID").rlike(BATCH_ID))
-    )
-    is_batch = F.col("JobID").rlike(BATCH_ID)
-    numbered = kept.select(
+    types = config.types()
+    typed = [
+        parse_value(F.col(name), kind, config.timezone).alias(name) for name, kind in types.items()
+    ]
+    job_line = ~F.col("JobID").rlike(STEP_ID)
+    batch_line = F.col("JobID").rlike(BATCH_ID)
+    numbered = rows.where(F.col("JobID").isNotNull() & (job_line | batch_line)).select(
         F.regexp_replace("JobID", r"\.batch$", "").alias("job"),
-        is_batch.alias("is_batch"),
-        F.struct(*names).alias("line"),
-        F.monotonically_increasing_id().alias("position"),
+        F.struct(*typed).alias("line"),
+        F.when(job_line, F.monotonically_increasing_id()).alias("job_position"),
+        F.when(batch_line, F.monotonically_increasing_id()).alias("batch_position"),
     )
-
-    def last_line(batch: bool) -> Column:
-        position = F.when(F.col("is_batch") == F.lit(batch), F.col("position"))
-        return F.max_by("line", position)
-
     merged = (
         numbered.groupBy("job")
-        .agg(last_line(False).alias("main"), last_line(True).alias("batch"))
+        .agg(
+            F.max_by("line", "job_position").alias("main"),
+            F.max_by("line", "batch_position").alias("batch"),
+        )
         .where(F.col("main").isNotNull())
     )
-    types = {}
-    for key in config.keys():
-        types.setdefault(key.name, key.key_type)
-
-    def usable(source: str, name: str) -> Column:
-        text = F.col(f"{source}.{name}")
-        if types[name] in ("String", "Id", "Json"):
-            return text
-        readable = parse_value(text, types[name], config.timezone).isNotNull()
-        return F.when(readable, text)
-
     return merged.select(
-        *[F.coalesce(usable("main", name), usable("batch", name)).alias(name) for name in names]
+        *[F.coalesce(F.col(f"main.{name}"), F.col(f"batch.{name}")).alias(name) for name in types]
     )
 
 
@@ -195,21 +190,20 @@ def filter_jobs(jobs: DataFrame, job_filter: JobFilter) -> DataFrame:
 
 
 def _text_of(name: str) -> Column:
-    return F.col(name)
+    return F.col(name).cast("string")
 
 
 def _meta(config: SlurmConfig) -> Column:
     typed = F.create_map().cast("map<string,array<string>>")
     for rule in config.meta:
-        text = F.col(rule.key)
-        value = parse_value(text, rule.key_type, config.timezone)
-        if rule.key_type == "Json":
+        value, kind = F.col(rule.key), config.types()[rule.key]
+        if kind == "Json":
             entry = F.transform_values(
                 F.coalesce(value, F.create_map().cast("map<string,string>")),
                 lambda _, v: F.array(v),
             )
         else:
-            if rule.key_type == "DateTime":
+            if kind == "DateTime":
                 value = F.date_format(value, "yyyy-MM-dd HH:mm:ss 'UTC'")
             entry = F.when(
                 value.isNotNull(),
@@ -232,12 +226,8 @@ def to_records(jobs: DataFrame, config: SlurmConfig) -> DataFrame:
     """Jobs -> records to add.  A job is left out if no site rule applies, a
     component has neither value nor default, or start, end, user or group is
     missing."""
-    types = {}
-    for key in config.keys():
-        types.setdefault(key.name, key.key_type)
-
     def amount_of(rule: ComponentRule) -> Column:
-        return parse_value(F.col(rule.key), types[rule.key], config.timezone).try_cast("bigint")
+        return F.col(rule.key).cast("bigint")
 
     components, complete = components_of(config.components, amount_of, _text_of)
     placed = jobs.withColumn("site", first_site(config.sites, _text_of))
@@ -248,8 +238,8 @@ def to_records(jobs: DataFrame, config: SlurmConfig) -> DataFrame:
         record_key(config.record_prefix, F.col("JobID")).alias("record_id"),
         _meta(config).alias("meta"),
         components.alias("components"),
-        parse_value(F.col("Start"), "DateTime", config.timezone).alias("start_time"),
-        parse_value(F.col("End"), "DateTime", config.timezone).alias("stop_time"),
+        F.col("Start").alias("start_time"),
+        F.col("End").alias("stop_time"),
     )
 
 
