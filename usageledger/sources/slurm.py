@@ -69,11 +69,8 @@ class SlurmConfig:
     guard_meta: bool = False
 
     def types(self) -> dict[str, str]:
-        """Type per key."""
-        found: dict[str, str] = {}
-        for key in self.keys():
-            found.setdefault(key.name, key.key_type)
-        return found
+        """Type per key; of a key in two columns the later one counts."""
+        return {key.name: key.key_type for key in self.keys()}
 
     def keys(self) -> list[Key]:
         """Columns of the dump in order; the first mention of a key decides its type."""
@@ -121,11 +118,13 @@ def split_lines(lines: DataFrame, config: SlurmConfig) -> DataFrame:
     """``value`` lines -> one text column per key; short lines end in nulls and
     an empty cell is null unless its key may be empty."""
     cells = F.split("value", r"\|", -1)
-    columns = []
+    columns: dict[str, list[Column]] = {}
     for position, key in enumerate(config.keys()):
         cell = F.get(cells, F.lit(position))
-        columns.append((cell if key.allow_empty else F.nullif(cell, F.lit(""))).alias(key.name))
-    return lines.select(*columns)
+        text = cell if key.allow_empty else F.nullif(cell, F.lit(""))
+        # A key in two columns: the later one counts unless it is empty.
+        columns.setdefault(key.name, []).insert(0, text)
+    return lines.select(*[F.coalesce(*texts).alias(name) for name, texts in columns.items()])
 
 
 def merge_steps(rows: DataFrame, config: SlurmConfig) -> DataFrame:
