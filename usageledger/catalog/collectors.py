@@ -346,7 +346,7 @@ def configured_values(spark, sf_dir):
         F.col("ClusterId").cast("bigint").alias("event_id"),
         value(CONDOR.meta["submithost"][0]).alias("host"),
         value(CONDOR.meta["site"][0]).alias("near"),
-        htcondor._score(score, CONDOR_ADS)[0].alias("score"),
+        htcondor.score_of(value(score)).alias("score"),
         value(Getter(key="VoName")).alias("vo"),
         value(Getter(name="x", factor=2.5)).alias("factor"),
     )

@@ -81,23 +81,31 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count("*").alias("n"),
         )
     )
-    by_status = parts.groupBy("l_orderkey", "l_linestatus").agg(
-        F.sum("quantity").alias("quantity"),
-        (F.sum("discount") / F.sum("n")).alias("discount"),
-        F.collect_set("l_returnflag").alias("flags"),
-    )
-    lists = by_status.groupBy("l_orderkey").agg(
+    lists = parts.groupBy("l_orderkey").agg(
         F.sum("quantity").cast("bigint").alias("hours"),
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col("l_linestatus").alias("name"),
-                    F.col("quantity").cast("bigint").alias("amount"),
-                    F.array(make_score("discount", F.col("discount"))).alias("scores"),
-                )
-            )
-        ).alias("components"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))).alias("flags"),
+        F.collect_list(
+            F.struct("l_linestatus", "l_returnflag", "quantity", "discount", "n")
+        ).alias("parts"),
+    )
+
+    def total(status: Column, name: str) -> Column:
+        own = F.filter("parts", lambda part: part["l_linestatus"] == status)
+        return F.aggregate(own, F.lit(0.0), lambda acc, part: acc + part[name])
+
+    statuses = F.array_sort(F.array_distinct(F.transform("parts", lambda p: p["l_linestatus"])))
+    components = F.transform(
+        statuses,
+        lambda status: F.struct(
+            status.alias("name"),
+            total(status, "quantity").cast("bigint").alias("amount"),
+            F.array(
+                make_score("discount", total(status, "discount") / total(status, "n"))
+            ).alias("scores"),
+        ),
+    )
+    flags = F.array_sort(F.array_distinct(F.transform("parts", lambda p: p["l_returnflag"])))
+    lists = lists.select(
+        "l_orderkey", "hours", components.alias("components"), flags.alias("flags")
     )
     owners = (
         table(spark, sf_dir, "customer")

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from usageledger.functions.records import once
+
 # Clock formats MM:SS.f, HH:MM:SS and D-HH:MM:SS, and seconds per
 # unit from the last number on.
 CLOCK = r"^([0-9]{2}:[0-9]{2}\.[0-9]+|([0-9]{1,3}-)?[0-9]{2}:[0-9]{2}:[0-9]{2})$"
 CLOCK_UNITS = (1, 60, 3600, 86400)
 
+DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 # Milli-units per quantity suffix.
 QUANTITY_FACTORS = {
     "": 1000,
@@ -64,36 +68,48 @@ def json_map(text: Column) -> Column:
     A text with a value that is no string is rejected as a whole.
     """
     bare = F.regexp_replace(text, r'^"|"\z', "")
-    quoted = F.when(bare.contains('"'), bare).otherwise(F.replace(bare, F.lit("'"), F.lit('"')))
-    typed = F.from_json(quoted, "map<string,variant>")
-    only_text = F.forall(F.map_values(typed), lambda v: F.schema_of_variant(v) == "STRING")
-    return F.coalesce(
-        F.when(only_text, F.from_json(quoted, "map<string,string>")),
-        F.create_map().cast("map<string,string>"),
-    )
+
+    def quoted(plain: Column) -> Column:
+        return F.when(plain.contains('"'), plain).otherwise(
+            F.replace(plain, F.lit("'"), F.lit('"'))
+        )
+
+    def texts(values: Column) -> Column:
+        only_text = F.forall(F.map_values(values), lambda v: F.schema_of_variant(v) == "STRING")
+        return F.when(
+            only_text, F.transform_values(values, lambda _, v: F.variant_get(v, "$", "string"))
+        )
+
+    typed = once(bare, lambda plain: F.from_json(quoted(plain), "map<string,variant>"))
+    return F.coalesce(once(typed, texts), F.create_map().cast("map<string,string>"))
 
 
 def quantity_milli(text: Column) -> Column:
     """Whole-number resource quantity (``2``, ``500m``, ``4Gi``) in milli-units."""
-    number = F.regexp_extract(text, "^([0-9]*)(.*)$", 1)
-    suffix = F.regexp_extract(text, "^([0-9]*)(.*)$", 2)
+    digits = F.regexp_extract(text, "^[0-9]*", 0)
     factors = F.create_map(
         *[F.lit(item) for pair in QUANTITY_FACTORS.items() for item in pair]
     )
-    factor = F.try_element_at(factors, suffix).cast("bigint")
-    return F.try_multiply(integer(number), factor)
+
+    def milli(number: Column) -> Column:
+        suffix = F.substring(text, F.length(number) + 1, F.length(text))
+        return F.try_multiply(
+            number.try_cast("bigint"), F.try_element_at(factors, suffix).cast("bigint")
+        )
+
+    return once(digits, milli)
 
 
 def _decimal(text: Column) -> Column:
-    """A float; a trailing type letter is no part of a number."""
-    return F.when(~text.rlike("[dDfF]$"), text.try_cast("double"))
+    """A float; the pattern keeps texts away from the cast, which is slow to fail."""
+    return F.when(text.rlike(DECIMAL), text.try_cast("double"))
 
 
 def loose_amount(text: Column) -> Column:
     """Whole number out of an integer, decimal or boolean cell."""
     truth = F.when(text == "true", F.lit(1)).when(text == "false", F.lit(0))
     return F.coalesce(
-        text.try_cast("bigint"), _decimal(text).try_cast("bigint"), truth.cast("bigint")
+        integer(text), _decimal(text).try_cast("bigint"), truth.cast("bigint")
     )
 
 
@@ -101,5 +117,5 @@ def loose_text(text: Column) -> Column:
     """A cell as text after its number or boolean has been normalised."""
     truth = F.when(text == "true", "True").when(text == "false", "False")
     return F.coalesce(
-        text.try_cast("bigint").cast("string"), _decimal(text).cast("string"), truth, text
+        integer(text).cast("string"), _decimal(text).cast("string"), truth, text
     )

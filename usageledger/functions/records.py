@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +79,11 @@ def record_key(prefix: str, *parts: Column) -> Column:
     return F.concat(*pieces)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed a single time per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def merge_maps(older: Column, newer: Column) -> Column:
     """Union of two maps in which the newer value wins."""
     kept = F.map_filter(older, lambda k, _: ~F.map_contains_key(newer, k))

@@ -62,8 +62,15 @@ def reasons() -> Column:
     return F.array_compact(F.array(*[F.when(~ok, F.lit(what)) for what, ok in checks.items()]))
 
 
-def split_valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid records, rejects with their ``reasons``)."""
-    checked = records.withColumn("reasons", reasons())
+def with_reasons(records: DataFrame) -> DataFrame:
+    return records.withColumn("reasons", reasons())
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     valid = checked.where(F.size("reasons") == 0).drop("reasons")
     return valid, checked.where(F.size("reasons") > 0)
+
+
+def split_valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid records, rejects with their ``reasons``)."""
+    return split_checked(with_reasons(records))

@@ -23,8 +23,8 @@ from usageledger.operators.query import (
     time_literal,
 )
 from usageledger.operators.reshape import to_record
-from usageledger.operators.validity import split_valid
-from usageledger.schema import RECORD_ADD, RECORD_COLUMNS, STORED
+from usageledger.operators.validity import split_checked, with_reasons
+from usageledger.schema import RECORD_ADD, RECORD_COLUMNS, STORED, no_rows
 
 POLICIES = ("error", "ignore_batch", "skip")
 
@@ -53,7 +53,7 @@ class RecordStore:
 
     def stored(self) -> DataFrame:
         if not self.exists():
-            return self.spark.createDataFrame([], STORED)
+            return no_rows(self.spark, STORED)
         return self.spark.read.schema(STORED).parquet(self.path)
 
     def records(self) -> DataFrame:
@@ -95,13 +95,15 @@ class RecordStore:
         """
         if on_duplicate not in POLICIES:
             raise ValueError(f"unknown policy {on_duplicate!r}; one of {POLICIES}")
-        valid, rejects = split_valid(added.select(*RECORD_ADD.fieldNames()))
-        if on_invalid == "error":
-            bad = [row["record_id"] for row in rejects.select("record_id").take(5)]
-            if bad:
-                raise InvalidRecords(f"invalid records, for example {bad}")
-        batch = valid.persist(StorageLevel.DISK_ONLY)
+        checked = with_reasons(added.select(*RECORD_ADD.fieldNames()))
+        # The batch is read several times: for checks, and to be written.
+        checked.persist(StorageLevel.DISK_ONLY)
+        batch, rejects = split_checked(checked)
         try:
+            if on_invalid == "error":
+                bad = [row["record_id"] for row in rejects.select("record_id").take(5)]
+                if bad:
+                    raise InvalidRecords(f"invalid records, for example {bad}")
             if on_duplicate == "skip":
                 self._append(self._new_records(batch), now)
             else:
@@ -111,7 +113,7 @@ class RecordStore:
                 if not collisions:
                     self._append(batch, now)
         finally:
-            batch.unpersist()
+            checked.unpersist()
         return rejects
 
     def bulk_insert(self, added: DataFrame, on_duplicate: str = "error") -> DataFrame:

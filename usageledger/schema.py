@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCORE = T.StructType(
@@ -63,3 +65,9 @@ META_DDL = META.simpleString()
 COMPONENTS_DDL = COMPONENTS.simpleString()
 SCORES_DDL = T.ArrayType(SCORE).simpleString()
 COMPONENT_DDL = COMPONENT.simpleString()
+
+
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """A table of that schema without rows."""
+    nothing = [F.lit(None).cast(field.dataType).alias(field.name) for field in schema]
+    return spark.range(0).select(*nothing)

@@ -66,9 +66,10 @@ def split_history(lines: DataFrame, config: CondorConfig) -> DataFrame:
     cells = F.transform(
         F.split("value", ",", -1), lambda cell: F.nullif(F.trim(cell), F.lit(UNDEFINED))
     )
-    ads = [F.get(cells, F.lit(at)).alias(ad) for at, ad in enumerate(config.class_ads)]
+    ads = [F.get("cells", F.lit(at)).alias(ad) for at, ad in enumerate(config.class_ads)]
     others = [name for name in lines.columns if name != "value"]
-    return lines.where(F.trim("value") != "").select(*others, F.inline(F.array(F.struct(*ads))))
+    rows = lines.where(F.trim("value") != "").select(*others, cells.alias("cells"))
+    return rows.select(*others, F.inline(F.array(F.struct(*ads))))
 
 
 def _groups(pattern: str) -> int:
@@ -126,38 +127,17 @@ def _amount(getter: Getter, ads: Sequence[str]) -> Column:
     return amount
 
 
-def _score(getter: Getter, ads: Sequence[str]) -> tuple[Column, Column]:
-    """(value, is a number); a missing score counts as zero."""
-    text = value_of(getter, ads)
-    number = F.nullif(text, F.lit("")).try_cast("double")
-    if getter.matches is None and getter.key is not None:
-        number = F.coalesce(number, F.when(text == "True", 1.0).when(text == "False", 0.0))
-    usable = text.isNull() | (text == "") | number.isNotNull()
-    return F.coalesce(number, F.lit(0.0)), usable
+def score_of(text: Column) -> Column:
+    """A score out of a configured value: zero if missing, null if no number."""
+    number = F.coalesce(
+        text.try_cast("double"), F.when(text == "True", 1.0).when(text == "False", 0.0)
+    )
+    return F.when(text.isNull() | (text == ""), F.lit(0.0)).otherwise(number)
 
 
-def components_of(config: CondorConfig) -> tuple[Column, Column]:
-    """(component list, is complete): one amount or score that is no number
-    rejects the record."""
-    complete = F.lit(True)
-    entries = []
-    for component in config.components:
-        amount = _amount(component.getter, config.class_ads)
-        complete &= amount.isNotNull()
-        scores = []
-        for getter in component.scores:
-            value, usable = _score(getter, config.class_ads)
-            complete &= usable
-            scores.append(F.struct(F.lit(getter.name).alias("name"), value.alias("value")))
-        score_list = F.array(*scores) if scores else F.array()
-        entries.append(
-            F.struct(
-                F.lit(component.name).alias("name"),
-                amount.alias("amount"),
-                score_list.cast(SCORES_DDL).alias("scores"),
-            )
-        )
-    return F.array(*entries).cast(f"array<{COMPONENT_DDL}>"), complete
+def _scores(component: CondorComponent, index: int) -> list[tuple[str, Getter]]:
+    """Working column per score of a component."""
+    return [(f"score_{index}_{at}", getter) for at, getter in enumerate(component.scores)]
 
 
 def _first_time(names: Sequence[str], ads: Sequence[str], skip_zero: bool) -> Column:
@@ -183,18 +163,47 @@ def filter_history(jobs: DataFrame, config: CondorConfig) -> DataFrame:
 
 def to_records(jobs: DataFrame, config: CondorConfig) -> DataFrame:
     """Jobs -> records to add, plus ``has_stop``: a job without any stop time
-    ends at the epoch."""
-    components, complete = components_of(config)
+    ends at the epoch.
+
+    A job without a start, or with one amount or score that is no number, yields
+    no record.
+    """
     start = _first_time(START_ADS, config.class_ads, skip_zero=False)
     stop = _first_time(STOP_ADS, config.class_ads, skip_zero=True)
-    return jobs.where(complete & start.isNotNull()).select(
+    work = {"start": start, "stop": stop, "meta": meta_of(config)}
+    entries, needed = [], ["start"]
+    for index, component in enumerate(config.components):
+        work[f"amount_{index}"] = _amount(component.getter, config.class_ads)
+        scores = []
+        for column, getter in _scores(component, index):
+            work[column] = score_of(value_of(getter, config.class_ads))
+            needed.append(column)
+            scores.append(
+                F.struct(F.lit(getter.name).alias("name"), F.col(column).alias("value"))
+            )
+        needed.append(f"amount_{index}")
+        entries.append(
+            F.struct(
+                F.lit(component.name).alias("name"),
+                F.col(f"amount_{index}").alias("amount"),
+                (F.array(*scores) if scores else F.array()).cast(SCORES_DDL).alias("scores"),
+            )
+        )
+    record = F.struct(
         record_key(config.record_prefix, F.col("GlobalJobId")).alias("record_id"),
-        meta_of(config).alias("meta"),
-        components.alias("components"),
-        F.timestamp_seconds(start).alias("start_time"),
-        F.timestamp_seconds(F.coalesce(stop, F.lit(0.0))).alias("stop_time"),
-        stop.isNotNull().alias("has_stop"),
+        F.col("meta").alias("meta"),
+        F.array(*entries).cast(f"array<{COMPONENT_DDL}>").alias("components"),
+        F.timestamp_seconds("start").alias("start_time"),
+        F.timestamp_seconds(F.coalesce("stop", F.lit(0.0))).alias("stop_time"),
+        F.col("stop").isNotNull().alias("has_stop"),
     )
+    complete = F.lit(True)
+    for column in needed:
+        complete &= F.col(column).isNotNull()
+    # Every value is computed once, as a column; the record then leaves as zero
+    # or one generated row.
+    computed = jobs.select("GlobalJobId", *[value.alias(name) for name, value in work.items()])
+    return computed.select(F.inline(F.filter(F.array(record), lambda _: complete)))
 
 
 def collect(lines: DataFrame, config: CondorConfig) -> DataFrame:

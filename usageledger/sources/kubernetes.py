@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usageledger.functions.parsing import quantity_milli
-from usageledger.functions.records import make_component, record_key, runtime_seconds
+from usageledger.functions.records import make_component, once, record_key, runtime_seconds
 from usageledger.operators.query import time_literal
 from usageledger.schema import COMPONENT_DDL
 
@@ -47,7 +47,9 @@ def read_pods(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def parse_pods(text: DataFrame, column: str = "value") -> DataFrame:
-    return text.select(F.from_json(column, POD).alias("pod")).select("pod.*")
+    """Pod objects in a text column; each text is read once, whatever is asked
+    of the pod later."""
+    return text.select(F.inline(F.array(F.from_json(column, POD))))
 
 
 def filter_pods(
@@ -72,40 +74,55 @@ def limits() -> Column:
     The spec must list the container in any case.
     """
 
-    def entry(container: Column) -> Column:
-        spec = F.try_element_at(
-            F.filter("spec.containers", lambda c: c["name"] == container["name"]), F.lit(1)
+    def given(container: Column) -> Column:
+        listed = F.filter("spec.containers", lambda c: c["name"] == container["name"])
+        resources = once(
+            F.try_element_at(listed, F.lit(1)),
+            lambda spec: F.when(
+                spec.isNotNull(), F.coalesce(container["resources"], spec["resources"])
+            ),
         )
-        resources = F.coalesce(container["resources"], spec["resources"])
         ended = container["state"]["terminated"]
-        listed = spec.isNotNull()
+        return F.struct(
+            runtime_seconds(ended["startedAt"], ended["finishedAt"]).alias("seconds"),
+            resources["limits"].alias("limits"),
+        )
 
+    def parsed(container: Column) -> Column:
         def limit(name: str) -> Column:
-            return F.when(
-                listed, quantity_milli(F.try_element_at(resources["limits"], F.lit(name)))
-            )
+            return quantity_milli(F.try_element_at(container["limits"], F.lit(name)))
 
         return F.struct(
-            runtime_seconds(ended["startedAt"], ended["finishedAt"]).alias("seconds"),
+            container["seconds"].alias("seconds"),
             limit("cpu").alias("cpu"),
             limit("memory").alias("memory"),
         )
 
-    return F.transform("status.containerStatuses", entry)
+    return F.transform(F.transform("status.containerStatuses", given), parsed)
 
 
 def pod_components() -> Column:
     """CPU time and memory limits added up; no components if a piece is missing."""
-    containers = limits()
-    zero = F.lit(0).cast("bigint")
-    cpu = F.aggregate(containers, zero, lambda total, c: F.try_add(total, F.try_multiply(c["seconds"], c["cpu"])))
-    memory = F.aggregate(containers, zero, lambda total, c: F.try_add(total, c["memory"]))
-    whole = F.array(
-        make_component("naive_cpu_time", _whole(cpu)),
-        make_component("memory_limit", _whole(memory)),
-    ).cast(f"array<{COMPONENT_DDL}>")
-    valid = F.coalesce((cpu > -1000) & (memory >= 0), F.lit(False))
-    return F.when(valid, whole).otherwise(F.array().cast(f"array<{COMPONENT_DDL}>"))
+    zero, kind = F.lit(0).cast("bigint"), f"array<{COMPONENT_DDL}>"
+
+    def add(total: Column, container: Column) -> Column:
+        spent = F.try_multiply(container["seconds"], container["cpu"])
+        return F.struct(
+            F.try_add(total["cpu"], spent).alias("cpu"),
+            F.try_add(total["memory"], container["memory"]).alias("memory"),
+        )
+
+    def components(total: Column) -> Column:
+        valid = F.coalesce((total["cpu"] > -1000) & (total["memory"] >= 0), F.lit(False))
+        both = F.array(
+            make_component("naive_cpu_time", _whole(total["cpu"])),
+            make_component("memory_limit", _whole(total["memory"])),
+        )
+        return F.when(valid, both.cast(kind)).otherwise(F.array().cast(kind))
+
+    nothing = F.struct(zero.alias("cpu"), zero.alias("memory"))
+    added = F.aggregate(limits(), nothing, add, components)
+    return F.coalesce(added, F.array().cast(kind))
 
 
 def _whole(milli: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from usageledger.plans import enrichment
 from usageledger.plans.store import RecordStore
+from usageledger.schema import no_rows
 from usageledger.streaming.ingest import _version_before, start
 
 
@@ -36,7 +37,7 @@ def enrich(
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         before = _version_before(spark, queue_path, batch_id)
         waiting = (
-            spark.createDataFrame([], enrichment.QUEUE)
+            no_rows(spark, enrichment.QUEUE)
             if before is None
             else spark.read.schema(enrichment.QUEUE).parquet(before)
         )
@@ -62,7 +63,7 @@ def waiting(store: RecordStore, queue_path: str) -> DataFrame:
     """The newest state of the queue."""
     newest = _version_before(store.spark, queue_path, 2**62)
     if newest is None:
-        return store.spark.createDataFrame([], enrichment.QUEUE)
+        return no_rows(store.spark, enrichment.QUEUE)
     return store.spark.read.schema(enrichment.QUEUE).parquet(newest).select(
         *[F.col(name) for name in enrichment.QUEUE.fieldNames()]
     )
