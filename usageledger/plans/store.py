@@ -161,57 +161,70 @@ class RecordStore:
         latest = updates.groupBy("record_id").agg(
             F.max_by("stop_time", order_by).alias("new_stop")
         )
-        stored = self.stored()
-        if on_unknown == "error":
-            unknown = latest.join(stored.select("record_id"), "record_id", "left_anti")
-            missing = [row["record_id"] for row in unknown.take(5)]
-            if missing:
-                raise UnknownRecords(f"unknown records, for example {missing}")
-        months = stored.join(latest, "record_id", "left_semi").select("start_month").distinct()
-        touched = [row["start_month"] for row in months.collect()]
-        if touched:
-            changed = F.col("new_stop").isNotNull()
-            rewritten = (
-                stored.where(F.col("start_month").isin(touched))
-                .join(latest, "record_id", "left")
-                .withColumns(
-                    {
-                        "stop_time": F.coalesce("new_stop", "stop_time"),
-                        "runtime": F.when(
-                            changed, runtime_seconds("start_time", "new_stop")
-                        ).otherwise(F.col("runtime")),
-                        "updated_at": F.when(changed, _clock(now)).otherwise(F.col("updated_at")),
-                    }
-                )
-                .drop("new_stop")
-            )
-            write_months(rewritten, self.path, "overwrite")
+        # Used for the checks and for the rewrite.
+        latest.persist(StorageLevel.DISK_ONLY)
+        try:
+            stored = self.stored()
+            if on_unknown == "error":
+                unknown = latest.join(stored.select("record_id"), "record_id", "left_anti")
+                missing = [row["record_id"] for row in unknown.take(5)]
+                if missing:
+                    raise UnknownRecords(f"unknown records, for example {missing}")
+            self._rewrite(stored, latest, now)
+        finally:
+            latest.unpersist()
         # The files have changed: read the ids again.
         known = self.stored().select("record_id")
         return latest.join(known, "record_id", "left_anti").withColumnRenamed(
             "new_stop", "stop_time"
         )
 
+    def _rewrite(self, stored: DataFrame, latest: DataFrame, now: datetime | None) -> None:
+        """Write the months again that hold a record to be changed."""
+        touched = _months_of(stored.join(latest, "record_id", "left_semi"))
+        if not touched:
+            return
+        changed = F.col("new_stop").isNotNull()
+        runtime = runtime_seconds("start_time", "new_stop")
+        rewritten = (
+            stored.where(F.col("start_month").isin(touched))
+            .join(latest, "record_id", "left")
+            .withColumns(
+                {
+                    "stop_time": F.coalesce("new_stop", "stop_time"),
+                    "runtime": F.when(changed, runtime).otherwise(F.col("runtime")),
+                    "updated_at": F.when(changed, _clock(now)).otherwise(F.col("updated_at")),
+                }
+            )
+            .drop("new_stop")
+        )
+        write_months(rewritten, self.path, "overwrite")
+
     # -- deleting -----------------------------------------------------------
 
     def delete(self, ids: DataFrame) -> None:
         """Remove the records with these ids; months left empty disappear."""
         stored = self.stored()
         gone = ids.select("record_id")
-        months = stored.join(gone, "record_id", "left_semi").select("start_month").distinct()
-        touched = [row["start_month"] for row in months.collect()]
+        touched = _months_of(stored.join(gone, "record_id", "left_semi"))
         if not touched:
             return
         kept = stored.where(F.col("start_month").isin(touched)).join(
             gone, "record_id", "left_anti"
         )
-        left = {row["start_month"] for row in kept.select("start_month").distinct().collect()}
+        left = _months_of(kept)
         if left:
             write_months(kept, self.path, "overwrite")
-        for month in set(touched) - left:
+        for month in set(touched) - set(left):
             _remove(self.spark, f"{self.path}/start_month={month}")
 
 
+def _months_of(stored: DataFrame) -> list[str]:
+    """The calendar months of some stored records; a short list however many
+    records there are."""
+    return [row["start_month"] for row in stored.select("start_month").distinct().collect()]
+
+
 def with_month(records: DataFrame) -> DataFrame:
     return records.withColumn("start_month", F.date_format("start_time", "yyyy-MM"))
 

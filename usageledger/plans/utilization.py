@@ -15,6 +15,7 @@ from usageledger.operators.fields import flatten
 from usageledger.operators.lookup import watt_per_core
 from usageledger.operators.query import Operator, RecordQuery
 from usageledger.plans.label_match import matching_labels
+from usageledger.session import materialize
 
 # CPU-time units per second, by the collector that wrote the records.
 CPU_UNITS = {"slurm": 1000, "kubernetes": 1000, "htcondor": 1}
@@ -85,8 +86,12 @@ def day_totals(rows: DataFrame) -> DataFrame:
 
 
 def overlapping_totals(totals: DataFrame) -> DataFrame:
-    """Totals of a label over all values of the day that contain it."""
-    values = totals.withColumnRenamed("label", "value")
+    """Totals of a label over all values of the day that contain it.
+
+    The totals are small beside the records and needed several times, so they
+    are written out first.
+    """
+    values = materialize(totals, "day-totals").withColumnRenamed("label", "value")
     matches = matching_labels(values, "day", "value")
     summed = ("work", "corehours", "cpu", "core_seconds", "watt_hours")
     return (
@@ -151,8 +156,11 @@ def read_hosts(stores: Sequence[DataFrame], hosts: Sequence[str]) -> DataFrame:
 def write_csv(
     summary: DataFrame, folder: str, file_name: str, host: str, year: int, month: int
 ) -> str:
-    """Write one month's summary (a row per group) as CSV with a header."""
+    """Write one month's summary (a row per group) as CSV with a header.
+
+    The summary is sorted; a usual one is small enough to end up in one file.
+    """
     target = f"{folder.rstrip('/')}/{file_name}_{host}_{month}_{year}.csv"
     renamed = summary.withColumnsRenamed({"power_kwh": "power [kWh]", "co2_kg": "co2 [kg]"})
-    renamed.coalesce(1).write.mode("overwrite").option("header", True).csv(target)
+    renamed.write.mode("overwrite").option("header", True).csv(target)
     return target
