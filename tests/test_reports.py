@@ -207,6 +207,12 @@ def test_label_counts(records_of):
     }
 
 
+def test_gauges_of_an_empty_store(records_of):
+    empty = records_of(record("5", "2022-01-01T00:00:00Z")).limit(0)
+    gauges = metrics.record_gauges(empty, {"site": "site"}).collect()
+    assert [tuple(r) for r in gauges] == [("num_records_database", None, None, 0)]
+
+
 # -- accounting summary --------------------------------------------------------------
 
 

@@ -21,7 +21,7 @@ from usageledger.operators.query import (
     stopped_since,
 )
 from usageledger.operators.reshape import unconverted
-from usageledger.operators.validity import split_valid
+from usageledger.operators.validity import split_valid, with_reasons
 from usageledger.plans import apel, archive, priority, utilization
 from usageledger.plans.store import one_record
 from usageledger.schema import COMPONENTS_DDL
@@ -246,15 +246,25 @@ def _spoiled(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM ord GROUP BY 1""",
 )
 def validity_split(spark, sf_dir):
-    valid, rejects = split_valid(_spoiled(spark, sf_dir))
-    why = rejects.select(F.explode("reasons").alias("reason"))
+    checked = with_reasons(_spoiled(spark, sf_dir))
+    verdict = F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array(F.lit("valid")))
     return (
-        why.unionByName(valid.select(F.lit("valid").alias("reason")))
+        checked.select(F.explode(verdict).alias("reason"))
         .groupBy("reason")
         .agg(F.count("*").alias("num"))
     )
 
 
+@query(
+    "f10_valid_records",
+    """SELECT CASE WHEN length(record_id) > 256 THEN NULL ELSE record_id END AS record_id, runtime FROM ord
+       WHERE o_orderkey % 7 IN (0, 5, 6) OR o_orderkey % 7 IN (2, 3) AND runtime IS NULL""",
+)
+def valid_records(spark, sf_dir):
+    valid, _ = split_valid(_spoiled(spark, sf_dir))
+    return valid.select("record_id", "runtime")
+
+
 @query(
     "f11_archive_range",
     f"SELECT {FLAT} FROM ord WHERE stop_time < TIMESTAMP '1998-03-01'",

@@ -10,12 +10,13 @@ from usageledger.catalog.tables import event_records, order_records, table
 from usageledger.functions.records import component_amount, first_meta, meta_values, score_value
 from usageledger.operators import reshape
 from usageledger.operators.reconcile import reconcile
-from usageledger.session import scratch_path
+from usageledger.session import materialize, scratch_path
 from usageledger.sources.records import FLAT_TABLES, read_flat
 
 
 def _tables(spark, sf_dir):
-    return reshape.to_flat_tables(order_records(spark, sf_dir))
+    # All six tables come from the same records: compute those once.
+    return reshape.to_flat_tables(materialize(order_records(spark, sf_dir), "records"))
 
 
 @query(

@@ -132,13 +132,16 @@ def month_counts(records: DataFrame) -> DataFrame:
 
 
 def mismatches(records: DataFrame, archived: DataFrame) -> DataFrame:
-    """Months in which store and archive differ in their row count; only months
-    the archive has are judged."""
+    """Months in which the store's records and the archive differ in their
+    number of rows."""
     stored = month_counts(records).withColumnRenamed("num", "stored")
     kept = archived.groupBy("year", "month").agg(F.count("*").alias("archived"))
+    none = F.lit(0).cast("bigint")
     return (
-        kept.join(stored, ["year", "month"], "left")
-        .withColumn("stored", F.coalesce("stored", F.lit(0).cast("bigint")))
+        kept.join(stored, ["year", "month"], "full")
+        .withColumns(
+            {"stored": F.coalesce("stored", none), "archived": F.coalesce("archived", none)}
+        )
         .where(F.col("archived") != F.col("stored"))
     )
 

@@ -34,16 +34,15 @@ def count_per_value(records: DataFrame, key: str) -> DataFrame:
     )
 
 
-def label_counts(records: DataFrame, keys: Mapping[str, str]) -> DataFrame:
-    """Counts for several labels (label -> metadata key) in one pass."""
-    def labelled(label: str, key: str) -> Column:
-        values = F.coalesce(meta_values(key), F.array().cast("array<string>"))
-        return F.transform(
-            values,
-            lambda value: F.struct(F.lit(label).alias("label"), value.alias("label_value")),
-        )
-
-    pairs = [labelled(label, key) for label, key in keys.items()]
+def _labelled(label: str, key: str) -> Column:
+    """(label, value) pairs of one metadata key of a record."""
+    values = F.coalesce(meta_values(key), F.array().cast("array<string>"))
+    return F.transform(
+        values, lambda value: F.struct(F.lit(label).alias("label"), value.alias("label_value"))
+    )
+
+
+def _count_pairs(records: DataFrame, pairs: list[Column]) -> DataFrame:
     return (
         records.select(F.explode(F.concat(*pairs)).alias("pair"))
         .groupBy("pair.label", "pair.label_value")
@@ -51,22 +50,36 @@ def label_counts(records: DataFrame, keys: Mapping[str, str]) -> DataFrame:
     )
 
 
+def label_counts(records: DataFrame, keys: Mapping[str, str]) -> DataFrame:
+    """Counts for several labels (label -> metadata key) in one pass."""
+    return _count_pairs(records, [_labelled(label, key) for label, key in keys.items()])
+
+
 def record_gauges(records: DataFrame, keys: Mapping[str, str]) -> DataFrame:
-    """(metric, label, label_value, value) rows: total and per label."""
+    """(metric, label, label_value, value) rows: total and per label.
+
+    The total rides along as a pair without label, so there is one pass.
+    """
+    nothing = F.lit(None).cast("string")
+    everything = F.array(F.struct(nothing.alias("label"), nothing.alias("label_value")))
+    pairs = [everything, *[_labelled(label, key) for label, key in keys.items()]]
     name = F.create_map(*[F.lit(item) for pair in PER_LABEL.items() for item in pair])
-    per_label = label_counts(records, keys).select(
-        F.try_element_at(name, F.col("label")).alias("metric"),
+    counted = _count_pairs(records, pairs).select(
+        F.when(F.col("label").isNull(), TOTAL)
+        .otherwise(F.try_element_at(name, F.col("label")))
+        .alias("metric"),
         "label",
         "label_value",
         F.col("num").alias("value"),
     )
-    total = count_records(records).select(
+    # Without records there is no pair, but the total is still known.
+    empty = count_records(records.limit(1)).where("num = 0").select(
         F.lit(TOTAL).alias("metric"),
-        F.lit(None).cast("string").alias("label"),
-        F.lit(None).cast("string").alias("label_value"),
+        nothing.alias("label"),
+        nothing.alias("label_value"),
         F.col("num").alias("value"),
     )
-    return total.unionByName(per_label)
+    return counted.unionByName(empty)
 
 
 def priority_gauges(prioritised: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from usageledger.functions.records import runtime_seconds
 from usageledger.operators.query import (
-    Operator,
     RecordQuery,
     started_since,
     stopped_since,
@@ -270,10 +269,6 @@ def one_record(records: DataFrame, record_id: str) -> DataFrame:
     return RecordQuery(record_id=record_id).apply(records, ordered=False)
 
 
-def closed_between(start: Any, end: Any) -> RecordQuery:
-    return RecordQuery(stop_time=Operator().gte(start).lt(end))
-
-
 def _clock(now: datetime | None) -> Column:
     if now is None:
         return F.current_timestamp()

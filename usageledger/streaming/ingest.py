@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +116,7 @@ def deliver(
     """
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist(StorageLevel.DISK_ONLY)
         inserts = batch.where(F.col("kind") == INSERT).drop("kind")
         store.add(inserts, on_duplicate="skip", on_invalid="skip")
         updates = batch.where(F.col("kind") == UPDATE).select(
@@ -128,6 +130,7 @@ def deliver(
         unknown.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{pending_path}/batch={batch_id}"
         )
+        batch.unpersist()
 
     return start(messages, each_batch, checkpoint, interval)
 
