@@ -5,7 +5,9 @@ bits, cut to 9 chunks of 5.  If two signatures differ in at most 17 symbols, som
 chunk differs in at most one (pigeonhole), so each chunk is indexed under its five
 versions with one symbol left out: every pair within that distance shares a key.
 At a similarity of 0.85 a distance over 17 has a probability below 1 in 10,000.
-Pairs are then confirmed on the whole sets.
+Pairs whose sets must differ too much are dropped by a parity sketch: every shingle
+flips one of 512 bits, so two sketches differ in at most as many bits as the sets
+differ in shingles.  The others are confirmed on the whole sets.
 
 Equal sets are one class from the start.  Classes that share a key are first
 compared with the smallest class of the key only; what that connects needs no more
@@ -15,6 +17,7 @@ each other.  That gives the same components as comparing all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +45,10 @@ _OFFSETS = _RNG.integers(0, 1 << 63, CHUNKS * PER_CHUNK, dtype=np.uint64)
 _FIELD = (1 << BITS) - 1
 _LOW = sum((_FIELD >> 1) << (BITS * k) for k in range(PER_CHUNK))
 _HIGH = sum((1 << (BITS - 1)) << (BITS * k) for k in range(PER_CHUNK))
+PARITY_BITS = 512
+
 _SIGNS = [f"s{c}" for c in range(CHUNKS)]
+_PARITY = [f"o{c}" for c in range(PARITY_BITS // 64)]
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,20 +90,25 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     low = np.minimum.reduceat(keys * _FACTORS[k] + _OFFSETS[k], begin)
                     symbol = textops.mix(low) & np.uint64(_FIELD)
                     parts[k // PER_CHUNK, filled] |= symbol << np.uint64(BITS * (k % PER_CHUNK))
-            columns = [*sums, *parts]
+            row = np.repeat(np.arange(end - first), count)
+            place = row * PARITY_BITS + (keys >> np.uint64(55)).astype(np.int64)
+            odd = np.bincount(place, minlength=PARITY_BITS * (end - first)) & 1
+            words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+            columns = [*sums, *parts, *np.ascontiguousarray(words.reshape(-1, len(_PARITY)).T)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(first, end - first),
                     pa.array(count.astype(np.int64)),
                     *(pa.array(x.view(np.int64)) for x in columns),
                 ],
-                names=["doc_id", "n_shingles", "h1", "h2", *_SIGNS],
+                names=["doc_id", "n_shingles", "h1", "h2", *_SIGNS, *_PARITY],
             )
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, size of the shingle set, two sums that name the set, and the signature."""
-    schema = ", ".join(f"{name} long" for name in ("doc_id", "n_shingles", "h1", "h2", *_SIGNS))
+    """doc_id, size of the shingle set, two sums that name the set, the signature and
+    the parity sketch."""
+    schema = ", ".join(f"{name} long" for name in ("doc_id", "n_shingles", "h1", "h2", *_SIGNS, *_PARITY))
     return documents.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, _sketch, schema)
 
 
@@ -125,13 +136,26 @@ def _distance(left: str, right: str) -> Column:
     return total
 
 
+def _possible(left: str, right: str) -> Column:
+    """Whether the signatures are within the distance and the sets may differ as
+    little as the similarity asks for: by d shingles at most.  The bits that differ
+    are at most d; where d is large, they are also at most six standard deviations
+    over what d flips give on average."""
+    bits = sum(
+        (F.bit_count(F.col(f"{left}.{o}").bitwiseXOR(F.col(f"{right}.{o}"))) for o in _PARITY), F.lit(0)
+    )
+    d = (F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles")) * (100 - PERCENT) / (100 + PERCENT)
+    usual = PARITY_BITS / 2 * (1 - F.exp(d * math.log(1 - 2 / PARITY_BITS)))
+    return (_distance(left, right) <= DISTANCE) & (bits <= F.least(d, usual + 3 * PARITY_BITS**0.5))
+
+
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures are within the distance."""
+    """Pairs (a, b) that may reach the similarity."""
     return (
         pairs.alias("p")
         .join(classes.alias("x"), F.col("p.a") == F.col("x.rep"))
         .join(classes.alias("y"), F.col("p.b") == F.col("y.rep"))
-        .where(_distance("x", "y") <= DISTANCE)
+        .where(_possible("x", "y"))
         .select("p.a", "p.b")
     )
 
@@ -184,7 +208,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         usable.groupBy(*same_set).agg(
             F.min("doc_id").alias("rep"),
             F.count("*").alias("copies"),
-            *(F.any_value(sign).alias(sign) for sign in _SIGNS),
+            *(F.any_value(part).alias(part) for part in (*_SIGNS, *_PARITY)),
         ),
         "classes",
     )
@@ -221,7 +245,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             (F.col("x.key") == F.col("y.key"))
             & (F.col("x.rep") < F.col("y.rep"))
             & (F.col("x.part") != F.col("y.part"))
-            & (_distance("x", "y") <= DISTANCE),
+            & _possible("x", "y"),
         )
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
