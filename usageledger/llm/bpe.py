@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -24,7 +24,8 @@ from usageledger.llm import textops
 from usageledger.llm.shipping import map_arrow
 
 PIECE_BYTES = 1 << 20
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 800_000
+_RANK_BITS = 24
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -104,39 +105,63 @@ class PerfectHash:
         return [r if self.keys[s] == k else -1 for s, r, k in zip(slots.tolist(), ranks, keys)]
 
 
-def merge(piece: bytes, rank_of: dict[bytes, int]) -> tuple[int, ...]:
-    """Merge the adjacent pair of lowest rank, leftmost first, until none is left."""
-    parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
-    after = list(range(1, len(parts) + 1))
-    before = list(range(-1, len(parts) - 1))
+def pair_table(tokens: list[bytes]) -> dict[int, int]:
+    """Rank of the token that two adjacent tokens make, by both of their ranks."""
+    rank_of = {token: rank for rank, token in enumerate(tokens)}
+    table = {}
+    for rank, token in enumerate(tokens):
+        for cut in range(1, len(token)):
+            left, right = rank_of.get(token[:cut]), rank_of.get(token[cut:])
+            if left is not None and right is not None:
+                table[left << _RANK_BITS | right] = rank
+    return table
+
+
+def merge(piece: bytes, byte_ranks: list[int], pairs: dict[int, int]) -> tuple[int, ...]:
+    """Merge the adjacent pair of lowest rank, leftmost first, until none is left.
+
+    Parts are linked by the places of their first bytes; a heap entry is a rank and
+    a place, and is skipped if the parts there no longer make that rank.
+    """
+    parts = [byte_ranks[b] for b in piece]
     end = len(parts)
-    heap = [
-        (rank, i, 2)
-        for i in range(end - 1)
-        if (rank := rank_of.get(piece[i : i + 2])) is not None
-    ]
-    heapq.heapify(heap)
+    after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+    shift = end.bit_length()
+    mask = (1 << shift) - 1
+    heap = []
+    for i in range(end - 1):
+        rank = pairs.get(parts[i] << _RANK_BITS | parts[i + 1])
+        if rank is not None:
+            heap.append(rank << shift | i)
+    heapify(heap)
     while heap:
-        _, i, size = heapq.heappop(heap)
+        entry = heappop(heap)
+        i = entry & mask
         j = after[i]
-        if parts[i] is None or j == end or len(parts[i]) + len(parts[j]) != size:
+        if parts[i] < 0 or j == end:
+            continue
+        rank = pairs.get(parts[i] << _RANK_BITS | parts[j])
+        if rank != entry >> shift:
             continue
-        parts[i] += parts[j]
-        parts[j] = None
-        after[i] = after[j]
-        if after[j] != end:
-            before[after[j]] = i
-        for left, right in ((before[i], i), (i, after[i])):
-            if left >= 0 and right != end:
-                pair = parts[left] + parts[right]
-                if (rank := rank_of.get(pair)) is not None:
-                    heapq.heappush(heap, (rank, left, len(pair)))
-    return tuple(rank_of[part] for part in parts if part is not None)
+        parts[i], parts[j] = rank, -1
+        k, h = after[j], before[i]
+        after[i] = k
+        if k != end:
+            before[k] = i
+            new = pairs.get(rank << _RANK_BITS | parts[k])
+            if new is not None:
+                heappush(heap, new << shift | i)
+        if h >= 0:
+            new = pairs.get(parts[h] << _RANK_BITS | rank)
+            if new is not None:
+                heappush(heap, new << shift | h)
+    return tuple(part for part in parts if part >= 0)
 
 
 @dataclass
 class Codec:
-    """Vocabulary, its perfect hash and the pattern that cuts text to pre-tokens."""
+    """Vocabulary (with all single bytes), its perfect hash and the pattern that cuts
+    text to pre-tokens."""
 
     tokens: list[bytes]
     pattern: str
@@ -152,7 +177,9 @@ class Codec:
     def _prepare(self) -> None:
         if not self._ready:
             self._find = regex.compile(self.pattern).findall
-            self._rank_of = {token: rank for rank, token in enumerate(self.tokens)}
+            rank_of = {token: rank for rank, token in enumerate(self.tokens)}
+            self._bytes = [rank_of[bytes([b])] for b in range(256)]
+            self._pairs = pair_table(self.tokens)
             self._seen: dict[str, tuple[int, ...]] = {}
             self._ready = True
 
@@ -166,7 +193,7 @@ class Codec:
             new = list(set(chain.from_iterable(cut)))
         raw = [piece.encode() for piece in new]
         for piece, data, rank in zip(new, raw, self.table.lookup(raw)):
-            self._seen[piece] = (rank,) if rank >= 0 else merge(data, self._rank_of)
+            self._seen[piece] = (rank,) if rank >= 0 else merge(data, self._bytes, self._pairs)
         return [list(chain.from_iterable(map(self._seen.__getitem__, pieces))) for pieces in cut]
 
     def decode(self, ids: Iterable[int]) -> bytes:
