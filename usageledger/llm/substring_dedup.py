@@ -35,10 +35,10 @@ from usageledger.session import materialize
 WINDOW = 100
 GRAM = 32
 GRAMS = WINDOW - GRAM + 1
-PIECE_BYTES = 2 << 20
-GATHER_BYTES = 32 << 20
+PIECE_BYTES = 1 << 20
+GATHER_BYTES = 16 << 20
 BUCKET_BYTES = 2 << 20
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 CROWD = 256
 SEGMENT = 16
 
