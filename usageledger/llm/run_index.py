@@ -22,11 +22,12 @@ class RunIndex:
         text[marks] = 0
         order, same = self._sorted(text, marks)
         before = np.where(np.isin(order, self.begins), 0, text[order - 1])
-        self.run_start = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
-        run_end = np.r_[self.run_start[1:], len(before)]
-        symbol, size = before[self.run_start], run_end - self.run_start
+        # Where a string begins, the run is one rank long: nothing stands to its left.
+        self.run_start = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (before[1:] == 0)])
+        self.run_end = np.r_[self.run_start[1:], len(before)]
+        symbol, size = before[self.run_start], self.run_end - self.run_start
         self.run_symbol = symbol
-        self.sample = order[run_end - 1]
+        self.sample = order[self.run_end - 1]
         by_symbol = np.argsort(symbol, kind="stable")
         self.run_target = np.empty(len(symbol), np.int64)
         self.run_target[by_symbol] = np.cumsum(size[by_symbol]) - size[by_symbol]
@@ -76,12 +77,11 @@ class RunIndex:
     def locate(self, rank: int) -> int:
         """Text position of a rank: step left until a sampled run end is met."""
         steps = 0
-        while True:
-            run = int(np.searchsorted(self.run_start, rank, "right")) - 1
-            last = self.run_start[run + 1] - 1 if run + 1 < len(self.run_start) else None
-            if rank == last or (last is None and rank == int(self.lengths.sum() + len(self.lengths)) - 1):
-                return int(self.sample[run]) + steps
+        run = int(np.searchsorted(self.run_start, rank, "right")) - 1
+        while rank != self.run_end[run] - 1:
             rank, steps = int(self.run_target[run] + rank - self.run_start[run]), steps + 1
+            run = int(np.searchsorted(self.run_start, rank, "right")) - 1
+        return int(self.sample[run]) + steps
 
     def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Read all strings backwards, in step, through the index.
