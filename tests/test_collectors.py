@@ -276,3 +276,15 @@ def test_latest_container_ends_the_pod(pods):
         F.unix_seconds("stop_time").alias("s")
     ).first()
     assert row["s"] == int(at("2024-01-01T00:20:00Z").timestamp())
+
+
+def test_a_filter_without_its_column_is_an_error(spark):
+    jobs = spark.createDataFrame([("1", "COMPLETED")], "JobID string, State string")
+    with pytest.raises(ValueError, match="Partition"):
+        slurm.filter_jobs(jobs, slurm.JobFilter(partition=("p1",)))
+
+
+def test_filter_columns_are_part_of_the_dump():
+    config = slurm.SlurmConfig(job_filter=slurm.JobFilter(partition=("p1",), account=("a",), user=("u",)))
+    names = [key.name for key in config.keys()]
+    assert names.count("Partition") == names.count("Account") == names.count("User") == 1

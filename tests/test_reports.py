@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from conftest import at, component, record
 from pyspark.sql import functions as F
@@ -172,6 +174,7 @@ def test_csv(spark, november, tmp_path):
     stored = spark.read.option("header", True).csv(target)
     assert stored.columns == ["user", "khs23h", "cpu_eff", "corehours", "power [kWh]", "co2 [kg]"]
     assert stored.count() == 2
+    assert os.path.isfile(target)
 
 
 def test_hosts_need_a_store_each(november):
@@ -283,12 +286,16 @@ def test_double_report_fails_on_request(may):
         apel.month_summary(may, _summary(check_duplicates=True), 2024, 5).collect()
 
 
-def test_many_site_ids_use_a_join(may, monkeypatch):
-    from usageledger.operators import lookup
+def test_the_number_of_site_ids_changes_no_rows(records_of):
+    from usageledger.operators.lookup import assign_report_sites
 
-    expected = sorted(apel.month_summary(may, _summary(), 2024, 5).collect())
-    monkeypatch.setattr(lookup, "LITERAL_ENTRIES", 1)
-    assert sorted(apel.month_summary(may, _summary(), 2024, 5).collect()) == expected
+    row = record("1", meta={"site": ["a", "b"]})
+    twice = records_of(row, row, record("2", meta={"site": ["c"]}))
+    few = {"X": ["a", "b"], "Y": ["b"]}
+    many = {**few, "Z": [f"id-{number}" for number in range(3_000)]}
+    for sites in (few, many):
+        found = assign_report_sites(twice, sites, ["site"]).select("record_id", "report_site")
+        assert sorted(map(tuple, found.collect())) == [("1", "X"), ("1", "X"), ("1", "Y"), ("1", "Y")]
 
 
 def test_message(spark, may, tmp_path):
@@ -316,3 +323,29 @@ def test_republishing_replaces_one_month(spark, may, tmp_path):
     assert {(r["Month"], r["VO"]): r["NumberOfJobs"] for r in stored.collect()} == {
         (5, "atlas"): 3, (5, "cms"): 1, (6, "atlas"): 1,
     }
+    apel.publish_month(may.limit(0), _summary(), 2024, 5, path)
+    assert {r["Month"] for r in spark.read.parquet(path).collect()} == {6}
+
+
+def test_sums_do_not_depend_on_the_partitions(records_of):
+    rows = [
+        _usage(i, "ilc", 1 + i % 7, 1000 + 37 * i, f"2024-11-{1 + i % 28:02d}T10:00:00Z", f"2024-11-{1 + i % 28:02d}T1{i % 9}:1{i % 6}:07Z")
+        for i in range(200)
+    ]
+    df = records_of(*rows)
+    found = {tuple(utilization.report(df.repartition(n), _config(), 2024, 11).first()) for n in (1, 2, 13)}
+    assert len(found) == 1
+
+
+def test_month_efficiency_is_the_mean_of_the_days(records_of):
+    """One short day at 100 %, one long day at 50 %: the mean is 75 %."""
+    df = records_of(
+        _usage(1, "ilc", 1, 3600, "2024-11-01T10:00:00Z", "2024-11-01T11:00:00Z"),
+        _usage(2, "ilc", 1, 18000, "2024-11-02T10:00:00Z", "2024-11-02T20:00:00Z"),
+    )
+    assert utilization.report(df, _config(), 2024, 11).first()["cpu_eff"] == pytest.approx(0.75)
+
+
+def test_reports_of_several_hosts(november):
+    both = utilization.host_reports([november, november.limit(0)], ["a", "b"], _config(), 2024, 11).collect()
+    assert [(r["host"], r["user"]) for r in both] == [("a", "ilc"), ("a", "production")]

@@ -92,9 +92,9 @@ def test_update_of_unknown_records(store, four, spark):
         "record_id string, stop_time timestamp",
     )
     with pytest.raises(UnknownRecords):
-        store.update(updates)
+        store.update(updates, order_by="stop_time")
     assert store.get_single_record("1").first()["runtime"] == 60
-    assert ids(store.update(updates, on_unknown="return")) == ["9"]
+    assert ids(store.update(updates, order_by="stop_time", on_unknown="return")) == ["9"]
     assert store.get_single_record("1").first()["runtime"] == 120
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from usageledger.catalog.filters import summary_config
@@ -165,27 +166,42 @@ def daily_sql(label: str, divisor: int = 1) -> str:
     return f"""
 daily AS (
   SELECT CAST(stop_time AS DATE) AS day, {label} AS user,
-         sum(18.4::DOUBLE * cores * runtime / 3600.0) / 1000.0 AS khs23h,
+         sum(cores * runtime)::DECIMAL(28,0) AS core_seconds,
          sum(total_cpu)::DOUBLE / {divisor} / nullif(sum(runtime * cores), 0)::DOUBLE AS cpu_eff,
-         sum(cores * runtime / 3600.0::DOUBLE) AS corehours,
-         coalesce(sum(CASE site WHEN 'site_1' THEN 4.6::DOUBLE WHEN 'site_2' THEN 4.3::DOUBLE
-                  WHEN 'site_3' THEN 4.1::DOUBLE END * cores * runtime / 3600.0), 0) / 1000.0 AS power_kwh
+         coalesce(sum(CASE site WHEN 'site_1' THEN 4.6::DECIMAL(2,1) WHEN 'site_2' THEN 4.3::DECIMAL(2,1)
+                  WHEN 'site_3' THEN 4.1::DECIMAL(2,1) END * (cores * runtime)::DECIMAL(18,0)), 0) AS watt_seconds
   FROM ev WHERE stop_time >= TIMESTAMP '2024-01-01' AND stop_time < TIMESTAMP '2024-02-01'
   GROUP BY 1, 2
 )"""
 
 
 NUMBERS = ("khs23h", "cpu_eff", "corehours", "power_kwh", "co2_kg")
-NUMBERS_SQL = """round(khs23h, 6) AS khs23h, round(cpu_eff, 6) AS cpu_eff,
-  round(corehours, 6) AS corehours, round(power_kwh, 6) AS power_kwh,
-  round(power_kwh * 0.363, 6) AS co2_kg"""
-MONTH_SQL = """SELECT user, round(sum(khs23h), 6) AS khs23h, round(avg(cpu_eff), 6) AS cpu_eff,
-  round(sum(corehours), 6) AS corehours, round(sum(power_kwh), 6) AS power_kwh,
-  round(sum(power_kwh * 0.363), 6) AS co2_kg FROM daily GROUP BY user"""
+
+
+def _six_sql(value: str) -> str:
+    """Six digits of the decimal value: a tie is not left to binary fractions."""
+    return f"CAST(round(CAST({value} AS DECIMAL(38,12)), 6) AS DOUBLE)"
+
+
+def _numbers_sql(total: str, mean: str) -> str:
+    seconds, watts = total.format("core_seconds"), total.format("watt_seconds")
+    power = f"{watts}::DOUBLE / 3600.0::DOUBLE / 1000.0::DOUBLE"
+    work = f"({seconds}::DECIMAL(28,0) * 18.4::DECIMAL(3,1))::DOUBLE / 3600.0::DOUBLE / 1000.0::DOUBLE"
+    return f"""{_six_sql(work)} AS khs23h, {_six_sql(mean)} AS cpu_eff,
+      {_six_sql(f"{seconds}::DOUBLE / 3600.0::DOUBLE")} AS corehours, {_six_sql(power)} AS power_kwh,
+      {_six_sql(f"{power} * 0.363::DOUBLE")} AS co2_kg"""
+
+
+NUMBERS_SQL = _numbers_sql("{}", "cpu_eff")
+MONTH_SQL = f"SELECT user, {_numbers_sql('sum({})', 'avg(cpu_eff)')} FROM daily GROUP BY user"
+
+
+def six(name: str) -> Column:
+    return F.round(F.col(name).cast("decimal(38,12)"), 6).cast("double").alias(name)
 
 
 def rounded(report, *keys):
-    return report.select(*keys, *[F.round(name, 6).alias(name) for name in NUMBERS])
+    return report.select(*keys, *[six(name) for name in NUMBERS])
 
 
 def _daily(spark, sf_dir, config):
@@ -219,14 +235,15 @@ def month_utilization(spark, sf_dir):
 
 @query(
     "u1_union_of_days",
-    f"""WITH {daily_sql('group_id')} SELECT day, count(*) AS groups, round(sum(corehours), 6) AS corehours
+    f"""WITH {daily_sql('group_id')} SELECT day, count(*) AS groups, {_six_sql("sum(core_seconds)::DOUBLE / 3600.0::DOUBLE")} AS corehours
         FROM daily GROUP BY day""",
 )
 def union_of_days(spark, sf_dir):
-    daily = _daily(spark, sf_dir, utilization_config())
-    return daily.groupBy("day").agg(
-        F.count("*").alias("groups"), F.round(F.sum("corehours"), 6).alias("corehours")
-    )
+    start, end = month_bounds(2024, 1)
+    window = utilization.in_window(event_records(spark, sf_dir), start, end)
+    days = utilization.daily_totals(window, utilization_config()).groupBy("day")
+    totals = days.agg(F.count("*").alias("groups"), (F.sum("core_seconds") / 3600.0).alias("corehours"))
+    return totals.select("day", "groups", six("corehours"))
 
 
 _OVERLAP_LABEL = """CASE WHEN contains(group_id, 'ig') THEN 'ig' WHEN contains(group_id, 'i') THEN 'i'
@@ -239,8 +256,8 @@ _OVERLAP_LABEL = """CASE WHEN contains(group_id, 'ig') THEN 'ig' WHEN contains(g
         rows AS (SELECT CAST(stop_time AS DATE) AS day, {_OVERLAP_LABEL} AS label, cores, runtime, total_cpu
                  FROM ev WHERE stop_time >= TIMESTAMP '2024-01-01' AND stop_time < TIMESTAMP '2024-02-01'),
         labels AS (SELECT DISTINCT day, label FROM rows)
-        SELECT l.day, l.label AS user, round(sum(cores * runtime / 3600.0::DOUBLE), 6) AS corehours,
-               round(sum(total_cpu)::DOUBLE / nullif(sum(runtime * cores), 0)::DOUBLE, 6) AS cpu_eff
+        SELECT l.day, l.label AS user, {_six_sql("sum(cores * runtime)::DOUBLE / 3600.0::DOUBLE")} AS corehours,
+               {_six_sql("sum(total_cpu)::DOUBLE / nullif(sum(runtime * cores), 0)::DOUBLE")} AS cpu_eff
         FROM labels l JOIN rows r ON r.day = l.day AND contains(r.label, l.label) GROUP BY 1, 2""",
 )
 def label_match(spark, sf_dir):
@@ -316,6 +333,19 @@ def several_hosts(spark, sf_dir):
     )
 
 
+@query(
+    "s14_host_reports",
+    f"""WITH {daily_sql("CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END || '/' || group_id")}, month AS ({MONTH_SQL})
+        SELECT split_part(user, '/', 1) AS host, split_part(user, '/', 2) AS user,
+               khs23h, cpu_eff, corehours, power_kwh, co2_kg FROM month""",
+)
+def host_reports(spark, sf_dir):
+    records = event_records(spark, sf_dir)
+    even = F.substring_index("record_id", "-", -1).cast("bigint") % 2 == 0
+    stores = [records.where(even), records.where(~even)]
+    return rounded(utilization.host_reports(stores, ["a", "b"], utilization_config(), 2024, 1), "host", "user")
+
+
 # -- accounting summaries ---------------------------------------------------------------
 
 REPORTED_SQL = """

@@ -18,6 +18,7 @@ from usageledger.catalog.reports import (
     REPORTED_SQL,
     SUMMARY_SQL,
     daily_sql,
+    six,
     utilization_config,
 )
 from usageledger.catalog.tables import event_records, order_records, zoned
@@ -104,7 +105,7 @@ def closing(records, seconds: int):
 @query("k4_update", UPDATED_SQL)
 def update(spark, sf_dir):
     store = _event_store(spark, sf_dir)
-    store.update(closing(added_events(spark, sf_dir), 90))
+    store.update(closing(added_events(spark, sf_dir), 90), order_by="stop_time")
     return flat(store.records())
 
 
@@ -116,7 +117,7 @@ def unknown_ids(spark, sf_dir):
     store = _event_store(spark, sf_dir)
     updates = closing(added_events(spark, sf_dir), 90)
     renamed = updates.withColumn("record_id", F.concat(F.lit("no-"), "record_id"))
-    return store.update(renamed, on_unknown="return").select("record_id")
+    return store.update(renamed, order_by="stop_time", on_unknown="return").select("record_id")
 
 
 @query("w1_last_update_wins", UPDATED_SQL)
@@ -260,9 +261,9 @@ def summary_csv(spark, sf_dir):
     stored = spark.read.option("header", True).schema(schema).csv(target)
     return stored.select(
         "user",
-        *[F.round(name, 6).alias(name) for name in ("khs23h", "cpu_eff", "corehours")],
-        F.round("power", 6).alias("power_kwh"),
-        F.round("co2", 6).alias("co2_kg"),
+        *[six(name) for name in ("khs23h", "cpu_eff", "corehours")],
+        six("power").alias("power_kwh"),
+        six("co2").alias("co2_kg"),
     )
 
 

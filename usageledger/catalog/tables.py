@@ -39,7 +39,8 @@ def event_columns(events: DataFrame) -> DataFrame:
         k.alias("k"),
         seconds.alias("seconds"),
         (k % 8 + 1).alias("cores"),
-        (seconds * (k % 8 + 1)).alias("total_cpu"),
+        # 50 to 99 per cent of the core time, so that daily efficiencies differ.
+        F.floor(seconds * (k % 8 + 1) * (F.col("event_id") % 50 + 50) / 100).cast("bigint").alias("total_cpu"),
         F.concat(F.lit("site_"), (F.col("user_id") % SITES + 1).cast("string")).alias("site"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"),
         later(F.col("ts"), seconds).alias("ended"),
@@ -352,7 +353,7 @@ ev AS (
          event_type AS group_id,
          'u' || CAST(uid AS VARCHAR) AS user_id,
          k % 8 + 1 AS cores,
-         seconds * (k % 8 + 1) AS total_cpu,
+         (seconds * (k % 8 + 1) * (event_id % 50 + 50)) // 100 AS total_cpu,
          ts AS start_time,
          CASE WHEN event_type <> 'error' THEN ts + to_seconds(seconds) END AS stop_time,
          CASE WHEN event_type <> 'error' THEN seconds END AS runtime,

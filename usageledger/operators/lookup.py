@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -12,8 +13,6 @@ from pyspark.sql import types as T
 # A lookup that comes out of a configuration is broadcast up to this many rows;
 # a longer one is joined like any other table.
 BROADCAST_ROWS = 100_000
-# Mappings up to this length become a literal inside the expression.
-LITERAL_ENTRIES = 1_000
 
 
 def lookup_table(
@@ -63,7 +62,9 @@ def assign_report_sites(
     """One row per record and report site that one of its site ids belongs to.
 
     A record that carries several ids of one report site appears once; with
-    ``check_duplicates`` such a record fails the job instead.
+    ``check_duplicates`` such a record fails the job instead.  The configured ids are
+    a literal inside the expression, however many there are: mapped and made distinct
+    in the row, without a shuffle, however much of the data one site holds.
     """
     ids = site_ids(meta_keys)
     if check_duplicates:
@@ -72,31 +73,14 @@ def assign_report_sites(
     for site, its_ids in sites.items():
         for site_id in dict.fromkeys(its_ids):
             by_id.setdefault(site_id, []).append(site)
-    if len(by_id) <= LITERAL_ENTRIES:
-        # Mapped and made distinct inside the row: no shuffle, however much of
-        # the data one site holds.
-        literal = F.create_map(
-            *[
-                item
-                for site_id, names in by_id.items()
-                for item in (F.lit(site_id), F.array(*[F.lit(name) for name in names]))
-            ]
-        )
-        none = F.array().cast("array<string>")
-        found = F.flatten(
-            F.transform(ids, lambda i: F.coalesce(F.try_element_at(literal, i), none))
-        )
-        return records.withColumn("report_site", F.explode(F.array_distinct(found)))
-    table = lookup_table(
-        records.sparkSession, by_id, "site_id", "report_sites", T.ArrayType(T.StringType())
-    )
-    return (
-        records.withColumn("site_id", F.explode(F.array_distinct(ids)))
-        .join(table, "site_id")
-        .withColumn("report_site", F.explode("report_sites"))
-        .drop("site_id", "report_sites")
-        .dropDuplicates(["record_id", "report_site"])
+    names = T.ArrayType(T.StringType())
+    literal = F.map_from_arrays(
+        F.lit(list(by_id)).cast("array<string>"),
+        F.from_json(F.lit(json.dumps(list(by_id.values()))), T.ArrayType(names)),
     )
+    none = F.array().cast("array<string>")
+    found = F.flatten(F.transform(ids, lambda i: F.coalesce(F.try_element_at(literal, i), none)))
+    return records.withColumn("report_site", F.explode(F.array_distinct(found)))
 
 
 def _reported_once(sites: Mapping[str, Sequence[str]], ids: Column) -> Column:

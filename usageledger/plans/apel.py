@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from usageledger.functions.calendar import day_of, month_bounds
 from usageledger.operators.fields import Field
 from usageledger.operators.lookup import assign_report_sites
 from usageledger.operators.query import Operator, RecordQuery
-from usageledger.session import settings
+from usageledger.plans.store import partition_folders, remove_folder
+from usageledger.session import materialize, settings
 
 # Message headers, field order and keys of the two messages.
 SUMMARY_HEADER = "APEL-normalised-summary-message: v0.4"
@@ -171,8 +173,10 @@ def publish_month(
     records: DataFrame, config: SummaryConfig, year: int, month: int, path: str
 ) -> None:
     """Recompute a month from all its records and replace it in the published
-    table; other sites and months stay as they are."""
-    table = month_summary(records, config, year, month)
+    table; other months stay as they are, and a site that has no records in the month
+    any more loses its old rows."""
+    table = materialize(month_summary(records, config, year, month), "month-summary")
+    reported = {str(row["Site"]) for row in table.select("Site").distinct().collect()}
     with settings(table.sparkSession, spark__sql__sources__partitionOverwriteMode="dynamic"):
         (
             table.hint("rebalance", "Site", "Year", "Month")
@@ -180,3 +184,6 @@ def publish_month(
             .partitionBy("Site", "Year", "Month")
             .parquet(path)
         )
+    for name in partition_folders(table.sparkSession, path):
+        if unquote(name.split("=", 1)[1]) not in reported:
+            remove_folder(table.sparkSession, f"{path.rstrip('/')}/{name}/Year={year}/Month={month}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usageledger.functions.records import first_meta
@@ -74,16 +74,17 @@ def usage(
 
 
 def with_bounds(usages: DataFrame) -> DataFrame:
-    """Smallest, largest and total usage beside every group.
-
-    There is one row per configured group here, so the window is short.
-    """
-    everything = Window.partitionBy(F.lit(1))
-    return usages.select(
-        "*",
-        F.min("usage").over(everything).alias("usage_min"),
-        F.max("usage").over(everything).alias("usage_max"),
-        F.sum("usage").over(everything).alias("usage_sum"),
+    """Smallest, largest and total usage beside every group: one aggregated row,
+    joined back."""
+    bounds = usages.agg(
+        F.min("usage").alias("usage_min"),
+        F.max("usage").alias("usage_max"),
+        F.sum("usage").alias("usage_sum"),
+    )
+    return (
+        usages.withColumn("all", F.lit(True))
+        .join(F.broadcast(bounds.withColumn("all", F.lit(True))), "all")
+        .drop("all")
     )
 
 

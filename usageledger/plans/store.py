@@ -135,11 +135,15 @@ class RecordStore:
             F.to_json("meta"),
             F.to_json("components"),
         )
-        once = (
-            batch.groupBy("record_id")
+        # Only ids that occur twice need whole rows to be compared.
+        repeated = batch.groupBy("record_id").count().where("count > 1").select("record_id")
+        chosen = (
+            batch.join(repeated, "record_id", "left_semi")
+            .groupBy("record_id")
             .agg(F.min_by(F.struct(*batch.columns), order).alias("kept"))
             .select("kept.*")
         )
+        once = batch.join(repeated, "record_id", "left_anti").unionByName(chosen)
         return once.join(self._existing(batch), "record_id", "left_anti")
 
     def _append(self, added: DataFrame, now: datetime | None) -> None:
@@ -151,7 +155,7 @@ class RecordStore:
     def update(
         self,
         updates: DataFrame,
-        order_by: str = "stop_time",
+        order_by: str,
         on_unknown: str = "error",
         now: datetime | None = None,
     ) -> DataFrame:
@@ -215,7 +219,7 @@ class RecordStore:
         if left:
             write_months(kept, self.path, "overwrite")
         for month in set(touched) - set(left):
-            _remove(self.spark, f"{self.path}/start_month={month}")
+            remove_folder(self.spark, f"{self.path}/start_month={month}")
 
 
 def _months_of(stored: DataFrame) -> list[str]:
@@ -290,6 +294,16 @@ def partition_folders(spark: SparkSession, path: str) -> list[str]:
     return [name for name in names if "=" in name]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def move_only_file(spark: SparkSession, folder: str, target: str) -> None:
+    """Put the one part file of a written folder in place of ``target``."""
+    system, where = _filesystem(spark, folder)
+    names = [status.getPath() for status in system.listStatus(where)]
+    (part,) = [name for name in names if name.getName().startswith("part-")]
+    remove_folder(spark, target)
+    system.rename(part, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target))
+    remove_folder(spark, folder)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
     system, where = _filesystem(spark, path)
     system.delete(where, True)

@@ -15,11 +15,16 @@ from usageledger.operators.fields import flatten
 from usageledger.operators.lookup import watt_per_core
 from usageledger.operators.query import Operator, RecordQuery
 from usageledger.plans.label_match import matching_labels
+from usageledger.plans.store import move_only_file
 from usageledger.session import materialize
 
 # CPU-time units per second, by the collector that wrote the records.
 CPU_UNITS = {"slurm": 1000, "kubernetes": 1000, "htcondor": 1}
 
+# Scores and watts are taken with eight decimals.
+EXACT = "decimal(16,8)"
+SUMMED = ("work", "core_seconds", "cpu", "watt_seconds")
+
 
 @dataclass(frozen=True)
 class UtilizationConfig:
@@ -57,31 +62,36 @@ def usage_rows(records: DataFrame, config: UtilizationConfig) -> DataFrame:
     return flat.select(
         day_of(F.col("stop_time")).alias("day"),
         label.alias("label"),
-        F.col(config.benchmark).alias("benchmark"),
-        F.col(config.cores).cast("double").alias("cores"),
-        F.col(config.total_cpu).cast("double").alias("cpu"),
-        F.col("runtime").cast("double").alias("runtime"),
-        "watt_per_core",
+        F.col(config.benchmark).cast(EXACT).alias("benchmark"),
+        F.col(config.cores).cast("bigint").alias("cores"),
+        F.col(config.total_cpu).cast("bigint").alias("cpu"),
+        F.col("runtime").cast("bigint").alias("runtime"),
+        F.col("watt_per_core").cast(EXACT).alias("watt_per_core"),
     )
 
 
 def _total(value: Column) -> Column:
-    return F.coalesce(F.sum(value), F.lit(0.0))
+    return F.coalesce(F.sum(value), F.lit(0))
 
 
 def day_totals(rows: DataFrame) -> DataFrame:
-    """Additive totals per day and label value."""
-    hours = F.col("cores") * F.col("runtime") / 3600.0
-    return (
+    """Additive totals per day and label value.
+
+    Seconds are whole numbers and factors are decimals, so a sum does not depend on
+    the order of its rows: work and watt_seconds are core-seconds times the benchmark
+    score and the watts.
+    """
+    core_seconds = F.col("cores") * F.col("runtime")
+    same_factors = (
         rows.where(F.col("label").isNotNull())
-        .groupBy("day", "label")
-        .agg(
-            _total(F.col("benchmark") * hours).alias("work"),
-            _total(hours).alias("corehours"),
-            _total(F.col("cpu")).alias("cpu"),
-            _total(F.col("runtime") * F.col("cores")).alias("core_seconds"),
-            _total(F.col("watt_per_core") * hours).alias("watt_hours"),
-        )
+        .groupBy("day", "label", "benchmark", "watt_per_core")
+        .agg(_total(core_seconds).alias("core_seconds"), _total(F.col("cpu")).alias("cpu"))
+    )
+    return same_factors.groupBy("day", "label").agg(
+        _total(F.col("core_seconds") * F.col("benchmark")).alias("work"),
+        _total(F.col("core_seconds")).alias("core_seconds"),
+        _total(F.col("cpu")).alias("cpu"),
+        _total(F.col("core_seconds") * F.col("watt_per_core")).alias("watt_seconds"),
     )
 
 
@@ -93,53 +103,79 @@ def overlapping_totals(totals: DataFrame) -> DataFrame:
     """
     values = materialize(totals, "day-totals").withColumnRenamed("label", "value")
     matches = matching_labels(values, "day", "value")
-    summed = ("work", "corehours", "cpu", "core_seconds", "watt_hours")
     return (
         matches.join(values, ["day", "value"])
         .groupBy("day", "label")
-        .agg(*[F.sum(name).alias(name) for name in summed])
+        .agg(*[F.sum(name).alias(name) for name in SUMMED])
     )
 
 
-def daily_report(records: DataFrame, config: UtilizationConfig) -> DataFrame:
-    """One row per day and group."""
+def daily_totals(records: DataFrame, config: UtilizationConfig) -> DataFrame:
+    """Totals per day and group."""
     totals = day_totals(usage_rows(records, config))
     if config.grouping == "overlap":
-        totals = overlapping_totals(totals)
-    elif config.grouping != "exact":
+        return overlapping_totals(totals)
+    if config.grouping != "exact":
         raise ValueError(f"unknown grouping {config.grouping!r}")
-    power = F.col("watt_hours") / 1000.0
-    return totals.select(
-        "day",
-        display_name(F.col("label")).alias("user"),
-        (F.col("work") / 1000.0).alias("khs23h"),
-        F.try_divide(F.col("cpu") / CPU_UNITS[config.collector], F.col("core_seconds")).alias(
-            "cpu_eff"
-        ),
-        "corehours",
-        power.alias("power_kwh"),
-        (power * config.co2_per_kwh).alias("co2_kg"),
-    )
+    return totals
 
 
-def month_report(daily: DataFrame) -> DataFrame:
-    """Sums over the days; efficiency is the plain mean of the daily values."""
-    return (
-        daily.groupBy("user")
-        .agg(
-            F.sum("khs23h").alias("khs23h"),
-            F.avg("cpu_eff").alias("cpu_eff"),
-            F.sum("corehours").alias("corehours"),
-            F.sum("power_kwh").alias("power_kwh"),
-            F.sum("co2_kg").alias("co2_kg"),
-        )
-        .orderBy("user")
+def _efficiency(config: UtilizationConfig) -> Column:
+    return F.try_divide(F.col("cpu") / CPU_UNITS[config.collector], F.col("core_seconds").cast("double"))
+
+
+def _numbers(config: UtilizationConfig) -> dict[str, Column]:
+    """The reported numbers of exact totals; ``cpu_eff`` is a column already."""
+    power = F.col("watt_seconds").cast("double") / 3600.0 / 1000.0
+    return {
+        "khs23h": F.col("work").cast("double") / 3600.0 / 1000.0,
+        "cpu_eff": F.col("cpu_eff"),
+        "corehours": F.col("core_seconds").cast("double") / 3600.0,
+        "power_kwh": power,
+        "co2_kg": power * config.co2_per_kwh,
+    }
+
+
+def _presented(totals: DataFrame, config: UtilizationConfig, *keys: str) -> DataFrame:
+    numbers = [value.alias(name) for name, value in _numbers(config).items()]
+    return totals.select(*keys, display_name(F.col("label")).alias("user"), *numbers)
+
+
+def daily_report(records: DataFrame, config: UtilizationConfig) -> DataFrame:
+    """One row per day and group."""
+    totals = daily_totals(records, config).withColumn("cpu_eff", _efficiency(config))
+    return _presented(totals, config, "day")
+
+
+def month_report(totals: DataFrame, config: UtilizationConfig) -> DataFrame:
+    """Sums over the days; efficiency is the plain mean of the daily values, added in
+    the order of the days (at most 31)."""
+    ratio = F.when(_efficiency(config).isNotNull(), F.struct("day", _efficiency(config).alias("value")))
+    days = F.array_sort("ratios")
+    mean = F.try_divide(F.aggregate(days, F.lit(0.0), lambda a, x: a + x["value"]), F.size("ratios"))
+    month = (
+        totals.groupBy(display_name(F.col("label")).alias("label"))
+        .agg(*[F.sum(name).alias(name) for name in SUMMED], F.collect_list(ratio).alias("ratios"))
+        .withColumn("cpu_eff", mean)
     )
+    numbers = [value.alias(name) for name, value in _numbers(config).items()]
+    return month.select(F.col("label").alias("user"), *numbers).orderBy("user")
 
 
 def report(records: DataFrame, config: UtilizationConfig, year: int, month: int) -> DataFrame:
     start, end = month_bounds(year, month)
-    return month_report(daily_report(in_window(records, start, end), config))
+    return month_report(daily_totals(in_window(records, start, end), config), config)
+
+
+def host_reports(
+    stores: Sequence[DataFrame],
+    hosts: Sequence[str],
+    config: UtilizationConfig,
+    year: int,
+    month: int,
+) -> DataFrame:
+    """The month of every host on its own, told apart by ``host``."""
+    return read_hosts([report(store, config, year, month) for store in stores], hosts)
 
 
 def read_hosts(stores: Sequence[DataFrame], hosts: Sequence[str]) -> DataFrame:
@@ -156,11 +192,10 @@ def read_hosts(stores: Sequence[DataFrame], hosts: Sequence[str]) -> DataFrame:
 def write_csv(
     summary: DataFrame, folder: str, file_name: str, host: str, year: int, month: int
 ) -> str:
-    """Write one month's summary (a row per group) as CSV with a header.
-
-    The summary is sorted; a usual one is small enough to end up in one file.
-    """
+    """Write one month's summary (a sorted row per group) as one CSV file with a header."""
     target = f"{folder.rstrip('/')}/{file_name}_{host}_{month}_{year}.csv"
     renamed = summary.withColumnsRenamed({"power_kwh": "power [kWh]", "co2_kg": "co2 [kg]"})
-    renamed.write.mode("overwrite").option("header", True).csv(target)
+    parts = f"{target}.parts"
+    renamed.coalesce(1).write.mode("overwrite").option("header", True).csv(parts)
+    move_only_file(renamed.sparkSession, parts, target)
     return target

@@ -55,6 +55,17 @@ class JobFilter:
     group: tuple[str, ...] = ()
     account: tuple[str, ...] = ()
 
+    def columns(self) -> dict[str, tuple[str, ...]]:
+        """Wanted values per column of the dump, where any are configured."""
+        wanted = {
+            "State": self.status,
+            "Partition": self.partition,
+            "User": self.user,
+            "Group": self.group,
+            "Account": self.account,
+        }
+        return {name: values for name, values in wanted.items() if values}
+
 
 @dataclass(frozen=True)
 class SlurmConfig:
@@ -93,14 +104,13 @@ class SlurmConfig:
                 add_guard(score.only_if)
             add(component.key, component.key_type, component.allow_empty)
             add_guard(component.only_if)
+        for name in self.job_filter.columns():
+            if name not in dict(FIXED_KEYS):
+                add(name, "String")
         keys = list(found.values())
         return keys + [Key(name, key_type) for name, key_type in FIXED_KEYS]
 
 
-def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
-
-
 def parse_value(text: Column, key_type: str, timezone: str = "UTC") -> Column:
     parsers = {
         "Integer": parsing.integer,
@@ -167,18 +177,11 @@ def started_or_kept(jobs: DataFrame) -> DataFrame:
 
 
 def filter_jobs(jobs: DataFrame, job_filter: JobFilter) -> DataFrame:
-    """Status, partition, user, group and account filters, where the dump has
-    the column."""
-    dimensions = {
-        "State": job_filter.status,
-        "Partition": job_filter.partition,
-        "User": job_filter.user,
-        "Group": job_filter.group,
-        "Account": job_filter.account,
-    }
-    for column, wanted in dimensions.items():
-        if not wanted or column not in jobs.columns:
-            continue
+    """Status, partition, user, group and account filters.  A filter on a column that
+    the dump does not have is an error."""
+    for column, wanted in job_filter.columns().items():
+        if column not in jobs.columns:
+            raise ValueError(f"the dump has no column {column} to filter by")
         if column == "State":
             # "CANCELLED by 1000" is a CANCELLED job.
             state = F.lower(F.substring_index("State", " ", 1))
