@@ -124,3 +124,87 @@ def test_backlog(spark, store, tmp_path):
     assert done == {"r-x": {"cpu": 4, "memory": 5}, "r-y": {}}
     waiting = backlog.waiting(store, str(tmp_path / "queue")).select("rid", F.col("retry"))
     assert [tuple(r) for r in waiting.collect()] == [("r-z", 1)]
+
+
+def test_lines_of_a_job_in_different_batches(spark, store, tmp_path):
+    """The batch line alone knows the CPU time, and may come before or after its job."""
+    config = slurm.SlurmConfig(components=(slurm.ComponentRule("TotalCPU", "TotalCPU", "Time"),))
+    drops, pending = tmp_path / "drops", str(tmp_path / "pending")
+    drops.mkdir()
+
+    def lines(name, *rows):
+        (drops / f"{name}.txt").write_text("".join(f"{r}\n" for r in rows))
+
+    def main(number):
+        return f"|{number}|2023-11-07T10:00:00|2023-11-07T11:00:00|g|u|COMPLETED"
+
+    def batch(number):
+        return f"00:10:00|{number}.batch|2023-11-07T10:00:00|2023-11-07T11:00:00|||COMPLETED"
+
+    def run(checkpoint):
+        stream = ingest.text_stream(spark, str(drops))
+        ingest.ingest_jobs(stream, config, store, pending, str(tmp_path / checkpoint)).awaitTermination()
+
+    lines("a", main(1), batch(2), main(3), batch(3))
+    run("one")
+    assert ids(store.get()) == ["slurm-3"]
+    lines("b", batch(1))
+    run("one")
+    assert sorted(ids(store.get())) == ["slurm-1", "slurm-3"]
+    # A new checkpoint finds what waits.
+    for name in ("a", "b"):
+        (drops / f"{name}.txt").unlink()
+    lines("c", main(2))
+    run("two")
+    assert sorted(ids(store.get())) == ["slurm-1", "slurm-2", "slurm-3"]
+    ingest.flush_jobs(config, store, pending)
+    assert store.get().count() == 3
+
+
+def test_rejects_are_kept(spark, store, tmp_path):
+    folder, checkpoint = str(tmp_path / "messages"), str(tmp_path / "checkpoint")
+    start = at("2024-01-01T00:00:00Z")
+    rows = [(ingest.INSERT, "a", None, [], start, None), (ingest.INSERT, " ", None, [], start, None)]
+    spark.createDataFrame(rows, ingest.MESSAGE).write.parquet(folder)
+    stream = ingest.parquet_stream(spark, folder, ingest.MESSAGE)
+    ingest.deliver(stream, store, str(tmp_path / "pending"), checkpoint).awaitTermination()
+    assert [(r["record_id"], r["reasons"]) for r in ingest.rejected(spark, checkpoint).collect()] == [
+        (" ", ["record_id"])
+    ]
+
+
+def test_updates_survive_a_new_checkpoint(spark, store, tmp_path):
+    folder, pending = str(tmp_path / "messages"), str(tmp_path / "pending")
+    start = at("2024-01-01T00:00:00Z")
+
+    def run(message, checkpoint):
+        spark.createDataFrame([message], ingest.MESSAGE).write.mode("overwrite").parquet(folder)
+        stream = ingest.parquet_stream(spark, folder, ingest.MESSAGE)
+        ingest.deliver(stream, store, pending, str(tmp_path / checkpoint)).awaitTermination()
+
+    run((ingest.UPDATE, "a", None, None, None, start + timedelta(hours=2)), "one")
+    run((ingest.INSERT, "a", None, [], start, None), "two")
+    assert store.get().first()["runtime"] == 7200
+
+
+def test_retry_without_new_records(spark, store, tmp_path):
+    start, folder, queue = at("2024-01-01T00:00:00Z"), str(tmp_path / "pods"), str(tmp_path / "queue")
+    meta = {"namespace": ["ns"], "podname": ["x"]}
+    rows = [("r-x", meta, [], start, start + timedelta(hours=1))]
+    spark.createDataFrame(rows, RECORD_ADD).write.parquet(folder)
+    samples = lambda: spark.createDataFrame([], enrichment.SAMPLES)
+
+    def tries():
+        return [r["retry"] for r in backlog.waiting(store, queue).collect()]
+
+    backlog.enrich(
+        ingest.parquet_stream(spark, folder, RECORD_ADD), samples, store, queue, str(tmp_path / "checkpoint"),
+        clock=lambda batch: 1000, max_retries=1, interval_seconds=60, reachable=lambda: False,
+    ).awaitTermination()
+    assert tries() == [0]
+    backlog.retry(samples, store, queue, 2000, 1, 60, reachable=False)
+    assert tries() == [0]
+    backlog.retry(samples, store, queue, 3000, 1, 60)
+    assert tries() == [1]
+    backlog.retry(samples, store, queue, 4000, 1, 60)
+    assert tries() == [] and store.get().count() == 1

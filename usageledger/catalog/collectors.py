@@ -9,14 +9,10 @@ from usageledger.catalog.tables import (
     CONDOR_ADS,
     condor_lines,
     detail_texts,
-    event_columns,
-    event_records,
     metric_samples,
     pod_spans,
     pod_texts,
     slurm_lines,
-    table,
-    zoned,
 )
 from usageledger.functions.calendar import month_bounds
 from usageledger.functions.records import component_amount, first_meta, meta_values, score_value
@@ -626,11 +622,3 @@ def deliverable(spark, sf_dir):
 )
 def remaining(spark, sf_dir):
     return enrichment.remaining(_after_step(spark, sf_dir), 2).select("rid", "retry")
-
-
-def records_of_events(spark, sf_dir):
-    return zoned(event_records(spark, sf_dir))
-
-
-def events(spark, sf_dir):
-    return event_columns(table(spark, sf_dir, "events"))

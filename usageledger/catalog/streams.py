@@ -41,14 +41,17 @@ def _finish(running) -> None:
 
 @query("t1_slurm_ingest", SLURM_SQL)
 def slurm_ingest(spark, sf_dir):
-    """Several drops, one per batch; then all of them once more."""
+    """Several drops, one per batch, with the lines of a job in any of them; what is
+    still incomplete at the end is flushed.  Then all of them once more."""
     drops = scratch_path(spark, "drops")
     slurm_lines(spark, sf_dir, pieces=3).write.text(drops)
     store = RecordStore(spark, scratch_path(spark, "store"))
+    pending = scratch_path(spark, "pending")
     for attempt in ("first", "again"):
         lines = ingest.text_stream(spark, drops, files_per_batch=1)
         checkpoint = scratch_path(spark, f"checkpoint-{attempt}")
-        _finish(ingest.ingest(lines, lambda b: slurm.collect(b, DUMP), store, checkpoint))
+        _finish(ingest.ingest_jobs(lines, DUMP, store, pending, checkpoint))
+        ingest.flush_jobs(DUMP, store, pending)
     return slurm_flat(store.records())
 
 
@@ -143,13 +146,11 @@ def pod_ingest(spark, sf_dir):
        FROM spans LEFT JOIN measured USING (record_id)""",
 )
 def enrichment_backlog(spark, sf_dir):
-    """Pods arrive in three batches; one retry, then they are given up."""
+    """Pods arrive in three batches, then the queue is tried on a timer; one retry,
+    then they are given up."""
     pods = _signup_pods(spark, sf_dir)
     drops = scratch_path(spark, "drops")
     pods.repartition(3, "record_id").write.parquet(drops)
-    # Empty batches at the end let the last pods use up their retry.
-    for _ in range(3):
-        pods.limit(0).coalesce(1).write.mode("append").parquet(drops)
     stream = ingest.parquet_stream(spark, drops, pods.schema, files_per_batch=1)
     store = RecordStore(spark, scratch_path(spark, "store"))
     queue = scratch_path(spark, "queue")
@@ -165,11 +166,32 @@ def enrichment_backlog(spark, sf_dir):
             interval_seconds=100,
         )
     )
+    for now in (10_000, 20_000, 30_000):
+        backlog.retry(lambda: metric_samples(spark, sf_dir), store, queue, now, 1, 100)
     return store.records().select(
         "record_id", component_amount("cpu").alias("cpu"), component_amount("memory").alias("memory")
     )
 
 
+@query(
+    "t5_rejected_records",
+    "SELECT record_id FROM ev WHERE uid % 5 = 0",
+)
+def rejected_records(spark, sf_dir):
+    """Every fifth user has a blank value, which the store does not take."""
+    added = to_added(zoned(event_records(spark, sf_dir)))
+    bad = F.substring(first_meta("user_id"), 2, 10).cast("bigint") % 5 == 0
+    blank = F.create_map(F.lit("note"), F.array(F.lit(" ")))
+    meta = F.when(bad, F.map_concat("meta", blank)).otherwise(F.col("meta"))
+    messages = added.withColumn("meta", meta).select(F.lit(ingest.INSERT).alias("kind"), *added.columns)
+    drops, checkpoint = scratch_path(spark, "drops"), scratch_path(spark, "checkpoint")
+    messages.write.parquet(drops)
+    stream = ingest.parquet_stream(spark, drops, ingest.MESSAGE)
+    store = RecordStore(spark, scratch_path(spark, "store"))
+    _finish(ingest.deliver(stream, store, scratch_path(spark, "pending"), checkpoint))
+    return ingest.rejected(spark, checkpoint).select("record_id")
+
+
 def _signup_pods(spark, sf_dir):
     """Records of pods that live for twelve hours after a signup."""
     records = event_records(spark, sf_dir).where(first_meta("group_id") == "signup")

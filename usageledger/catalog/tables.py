@@ -161,16 +161,13 @@ def _clock(moment: Column) -> Column:
 
 def slurm_lines(spark: SparkSession, sf_dir: str, pieces: int | None = None) -> DataFrame:
     """Two lines per event: the job, and its batch step that alone knows the CPU
-    time; plus an ``extern`` step that must be ignored.  The lines of a job stay
-    in one of the ``pieces``.
+    time; plus an ``extern`` step that must be ignored.  With ``pieces`` the lines
+    are spread over so many partitions, whatever job they belong to.
 
     Columns: Partition | Comment | NCPUS | ReqMem | TotalCPU | JobID | Start |
     End | Group | User | State.
     """
-    events = table(spark, sf_dir, "events")
-    if pieces is not None:
-        events = events.repartition(pieces, "event_id")
-    e = event_columns(events)
+    e = event_columns(table(spark, sf_dir, "events"))
     job = F.col("event_id").cast("string")
     cpu = F.concat_ws(
         ":",
@@ -204,7 +201,8 @@ def slurm_lines(spark: SparkSession, sf_dir: str, pieces: int | None = None) ->
         line(none, none, F.lit("1"), none, none, F.concat(job, F.lit(".extern")), started, ended,
              none, none, state),
     )
-    return e.select(F.explode(lines).alias("value"))
+    dump = e.select(F.explode(lines).alias("value"))
+    return dump if pieces is None else dump.repartition(pieces, "value")
 
 
 def detail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usageledger.functions import parsing
@@ -137,6 +137,20 @@ def split_lines(lines: DataFrame, config: SlurmConfig) -> DataFrame:
     return lines.select(*[F.coalesce(*texts).alias(name) for name, texts in columns.items()])
 
 
+def with_job(lines: DataFrame, config: SlurmConfig) -> DataFrame:
+    """Job and batch lines with the id of their job; other lines are left out."""
+    position = [key.name for key in config.keys()].index("JobID")
+    cell = F.get(F.split("value", r"\|", -1), F.lit(position))
+    is_batch = cell.rlike(BATCH_ID)
+    return (
+        lines.withColumn("cell", cell)
+        .where((F.col("cell") != "") & (~F.col("cell").rlike(STEP_ID) | is_batch))
+        .withColumn("job", F.regexp_replace("cell", r"\.batch$", ""))
+        .withColumn("is_batch", F.col("cell").rlike(BATCH_ID))
+        .drop("cell")
+    )
+
+
 def merge_steps(rows: DataFrame, config: SlurmConfig) -> DataFrame:
     """Text rows of jobs and steps -> one row of typed values per job.
 

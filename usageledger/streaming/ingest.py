@@ -2,7 +2,12 @@
 
 The stream's checkpoint remembers which files were read, and the store skips
 records it has, so a batch that runs again after a failure changes nothing.
-There is no watermark: a late job is never dropped.
+There is no watermark: a late job is never dropped.  What the store rejects is kept
+in a table beside the checkpoint, one folder per batch; ``rejected`` reads it.
+
+State that lives from batch to batch has one version per batch, made from the
+version before.  A new checkpoint counts on from the newest version, so nothing that
+waits is forgotten.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +24,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from usageledger.operators.query import time_literal
 from usageledger.plans.store import RecordStore, partition_folders
-from usageledger.schema import RECORD_ADD
+from usageledger.schema import RECORD_ADD, no_rows
+from usageledger.sources import slurm
 from usageledger.sources.kubernetes import POD
 
 # A delivery of a client: a record to add, or a stop time to set.
@@ -63,6 +70,16 @@ def not_before(last: datetime | None, earliest: datetime) -> datetime:
     return earliest if last is None else max(last, earliest)
 
 
+def keep_rejects(rejects: DataFrame, checkpoint: str, batch_id: int) -> None:
+    target = f"{checkpoint.rstrip('/')}-rejected/batch={batch_id}"
+    rejects.write.mode("overwrite").parquet(target)
+
+
+def rejected(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The records that the store refused, with their reasons and their batch."""
+    return spark.read.parquet(f"{checkpoint.rstrip('/')}-rejected")
+
+
 def ingest(
     stream: DataFrame,
     to_records: Callable[[DataFrame], DataFrame],
@@ -73,16 +90,83 @@ def ingest(
 ) -> StreamingQuery:
     """Scheduler output -> records -> store."""
 
-    def each_batch(batch: DataFrame, _: int) -> None:
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
         records = to_records(batch)
         if earliest is not None:
             bound = time_literal(earliest, records.schema["stop_time"].dataType)
             records = records.where(F.col("stop_time") > bound)
-        store.add(records, on_duplicate="skip", on_invalid="skip")
+        keep_rejects(store.add(records, on_duplicate="skip", on_invalid="skip"), checkpoint, batch_id)
+
+    return start(stream, each_batch, checkpoint, interval)
+
+
+LINES = T.StructType([T.StructField("value", T.StringType()), T.StructField("since", T.LongType())])
+
+
+def ingest_jobs(
+    stream: DataFrame,
+    config: slurm.SlurmConfig,
+    store: RecordStore,
+    pending_path: str,
+    checkpoint: str,
+    patience: int = 10,
+    interval: str | None = None,
+) -> StreamingQuery:
+    """Slurm dump lines -> store, where the lines of a job may come in any batch.
+
+    A job is stored when its own line and its batch line are there, or when its
+    first line has waited for ``patience`` batches; ``flush_jobs`` ends the wait
+    without new input.  A batch line that comes later still has no effect.
+    """
+    spark = store.spark
+    offset = _version_offset(spark, pending_path, checkpoint)
+
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        version = offset + batch_id
+        lines = batch.select("value", F.lit(version).cast("long").alias("since"))
+        before = _version_before(spark, pending_path, version)
+        if before is not None:
+            lines = lines.unionByName(spark.read.schema(LINES).parquet(before))
+        rejects = _store_jobs(lines, config, store, pending_path, version, version - patience)
+        keep_rejects(rejects, checkpoint, batch_id)
 
     return start(stream, each_batch, checkpoint, interval)
 
 
+def flush_jobs(config: slurm.SlurmConfig, store: RecordStore, pending_path: str) -> DataFrame:
+    """Store all jobs that wait, complete or not; for use between two runs of the
+    stream.  Returns the rejected records."""
+    spark = store.spark
+    newest = _version_before(spark, pending_path, 2**62)
+    if newest is None:
+        return no_rows(spark, RECORD_ADD)
+    lines = spark.read.schema(LINES).parquet(newest)
+    version = int(newest.rsplit("=", 1)[1])
+    return _store_jobs(lines, config, store, pending_path, version, 2**62)
+
+
+def _store_jobs(
+    lines: DataFrame, config: slurm.SlurmConfig, store: RecordStore, path: str, version: int, due: int
+) -> DataFrame:
+    """Store what is complete or has waited since ``due``; the rest is the new version."""
+    spark = store.spark
+    keyed = slurm.with_job(lines, config)
+    jobs = keyed.groupBy("job").agg(
+        F.bool_or("is_batch").alias("has_batch"),
+        F.bool_or(~F.col("is_batch")).alias("has_job"),
+        F.min("since").alias("first"),
+    )
+    ready = (F.col("has_batch") & F.col("has_job")) | (F.col("first") <= due)
+    # Written once, read twice: what to store and what waits.
+    tried = f"{path}-tried/batch={version}"
+    keyed.join(jobs, "job").select("value", "since", ready.alias("ready")).write.mode("overwrite").parquet(tried)
+    state = spark.read.parquet(tried)
+    records = slurm.collect(state.where("ready").select("value"), config)
+    rejects = store.add(records, on_duplicate="skip", on_invalid="skip")
+    state.where("NOT ready").select("value", "since").write.mode("overwrite").parquet(f"{path}/batch={version}")
+    return rejects
+
+
 def ingest_with_marks(
     stream: DataFrame,
     to_records: Callable[[DataFrame], DataFrame],
@@ -96,7 +180,8 @@ def ingest_with_marks(
     table (one folder per batch, so a repeated batch replaces its own)."""
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        store.add(to_records(batch), on_duplicate="skip", on_invalid="skip")
+        rejects = store.add(to_records(batch), on_duplicate="skip", on_invalid="skip")
+        keep_rejects(rejects, checkpoint, batch_id)
         marks_of(batch).write.mode("overwrite").parquet(f"{marks_path}/batch={batch_id}")
 
     return start(stream, each_batch, checkpoint, interval)
@@ -114,27 +199,45 @@ def deliver(
     A record that exists counts as delivered.  An update whose record is not
     there yet waits for the next batch.
     """
+    offset = _version_offset(store.spark, pending_path, checkpoint)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
+        version = offset + batch_id
         batch.persist(StorageLevel.DISK_ONLY)
-        inserts = batch.where(F.col("kind") == INSERT).drop("kind")
-        store.add(inserts, on_duplicate="skip", on_invalid="skip")
-        updates = batch.where(F.col("kind") == UPDATE).select(
-            "record_id", "stop_time", F.lit(batch_id).alias("batch_id")
-        )
-        before = _version_before(store.spark, pending_path, batch_id)
-        if before is not None:
-            updates = updates.unionByName(store.spark.read.parquet(before))
-        latest = _last_update(updates)
-        unknown = store.update(latest, order_by="batch_id", on_unknown="return")
-        unknown.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{pending_path}/batch={batch_id}"
-        )
-        batch.unpersist()
+        try:
+            inserts = batch.where(F.col("kind") == INSERT).drop("kind")
+            rejects = store.add(inserts, on_duplicate="skip", on_invalid="skip")
+            keep_rejects(rejects, checkpoint, batch_id)
+            updates = batch.where(F.col("kind") == UPDATE).select(
+                "record_id", "stop_time", F.lit(version).alias("batch_id")
+            )
+            before = _version_before(store.spark, pending_path, version)
+            if before is not None:
+                updates = updates.unionByName(store.spark.read.parquet(before).select(updates.columns))
+            _apply_updates(updates, store, pending_path, version)
+        finally:
+            batch.unpersist()
 
     return start(messages, each_batch, checkpoint, interval)
 
 
+def deliver_waiting(store: RecordStore, pending_path: str) -> None:
+    """Try the updates that wait once more, without new messages; for use between two
+    runs of the stream."""
+    newest = _version_before(store.spark, pending_path, 2**62)
+    if newest is not None:
+        version = int(newest.rsplit("=", 1)[1])
+        updates = store.spark.read.parquet(newest).select("record_id", "stop_time", "batch_id")
+        _apply_updates(updates, store, pending_path, version)
+
+
+def _apply_updates(updates: DataFrame, store: RecordStore, path: str, version: int) -> None:
+    tried = f"{path}-tried/batch={version}"
+    _last_update(updates).write.mode("overwrite").parquet(tried)
+    unknown = store.update(store.spark.read.parquet(tried), order_by="batch_id", on_unknown="return")
+    unknown.withColumn("batch_id", F.lit(version)).write.mode("overwrite").parquet(f"{path}/batch={version}")
+
+
 def _last_update(updates: DataFrame) -> DataFrame:
     order: Column = F.struct("batch_id", "stop_time")
     return updates.groupBy("record_id").agg(
@@ -142,6 +245,19 @@ def _last_update(updates: DataFrame) -> DataFrame:
     )
 
 
+def _version_offset(spark: SparkSession, path: str, checkpoint: str) -> int:
+    """What to add to a batch number to get its version.  A new checkpoint starts
+    behind the newest version; it remembers the offset for its next runs."""
+    marker = f"{checkpoint.rstrip('/')}-offset"
+    try:
+        return spark.read.schema("first long").parquet(marker).first()["first"]
+    except AnalysisException:
+        versions = [int(name.split("=")[1]) for name in partition_folders(spark, path)]
+        first = max(versions, default=-1) + 1
+        spark.range(first, first + 1).select(F.col("id").alias("first")).write.parquet(marker)
+        return first
+
+
 def _version_before(spark: SparkSession, path: str, batch_id: int) -> str | None:
     """Folder of the newest version older than the batch."""
     versions = [int(name.split("=")[1]) for name in partition_folders(spark, path)]
