@@ -1,12 +1,21 @@
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from conftest import at, component, ids, record
 
+from usageledger.functions.calendar import month_bounds
 from usageledger.operators.query import Operator, RecordQuery
 from usageledger.operators.reshape import to_added, to_record, to_update
-from usageledger.plans import archive
-from usageledger.plans.store import DuplicateRecords, InvalidRecords, RecordStore, UnknownRecords
+from usageledger.plans import archive, utilization
+from usageledger.plans.store import (
+    DuplicateRecords,
+    InvalidRecords,
+    RecordStore,
+    UnknownRecords,
+    remove_folder,
+)
+from usageledger.schema import RECORD_ADD
+from usageledger.session import settings
 from usageledger.sources.records import read_archived, read_json
 
 
@@ -226,3 +235,54 @@ def test_mismatch_is_found(spark, records_of, tmp_path):
     archive.write_archive(rows.where("record_id = 'a'"), folder, NOW, 1)
     wrong = archive.mismatches(rows, archive.read_archive(spark, folder)).collect()
     assert [(r["archived"], r["stored"]) for r in wrong] == [(1, 2)]
+
+
+def _job(record_id, start, hours):
+    begin = at(start)
+    return (record_id, {"site": ["s"]}, [], begin, begin + timedelta(hours=hours))
+
+
+def _scan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stop_times_prune_months(spark, tmp_path):
+    store = RecordStore(spark, str(tmp_path / "many"))
+    months = [_job(f"r-{m}", f"2023-{m:02d}-10T00:00:00Z", 2) for m in range(1, 13)]
+    store.add(spark.createDataFrame(months, RECORD_ADD))
+    late = store.get_stopped_since("2023-11-01T00:00:00Z")
+    assert sorted(ids(late)) == ["r-11", "r-12"]
+    june = store.stopped_between("2023-06-01T00:00:00Z", "2023-07-01T00:00:00Z")
+    assert ids(june) == ["r-6"]
+    for df in (late, june):
+        assert "PartitionFilters: []" not in _scan_of(df) and "PartitionFilters: [" in _scan_of(df)
+    # A correction widens the bounds of its month.
+    update = spark.createDataFrame([("r-1", at("2023-12-24T00:00:00Z"))], "record_id string, stop_time timestamp")
+    store.update(update, order_by="stop_time")
+    assert sorted(ids(store.get_stopped_since("2023-12-01T00:00:00Z"))) == ["r-1", "r-12"]
+    # A store without the table reads everything, and gets the table with the next add.
+    remove_folder(spark, store.months_path)
+    assert sorted(ids(store.get_stopped_since("2023-12-01T00:00:00Z"))) == ["r-1", "r-12"]
+    store.add(spark.createDataFrame([_job("r-13", "2023-01-11T00:00:00Z", 1)], RECORD_ADD))
+    assert sorted(ids(store.get_stopped_since("2023-12-01T00:00:00Z"))) == ["r-1", "r-12"]
+
+
+def test_month_reports_prune_months(spark, tmp_path):
+    store = RecordStore(spark, str(tmp_path / "reports"))
+    months = [_job(f"r-{m}", f"2023-{m:02d}-10T00:00:00Z", 2) for m in range(1, 13)]
+    store.add(spark.createDataFrame(months, RECORD_ADD))
+    start, end = month_bounds(2023, 6)
+    config = utilization.UtilizationConfig(grouped_by="site", watts=1.0, co2_per_kwh=1.0)
+    plan = _scan_of(utilization.report(store.stopped_between(start, end), config, 2023, 6))
+    assert "PartitionFilters: []" not in plan and "PartitionFilters: [" in plan
+
+
+def test_months_do_not_depend_on_the_session_zone(spark, tmp_path):
+    store = RecordStore(spark, str(tmp_path / "zones"))
+    added = spark.createDataFrame([_job("edge", "2023-12-31T23:30:00Z", 1)], RECORD_ADD)
+    with settings(spark, spark__sql__session__timeZone="Europe/Berlin"):
+        store.add(added)
+        assert ids(store.get_started_since("2023-12-31T23:00:00Z")) == ["edge"]
+    query = RecordQuery(start_time=Operator().gte("2023-12-31T00:00:00Z").lt("2023-12-31T23:59:00Z"))
+    assert ids(store.advanced_query(query)) == ["edge"]
+    assert store.stored().first()["start_month"] == "2023-12"

@@ -2,7 +2,12 @@
 
 The start of a record never changes, so a record never moves to another
 partition.  Adds append; a stop-time correction rewrites the months it touches.
-One writer at a time is assumed.
+One writer at a time is assumed.  Months are those of UTC, whatever the session's
+time zone is.
+
+Beside the store, a small table has the first and last stop time of what was written
+to each month.  It is written before the records and only ever widens, so a query on
+stop times may leave out the months that it excludes.
 """
 
 from __future__ import annotations
@@ -13,9 +18,12 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.group import GroupedData
 
 from usageledger.functions.records import runtime_seconds
 from usageledger.operators.query import (
+    Operator,
     RecordQuery,
     started_since,
     stopped_since,
@@ -59,8 +67,8 @@ class RecordStore:
         return self.stored().select(*RECORD_COLUMNS)
 
     def advanced_query(self, query: RecordQuery, ordered: bool = True) -> DataFrame:
-        stored = self.stored()
-        return query.apply(stored.where(month_condition(query)), ordered)
+        months = month_condition(query) & self._stop_condition(query)
+        return query.apply(self.stored().where(months), ordered)
 
     def get(self) -> DataFrame:
         return self.advanced_query(RecordQuery())
@@ -71,12 +79,57 @@ class RecordStore:
     def get_stopped_since(self, since: Any) -> DataFrame:
         return self.advanced_query(stopped_since(since))
 
+    def stopped_between(self, start: Any, end: Any) -> DataFrame:
+        """Records that stopped in [start, end), in no order: what a month report reads."""
+        query = RecordQuery(stop_time=Operator().gte(start).lt(end))
+        return self.advanced_query(query, ordered=False)
+
     def get_single_record(self, record_id: str) -> DataFrame:
         """At most one row; none for an unknown or a blank id."""
         return self.records().where(
             (F.col("record_id") == record_id) & F.lit(bool(record_id.strip()))
         )
 
+    # -- months and their stop times ------------------------------------------
+
+    @property
+    def months_path(self) -> str:
+        return f"{self.path}-months"
+
+    def _note_stops(self, by_month: GroupedData, stop: str) -> None:
+        """Widen the bounds of the months that are about to be written."""
+
+        def bounds(grouped: GroupedData, name: str) -> DataFrame:
+            ends = (F.min(name).alias("first"), F.max(name).alias("last"))
+            return grouped.agg(*ends).select(
+                "start_month", F.col("first").cast("timestamp"), F.col("last").cast("timestamp")
+            )
+
+        found = bounds(by_month, stop)
+        if self.exists() and not folder_exists(self.spark, self.months_path):
+            found = found.unionByName(bounds(self.stored().groupBy("start_month"), "stop_time"))
+        found.coalesce(1).write.mode("append").parquet(self.months_path)
+
+    def _stop_condition(self, query: RecordQuery) -> Column:
+        """What a condition on the stop time says about the month partitions."""
+        bounds = {}
+        if query.stop_time is not None:
+            bounds = query.stop_time.effective(on_time=True, strict=query.strict)
+        if not bounds or not folder_exists(self.spark, self.months_path):
+            return F.lit(True)
+        months = (
+            self.spark.read.schema("start_month string, first timestamp, last timestamp")
+            .parquet(self.months_path)
+            .groupBy("start_month")
+            .agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        )
+        inside = F.col("last").isNotNull()
+        for name, value in bounds.items():
+            moment = time_literal(value, T.TimestampType())
+            inside &= F.col("last") >= moment if name in ("gt", "gte") else F.col("first") <= moment
+        other = [row["start_month"] for row in months.where(~inside).collect()]
+        return F.coalesce(~F.col("start_month").isin(*other), F.lit(True)) if other else F.lit(True)
+
     # -- adding -------------------------------------------------------------
 
     def add(
@@ -103,6 +156,7 @@ class RecordStore:
                 bad = [row["record_id"] for row in rejects.select("record_id").take(5)]
                 if bad:
                     raise InvalidRecords(f"invalid records, for example {bad}")
+            self._note_stops(with_month(batch).groupBy("start_month"), "stop_time")
             if on_duplicate == "skip":
                 self._append(self._new_records(batch), now)
             else:
@@ -187,6 +241,10 @@ class RecordStore:
         touched = _months_of(stored.join(latest, "record_id", "left_semi"))
         if not touched:
             return
+        months = self.spark.createDataFrame([(month,) for month in touched], "start_month string")
+        span = latest.agg(F.min("new_stop").alias("first"), F.max("new_stop").alias("last")).first()
+        bounds = [F.lit(span[name]).cast("timestamp").alias(name) for name in ("first", "last")]
+        months.select("start_month", *bounds).write.mode("append").parquet(self.months_path)
         changed = F.col("new_stop").isNotNull()
         runtime = runtime_seconds("start_time", "new_stop")
         rewritten = (
@@ -228,8 +286,14 @@ def _months_of(stored: DataFrame) -> list[str]:
     return [row["start_month"] for row in stored.select("start_month").distinct().collect()]
 
 
+def utc_month(moment: Column) -> Column:
+    """``yyyy-MM`` in UTC, in a session of any time zone."""
+    day = F.floor(F.unix_seconds(moment.cast("timestamp")) / 86_400).cast("int")
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM")
+
+
 def with_month(records: DataFrame) -> DataFrame:
-    return records.withColumn("start_month", F.date_format("start_time", "yyyy-MM"))
+    return records.withColumn("start_month", utc_month(F.col("start_time")))
 
 
 def write_months(records: DataFrame, path: str, mode: str) -> None:
@@ -259,9 +323,7 @@ def month_condition(query: RecordQuery) -> Column:
         return condition
     bounds = query.start_time.effective(on_time=True, strict=query.strict)
     for name, value in bounds.items():
-        month = F.date_format(
-            time_literal(value, RECORD_ADD["start_time"].dataType), "yyyy-MM"
-        )
+        month = utc_month(time_literal(value, T.TimestampType()))
         column = F.col("start_month")
         condition &= column >= month if name in ("gt", "gte") else column <= month
     return condition
@@ -294,6 +356,11 @@ def partition_folders(spark: SparkSession, path: str) -> list[str]:
     return [name for name in names if "=" in name]
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    system, where = _filesystem(spark, path)
+    return system.exists(where)
+
+
 def move_only_file(spark: SparkSession, folder: str, target: str) -> None:
     """Put the one part file of a written folder in place of ``target``."""
     system, where = _filesystem(spark, folder)
