@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
             plane = np.frombuffer(blob, np.uint8, rows * width, at).reshape(width, rows)
             parts[name].append(np.ascontiguousarray(plane.T).view(f"<u{width}").ravel())
             at += rows * width
-    out = {name: np.concatenate(part) for name, part in parts.items()}
+    out = {name: np.concatenate(part or [np.empty(0, f"<u{w}")]) for (name, part), (_, w) in zip(parts.items(), _FIELDS)}
     return {name: v if name in ("gram", "whole") else v.astype(np.int64) for name, v in out.items()}
 
 
@@ -109,7 +110,8 @@ def _later_copies(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarra
     """Order by stretch and place; whether an equal stretch stands earlier."""
     order = np.lexsort((columns["start"], columns["doc"], columns["whole"], columns["gram"]))
     c = {name: columns[name][order] for name in ("gram", "whole", "doc", "start")}
-    head = np.r_[True, (c["gram"][1:] != c["gram"][:-1]) | (c["whole"][1:] != c["whole"][:-1])]
+    head = np.ones(len(order), bool)
+    head[1:] = (c["gram"][1:] != c["gram"][:-1]) | (c["whole"][1:] != c["whole"][:-1])
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
     return order, (c["doc"] != c["doc"][first]) | (c["start"] != c["start"][first])
 
@@ -132,15 +134,16 @@ def _merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBa
 
 
 def _scan(buckets: int):
-    """Step 1.  Rows (bucket, blob), or bucket null and a mark."""
+    """Step 1.  Rows (bucket, blob), and marks, which any bucket may carry on."""
 
     def flush(gathered: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = {name: np.concatenate([g[name] for g in gathered]) for name, _ in _FIELDS}
         order, later = _later_copies(columns)
         gone = order[later]
         marks = _merged(columns["doc"][gone], columns["start"][gone], columns["size"][gone] + WINDOW - 1)
+        carrier = pa.array((marks.column("doc_id").to_numpy() % buckets).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(marks.num_rows, pa.int32()), pa.nulls(marks.num_rows, pa.binary()), *marks.columns],
+            [carrier, pa.nulls(marks.num_rows, pa.binary()), *marks.columns],
             names=["bucket", "blob", "doc_id", "start", "size"],
         )
         rest = order[~later]
@@ -182,22 +185,26 @@ def _scan(buckets: int):
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """Step 2 for one bucket: marks (gram null) and requests (gram set).  ``crowd``
-    says whether very many stretches share the gram."""
-    c = _unpack([blob.as_py() for blob in table.column("blob")])
+    """Step 2 for one bucket: marks (gram null), those of step 1 with them, and
+    requests (gram set).  ``crowd`` says whether very many stretches share the gram."""
+    packed = pc.is_valid(table.column("blob"))
+    ready = table.filter(pc.invert(packed)).select(["doc_id", "start", "size"])
+    c = _unpack([blob.as_py() for blob in table.filter(packed).column("blob")])
     order, later = _later_copies(c)
     gone, kept = order[later], order[~later]
     gram = c["gram"][kept]
     whole = c["whole"][kept]
-    new = np.r_[True, gram[1:] != gram[:-1]]
-    kinds = np.r_[True, new[1:] | (whole[1:] != whole[:-1])]
+    new = np.ones(len(gram), bool)
+    new[1:] = gram[1:] != gram[:-1]
+    kinds = new.copy()
+    kinds[1:] |= whole[1:] != whole[:-1]
     group = np.cumsum(new) - 1
     many = np.bincount(group, kinds)[group]
     asked = many > 1
     kept, many = kept[asked], many[asked]
     both = np.r_[gone, kept]
     unset, none = np.zeros(len(gone), bool), np.ones(len(kept), bool)
-    return pa.table(
+    found = pa.table(
         {
             "doc_id": pa.array(c["doc"][both]),
             "start": pa.array(c["start"][both].astype(np.int32)),
@@ -207,6 +214,9 @@ def _settle(table: pa.Table) -> pa.Table:
             "crowd": pa.array(np.r_[unset, many > CROWD]),
         }
     )
+    for name, kind, value in (("left", pa.int32(), None), ("gram", pa.int64(), None), ("crowd", pa.bool_(), False)):
+        ready = ready.append_column(name, pa.array([value] * len(ready), kind))
+    return pa.concat_tables([found, ready])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,11 +286,8 @@ def find_repeats(documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-volume // BUCKET_BYTES))
-    scanned = materialize(
-        texts.transform(map_arrow, _scan(buckets), f"bucket int, blob binary, {_MARK}"), "stretches"
-    )
     settled = materialize(
-        scanned.where("bucket IS NOT NULL")
+        texts.transform(map_arrow, _scan(buckets), f"bucket int, blob binary, {_MARK}")
         .groupBy("bucket")
         .applyInArrow(_settle, f"{_MARK}, left int, gram long, crowd boolean"),
         "settled",
@@ -299,8 +306,7 @@ def find_repeats(documents: DataFrame) -> DataFrame:
     )
     indexed = cut.groupBy("bucket").applyInArrow(_index, _MARK)
     columns = ["doc_id", "start", "size"]
-    whole = scanned.where("bucket IS NULL").select(columns)
-    marks = whole.union(settled.where("gram IS NULL").select(columns)).union(indexed)
+    marks = settled.where("gram IS NULL").select(columns).union(indexed)
     return marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("marks"))
 
 
