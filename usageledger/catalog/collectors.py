@@ -304,6 +304,35 @@ def history_filter(spark, sf_dir):
     )
 
 
+@query(
+    "f17_constraint",
+    "SELECT event_id FROM ev WHERE user_id <> 'u1' AND cores >= 4 AND k % 5 > 0",
+)
+def history_constraint(spark, sf_dir):
+    wanted = "Owner <> 'u1' AND CAST(CpusProvisioned AS INT) >= 4 AND VoName IS NOT NULL"
+    config = CondorConfig(CONDOR.class_ads, CONDOR.meta, CONDOR.components, constraint=wanted)
+    return htcondor.filter_history(_history(spark, sf_dir), config).select(
+        F.col("ClusterId").cast("bigint").alias("event_id")
+    )
+
+
+@query(
+    "f17_after_marks",
+    """WITH marks AS (SELECT uid % 3 AS schedd, max(event_id) AS mark FROM ev
+                      WHERE uid % 3 < 2 AND start_time < TIMESTAMP '2024-01-15' GROUP BY 1)
+       SELECT event_id FROM ev LEFT JOIN marks ON ev.uid % 3 = marks.schedd
+       WHERE mark IS NULL OR event_id > mark""",
+)
+def history_after_marks(spark, sf_dir):
+    """Two schedulers go on behind their own last job, the third starts anew."""
+    jobs = _history(spark, sf_dir)
+    cutoff = F.lit("2024-01-15").cast("timestamp")
+    seen = F.timestamp_seconds(F.substring_index("GlobalJobId", "#", -1).cast("bigint"))
+    known = jobs.where((F.col("schedd") != "schedd2") & (seen < cutoff))
+    left = htcondor.after_marks(jobs, htcondor.next_marks(known))
+    return left.select(F.col("ClusterId").cast("bigint").alias("event_id"))
+
+
 @query(
     "p14_condor_records",
     """SELECT 'htcondor-submit#' || event_id || '.0#' || CAST(floor(epoch(start_time)) AS BIGINT) AS record_id,

@@ -80,6 +80,30 @@ def incremental_source(spark, sf_dir):
               CAST(0 AS BIGINT) AS proc FROM ev GROUP BY 1""",
 )
 def condor_ingest(spark, sf_dir):
+    _, marks = _ingested_condor(spark, sf_dir)
+    last = F.max(F.struct("cluster", "proc")).alias("last")
+    return marks.groupBy("schedd").agg(last).select("schedd", "last.cluster", "last.proc")
+
+
+@query(
+    "t2_condor_records",
+    """SELECT 'htcondor-submit#' || event_id || '.0#' || CAST(floor(epoch(start_time)) AS BIGINT) AS record_id,
+              user_id, cores, seconds AS cpu, date_trunc('second', start_time) AS start_time
+       FROM ev WHERE k <> 0""",
+)
+def condor_ingested_records(spark, sf_dir):
+    store, _ = _ingested_condor(spark, sf_dir)
+    return store.records().select(
+        "record_id",
+        first_meta("user").alias("user_id"),
+        component_amount("Cores").alias("cores"),
+        component_amount("UserCPU").alias("cpu"),
+        "start_time",
+    )
+
+
+def _ingested_condor(spark, sf_dir):
+    """The store and the marks after all history files were taken."""
     drops = scratch_path(spark, "drops")
     condor_lines(spark, sf_dir).write.partitionBy("schedd").text(drops)
     lines = ingest.text_stream(spark, drops, files_per_batch=1)
@@ -95,9 +119,7 @@ def condor_ingest(spark, sf_dir):
             scratch_path(spark, "checkpoint"),
         )
     )
-    last = F.max(F.struct("cluster", "proc")).alias("last")
-    stored = spark.read.parquet(marks)
-    return stored.groupBy("schedd").agg(last).select("schedd", "last.cluster", "last.proc")
+    return store, spark.read.parquet(marks)
 
 
 @query(

@@ -50,6 +50,8 @@ class CondorConfig:
     record_prefix: str = "htcondor"
     job_status: Sequence[int] = ()
     since: int | None = None
+    # A condition in SQL over the class ads, which are text; null means no.
+    constraint: str | None = None
 
 
 def split_history(lines: DataFrame, config: CondorConfig) -> DataFrame:
@@ -146,7 +148,7 @@ def _first_time(names: Sequence[str], ads: Sequence[str], skip_zero: bool) -> Co
 
 
 def filter_history(jobs: DataFrame, config: CondorConfig) -> DataFrame:
-    """Wanted job states, and jobs completed after the given time."""
+    """Wanted job states, jobs completed after the given time, and the constraint."""
     if config.job_status:
         jobs = jobs.where(
             F.col("JobStatus").try_cast("int").isin(*[int(s) for s in config.job_status])
@@ -154,9 +156,23 @@ def filter_history(jobs: DataFrame, config: CondorConfig) -> DataFrame:
     if config.since is not None:
         completed = F.col("CompletionDate").try_cast("double")
         jobs = jobs.where((completed > config.since) & (completed > 0))
+    if config.constraint is not None:
+        jobs = jobs.where(F.expr(config.constraint))
     return jobs
 
 
+def after_marks(jobs: DataFrame, marks: DataFrame, schedd: str = "schedd") -> DataFrame:
+    """Jobs behind the last one known of their scheduler (``next_marks``, one row per
+    scheduler); all jobs of a scheduler without a mark."""
+    known = marks.select(schedd, F.struct("cluster", "proc").alias("mark"))
+    job = F.struct(
+        F.col("ClusterId").try_cast("bigint").alias("cluster"),
+        F.col("ProcId").try_cast("bigint").alias("proc"),
+    )
+    behind = F.col("mark").isNull() | (job > F.col("mark"))
+    return jobs.join(known, schedd, "left").where(behind).drop("mark")
+
+
 def to_records(jobs: DataFrame, config: CondorConfig) -> DataFrame:
     """Jobs -> records to add, plus ``has_stop``: a job without any stop time
     ends at the epoch.
