@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from usageledger.catalog.registry import query
 from usageledger.catalog.tables import (
     CONDOR_ADS,
+    QUEUES,
     condor_lines,
     detail_texts,
     metric_samples,
@@ -33,20 +34,22 @@ from usageledger.sources.rules import (
 
 # -- Slurm dump -----------------------------------------------------------------------
 
-PART_1 = OnlyIf("Partition", "^part1$")
-PART_2 = OnlyIf("Partition", "^part2$")
+# Short jobs run at one site on the newer machines, long ones at another; a speed score
+# covers every production queue, and short jobs get a second one.
+SHORT, LONG = OnlyIf("Partition", "^short-"), OnlyIf("Partition", "^long-")
+PRODUCTION = OnlyIf("Partition", "-cpu$")
 SLURM = slurm.SlurmConfig(
-    sites=(SiteRule("SiteA", PART_1), SiteRule("SiteB", PART_2)),
+    sites=(SiteRule("harbour", SHORT), SiteRule("quarry", PRODUCTION)),
     meta=(MetaRule("Comment", "Comment", "Json", allow_empty=True),),
     components=(
         ComponentRule(
             "Cores",
             "NCPUS",
-            scores=(ScoreRule("HEPSPEC06", 1.1, PART_1), ScoreRule("HEPSPEC06", 1.2, PART_2)),
+            scores=(ScoreRule("speed", 7.5, PRODUCTION), ScoreRule("turbo", 9.25, SHORT)),
         ),
         ComponentRule("Memory", "ReqMem", "IntegerMega"),
         ComponentRule("TotalCPU", "TotalCPU", "Time"),
-        ComponentRule("Priority", "Priority", default_value=5, only_if=PART_2),
+        ComponentRule("Priority", "Priority", default_value=5, only_if=LONG),
     ),
     job_filter=slurm.JobFilter(status=("completed", "cancelled")),
 )
@@ -60,10 +63,10 @@ DUMP = slurm.SlurmConfig(
 NEVER_STARTED = "group_id = 'error' AND k % 2 = 1"
 SLURM_SQL = f"""
 SELECT 'slurm-' || CAST(event_id AS VARCHAR) AS record_id,
-       CASE uid % 3 WHEN 0 THEN 'SiteA' ELSE 'SiteB' END AS site, user_id, group_id,
+       CASE uid % 3 WHEN 0 THEN 'harbour' ELSE 'quarry' END AS site, user_id, group_id,
        CASE WHEN k % 2 = 0 THEN '/atlas/Role=' || group_id END AS voms,
        cores, cores * 2000 AS memory, seconds AS cpu,
-       CASE uid % 3 WHEN 0 THEN 1.1::DOUBLE ELSE 1.2::DOUBLE END AS score,
+       7.5::DOUBLE AS score, CASE uid % 3 WHEN 0 THEN 9.25::DOUBLE END AS turbo,
        date_trunc('second', start_time) AS start_time, date_trunc('second', ended) AS stop_time
 FROM ev WHERE uid % 3 IN (0, 1) AND NOT ({NEVER_STARTED})"""
 
@@ -78,7 +81,8 @@ def slurm_flat(records):
         component_amount("Cores").alias("cores"),
         component_amount("Memory").alias("memory"),
         component_amount("TotalCPU").alias("cpu"),
-        score_value("Cores", "HEPSPEC06").alias("score"),
+        score_value("Cores", "speed").alias("score"),
+        score_value("Cores", "turbo").alias("turbo"),
         "start_time",
         "stop_time",
     )
@@ -143,7 +147,7 @@ def cancelled_before_start(spark, sf_dir):
 def job_filters(spark, sf_dir):
     wanted = slurm.JobFilter(
         status=("completed",),
-        partition=("part1", "part2"),
+        partition=QUEUES[:2],
         user=tuple(f"u{number}" for number in range(1, 8)),
         group=("click", "view", "error"),
     )
@@ -152,8 +156,8 @@ def job_filters(spark, sf_dir):
 
 @query(
     "f16_only_if",
-    """SELECT CAST(event_id AS VARCHAR) AS job, CASE uid % 3 WHEN 0 THEN 1.1::DOUBLE WHEN 1 THEN 1.2::DOUBLE END
-       AS score, CASE uid % 3 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END AS scores FROM ev""",
+    """SELECT CAST(event_id AS VARCHAR) AS job, CASE WHEN uid % 3 < 2 THEN 7.5::DOUBLE END
+       AS score, CASE uid % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS scores FROM ev""",
 )
 def only_if(spark, sf_dir):
     from usageledger.sources.rules import scores_of
@@ -169,7 +173,7 @@ def only_if(spark, sf_dir):
 
 @query(
     "p17_site",
-    """SELECT CAST(event_id AS VARCHAR) AS job, CASE uid % 3 WHEN 0 THEN 'SiteA' WHEN 1 THEN 'SiteB' END AS site
+    """SELECT CAST(event_id AS VARCHAR) AS job, CASE uid % 3 WHEN 0 THEN 'harbour' WHEN 1 THEN 'quarry' END AS site
        FROM ev""",
 )
 def site(spark, sf_dir):
@@ -205,7 +209,7 @@ def slurm_records(spark, sf_dir):
 
 DETAIL = slurm_detail.DetailConfig(
     "here",
-    components=(ComponentRule("Cores", "NumCPUs", scores=(ScoreRule("HEPSPEC06", 1.1, PART_1),)),),
+    components=(ComponentRule("Cores", "NumCPUs", scores=(ScoreRule("turbo", 9.25, SHORT),)),),
 )
 
 
@@ -226,7 +230,7 @@ def job_detail(spark, sf_dir):
 @query(
     "p13_detail_records",
     """SELECT 'slurm-' || CAST(event_id AS VARCHAR) AS record_id, 'here' AS site, user_id, group_id, cores,
-              CASE uid % 3 WHEN 0 THEN 1.1::DOUBLE END AS score,
+              CASE uid % 3 WHEN 0 THEN 9.25::DOUBLE END AS score,
               date_trunc('second', start_time) AS start_time, date_trunc('second', ended) AS stop_time FROM ev""",
 )
 def detail_records(spark, sf_dir):
@@ -236,7 +240,7 @@ def detail_records(spark, sf_dir):
         first_meta("user_id").alias("user_id"),
         first_meta("group_id").alias("group_id"),
         component_amount("Cores").alias("cores"),
-        score_value("Cores", "HEPSPEC06").alias("score"),
+        score_value("Cores", "turbo").alias("score"),
         "start_time",
         "stop_time",
     )
@@ -250,7 +254,7 @@ CONDOR = CondorConfig(
     meta={
         "user": [Getter(key="Owner", matches="^(.+)$")],
         "group": [Getter(key="VoName", matches="^(.+)$")],
-        "submithost": [Getter(key="GlobalJobId", matches=r"^(.*)#\d+.\d+#\d+$")],
+        "submithost": [Getter(key="GlobalJobId", matches="^([^#]+)#")],
         "site": [
             Getter(name="near", key="LastRemoteHost", matches="^slot1@site_1$"),
             Getter(name="UNDEF"),
@@ -264,7 +268,7 @@ CONDOR = CondorConfig(
                 Getter(
                     "HEPscore23",
                     "MachineAttrApelSpecs0",
-                    matches=r"HEPscore23\D+(\d+(\.\d+)?)",
+                    matches="HEPscore23: ([0-9.]+)",
                     only_if=NEAR,
                 ),
             ),

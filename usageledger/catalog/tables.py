@@ -15,6 +15,7 @@ from usageledger.functions.records import make_component, make_score
 from usageledger.schema import RECORD_COLUMNS
 
 SITES = 6
+QUEUES = ("short-cpu", "long-cpu", "test")
 BENCHMARK = 18.4
 
 
@@ -159,6 +160,11 @@ def _clock(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def queue_of(uid: Column) -> Column:
+    """Users are dealt over three queues; nobody accounts for the last one."""
+    return F.element_at(F.array(*(F.lit(name) for name in QUEUES)), (uid % 3 + 1).cast("int"))
+
+
 def slurm_lines(spark: SparkSession, sf_dir: str, pieces: int | None = None) -> DataFrame:
     """Two lines per event: the job, and its batch step that alone knows the CPU
     time; plus an ``extern`` step that must be ignored.  With ``pieces`` the lines
@@ -186,7 +192,7 @@ def slurm_lines(spark: SparkSession, sf_dir: str, pieces: int | None = None) ->
         (F.col("event_type") == "error") & (F.col("k") % 2 == 1), F.lit("Unknown")
     ).otherwise(_clock(F.col("ts")))
     ended = _clock(F.col("ended"))
-    partition = F.concat(F.lit("part"), (F.col("uid") % 3 + 1).cast("string"))
+    partition = queue_of(F.col("uid"))
     memory = F.concat((F.col("cores") * 2000).cast("string"), F.lit("M"))
 
     def line(*cells: Column) -> Column:
@@ -214,7 +220,7 @@ def detail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(" JobName=run=1\n   UserId=nobody(0) GroupId="), F.col("event_type"),
             F.lit("(100) StartTime="), _clock(F.col("ts")),
             F.lit("\n   EndTime="), _clock(F.col("ended")),
-            F.lit(" Partition=part"), (F.col("uid") % 3 + 1).cast("string"),
+            F.lit(" Partition="), queue_of(F.col("uid")),
             F.lit("\n NumCPUs="), F.col("cores").cast("string"),
             F.lit(" UserId="), F.col("user"), F.lit("(1000)"),
         ).alias("value")
