@@ -26,10 +26,11 @@ EMBEDDING = 8
 FILTERS = 16
 ROWS_PER_LANGUAGE = 600
 WINDOWS_PER_ROW = 2
-STEPS = 400
+STEPS = 600
 BATCH = 64
 LETTER = r"\p{L}"
 UNDETERMINED = "und"
+LEAST_LOG = -6.0
 
 
 @dataclass
@@ -99,6 +100,9 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], seed: i
     for step in range(1, STEPS + 1):
         chosen = rng.integers(0, len(windows), BATCH)
         x, y = windows[chosen].astype(int), target[chosen]
+        # Half of the windows are cut short, as the last window of a text is.
+        size = np.where(rng.random(BATCH) < 0.5, rng.integers(8, WINDOW, BATCH), WINDOW)
+        x[np.arange(WINDOW) >= size[:, None]] = 0
         emb, filters, biases, out, out_bias = params[0], params[1 : 1 + k], params[1 + k : 1 + 2 * k], *params[-2:]
         e = emb[x]
         best, hidden = [], []
@@ -183,7 +187,8 @@ def fit(documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Net
 def predict(documents: DataFrame, model: Network | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``documents``.
 
-    The log probabilities of all windows are averaged, weighted by their length.
+    The log probabilities of all windows are averaged, weighted by their length; they
+    are bounded below, so that a passage in another language counts by its share.
     A text that is null or has no letter, and any text without a model, gives
     ``und`` with score 0.  A null doc_id is not held out.
     """
@@ -203,9 +208,9 @@ def predict(documents: DataFrame, model: Network | None) -> DataFrame:
                     for a in range(0, len(windows), 512):
                         part = slice(a, a + 512)
                         logits = _pooled(windows[part], tables, bias) @ model.out + model.out_bias
-                        np.add.at(total, row[part], _log_softmax(logits) * filled[part, None])
-                    mean = total / np.maximum(np.diff(off), 1)[:, None]
-                    prob = np.exp(_log_softmax(mean))
+                        logs = np.maximum(_log_softmax(logits), LEAST_LOG)
+                        np.add.at(total, row[part], logs * filled[part, None])
+                    prob = np.exp(_log_softmax(total / np.maximum(np.diff(off), 1)[:, None]))
                     best = prob.argmax(axis=1)
                     known = letters[first:end]
                     score = np.where(known, np.round(prob[np.arange(rows), best], 6), 0.0)
