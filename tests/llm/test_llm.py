@@ -128,6 +128,19 @@ def test_secret_scan(docs, hostile, spark, small):
     assert texts_of(secret_scan.redact_secrets(docs))[16].startswith("[SECRET]' [SECRET] [SECRET] password")
 
 
+def test_secret_scan_unspaced_assignments():
+    key = "q8Zr2LmX0pWv7NtYb4Kc9HdS1eUf6GjA3xQoVw5T"
+    for before in (
+        "key=", "aws_secret_access_key=", "private_key=", "credential=", "pwd=", "https://a.b/c?signature=", "x?sig_key=",
+        "key==", "key:=", "key=>", "key:", "key: ", "key = ", "key='", "key => ", "key is ", "Authorization: Bearer ",
+    ):
+        text = f"{before}{key} "
+        assert secret_scan.find(text) == [("novel", len(before), len(before) + len(key))], before
+        assert secret_scan.redact(text, secret_scan.find(text)) == f"{before}[SECRET] "
+    assert secret_scan.find(f"a monkey{key}") == []
+    assert secret_scan.find("key=your_token_here_default_1") == []
+
+
 def test_novelty_tells_names_from_keys():
     assert secret_scan.novelty("q8Zr2LmX0pWv7NtYb4Kc9Hd", "", "") > 0.9
     assert secret_scan.novelty("your_token_here_example_default", "", "") < secret_scan.LEAST_NOVELTY

@@ -34,8 +34,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _SENSITIVE = re.compile(
     r"(?:passw|passphrase|pwd|secret|token|credential|bearer|authorization|key|signature)"
-    r"[A-Za-z_]{0,16}[\"'`)\]>]{0,2}[\x20\t]{0,4}(?:[:=,(]|=>|is\x20)?[\x20\t]{0,4}[\"'`(]{0,2}"
-    r"(?:basic\x20|bearer\x20)?(?<![A-Za-z0-9+/_=.-])([A-Za-z0-9+/_=.-]{16,})",
+    r"[A-Za-z_]{0,16}[\"'`)\]>]{0,2}[\x20\t]{0,4}"
+    r"(?:(?:={1,3}(?![=>])|=>|:=|[:,(]|is\x20)[\x20\t]{0,4}[\"'`(]{0,2}(?:basic\x20|bearer\x20)?"
+    r"|[\x20\t]{0,4}[\"'`(]{0,2}(?:basic\x20|bearer\x20)?(?<![A-Za-z0-9+/_=.-]))"  # else inside a word
+    r"([A-Za-z0-9+/_=.-]{16,})",
     re.IGNORECASE | re.ASCII,
 )
 _WORDS = ("pass", "pwd", "secret", "token", "credential", "bearer", "authorization", "key", "signature")
