@@ -141,6 +141,16 @@ def test_secret_scan_unspaced_assignments():
     assert secret_scan.find("key=your_token_here_default_1") == []
 
 
+def test_secret_scan_repeated_key():
+    key = "q8Zr2LmX0pWv7NtYb4Kc9HdS1eUf6GjA3xQoVw5T"
+    rng = random.Random(4)
+    for between in (0, 1, 200, *range(215, 262, 3), 400):
+        text = f"signature: {key}\n{prose(rng, 100)[:between]}\nexport private_key={key}\nuse the key {key}.\nkey = {key}"
+        assert secret_scan.redact(text, secret_scan.find(text)).count("[SECRET]") == 4, between
+        assert key[:8] not in secret_scan.redact(text, secret_scan.find(text))
+    assert secret_scan.find("key = your_token_here_default_1\n" * 3) == []
+
+
 def test_novelty_tells_names_from_keys():
     assert secret_scan.novelty("q8Zr2LmX0pWv7NtYb4Kc9Hd", "", "") > 0.9
     assert secret_scan.novelty("your_token_here_example_default", "", "") < secret_scan.LEAST_NOVELTY

@@ -1,9 +1,10 @@
 """Secret scans: patterns, and novelty against a primed zstandard dictionary.
 
 A string next to a sensitive word is a candidate.  It is compressed with a
-dictionary made of common identifiers and of the text around it; what it adds to
-the compressed size, against its length, is its novelty.  Names, paths and words
-of the surrounding code compress well, random keys do not.
+dictionary made of common identifiers and of the text around it, without copies of
+the string itself; what it adds to the compressed size, against its length, is its
+novelty.  Names, paths and words of the surrounding code compress well, random keys
+do not, however often they stand there.
 """
 
 from __future__ import annotations
@@ -69,6 +70,16 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return max(0, len(compressor.compress(data)) - frame) / len(data)
 
 
+def _around(text: str, start: int, end: int) -> tuple[str, str]:
+    """The text before and after a candidate, with its copies blanked: also those that
+    an edge cuts, and those that lack punctuation at their ends."""
+    core = text[start:end].strip("+/_=.-")
+    blank, over = "\n" * len(core), len(core) - 1
+    first = max(0, start - AROUND)
+    low = max(0, first - over)
+    return text[low:start].replace(core, blank)[first - low :], text[end : end + AROUND + over].replace(core, blank)[:AROUND]
+
+
 def _novel(text: str, lowered: str) -> Iterator[Span]:
     if not any(word in lowered for word in _WORDS):
         return
@@ -76,8 +87,7 @@ def _novel(text: str, lowered: str) -> Iterator[Span]:
         start, end = match.span(1)
         value = match[1]
         mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-        if mixed and novelty(value, before, after) >= LEAST_NOVELTY:
+        if mixed and novelty(value, *_around(text, start, end)) >= LEAST_NOVELTY:
             yield "novel", start, end
 
 
