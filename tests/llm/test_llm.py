@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import os
 import random
+import tempfile
 import zlib
 
 import numpy as np
@@ -226,6 +228,30 @@ def test_substring_dedup(docs, hostile, small, spark, monkeypatch):
             assert row["kept_sha256"] == hashlib.sha256(kept).hexdigest()
 
 
+@pytest.mark.parametrize("size", [90, 100, 150])
+def test_substring_dedup_common_passage(spark, monkeypatch, size):
+    """One passage in many documents, with other text around it: no group of one key
+    outgrows the bound, and every window with an earlier equal one is found."""
+    rng = random.Random(size)
+    passage = prose(rng, 60)[:size]
+    rows = [(i, f"{prose(rng, 30)[:120]}{passage}{prose(rng, 30)[:120]}") for i in range(500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    index, folder = substring_dedup._index, tempfile.mkdtemp()
+
+    def counted(bucket):
+        pieces = sum(x.is_valid for x in bucket.column("bytes"))
+        open(f"{folder}/{pieces}", "w").close()
+        return index(bucket)
+
+    monkeypatch.setattr(substring_dedup, "_index", counted)
+    monkeypatch.setattr(substring_dedup, "INDEX_BYTES", 1 << 12)
+    found = by_id(substring_dedup.digests(substring_dedup.remove_repeats(table)))
+    assert max(map(int, os.listdir(folder)), default=0) <= substring_dedup.CROWD
+    for doc, (data, mark) in brute.without_repeats(rows).items():
+        kept = bytes(b for b, m in zip(data, mark) if not m)
+        assert found[doc]["n_removed"] == sum(mark) and found[doc]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+
+
 def test_run_index():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(60)]

@@ -14,12 +14,14 @@ stretch of 100 to 168 bytes.
 3. Those stretches are cut from the texts and indexed, bucket by bucket: a run-length
    Burrows-Wheeler transform is streamed backwards by all stretches at once, and a
    window is marked if its interval has an earlier member.
-4. The marks meet their text again.
+4. Where very many stretches share a gram, as at the ends of a passage that many
+   documents have, no index is to hold them.  Their windows are hashed one by one and
+   go out by hash, only the earliest of each task.
+5. The marks meet their text again.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +43,8 @@ GATHER_BYTES = 16 << 20
 BUCKET_BYTES = 2 << 20
 INDEX_BYTES = 1 << 19
 CROWD = 256
-SEGMENT = 16
+GATHER_WINDOWS = 1 << 19
+BUCKET_WINDOWS = 1 << 17
 
 _MARK = "doc_id long, start int, size int"
 _FIELDS = (("gram", 8), ("whole", 8), ("doc", 8), ("start", 4), ("left", 1), ("size", 1))
@@ -133,29 +136,32 @@ def _merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBa
     )
 
 
+def _dealt(gathered: list[dict[str, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, blob) of the earliest of equal stretches, and marks of the others,
+    which any bucket may carry on."""
+    columns = {name: np.concatenate([g[name] for g in gathered]) for name, _ in _FIELDS}
+    order, later = _later_copies(columns)
+    gone = order[later]
+    marks = _merged(columns["doc"][gone], columns["start"][gone], columns["size"][gone] + WINDOW - 1)
+    carrier = pa.array((marks.column("doc_id").to_numpy() % buckets).astype(np.int32))
+    yield pa.RecordBatch.from_arrays(
+        [carrier, pa.nulls(marks.num_rows, pa.binary()), *marks.columns],
+        names=["bucket", "blob", "doc_id", "start", "size"],
+    )
+    rest = order[~later]
+    bucket = (columns["gram"][rest] % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    present, cuts = np.unique(bucket[by], return_index=True)
+    blobs = [_pack(columns, rest[part]) for part in np.split(by, cuts[1:])] if len(by) else []
+    none = pa.nulls(len(blobs), pa.int32())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(present.astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int64()), none, none],
+        names=["bucket", "blob", "doc_id", "start", "size"],
+    )
+
+
 def _scan(buckets: int):
-    """Step 1.  Rows (bucket, blob), and marks, which any bucket may carry on."""
-
-    def flush(gathered: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        columns = {name: np.concatenate([g[name] for g in gathered]) for name, _ in _FIELDS}
-        order, later = _later_copies(columns)
-        gone = order[later]
-        marks = _merged(columns["doc"][gone], columns["start"][gone], columns["size"][gone] + WINDOW - 1)
-        carrier = pa.array((marks.column("doc_id").to_numpy() % buckets).astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [carrier, pa.nulls(marks.num_rows, pa.binary()), *marks.columns],
-            names=["bucket", "blob", "doc_id", "start", "size"],
-        )
-        rest = order[~later]
-        bucket = (columns["gram"][rest] % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        present, cuts = np.unique(bucket[by], return_index=True)
-        blobs = [_pack(columns, rest[part]) for part in np.split(by, cuts[1:])] if len(by) else []
-        none = pa.nulls(len(blobs), pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(present.astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int64()), none, none],
-            names=["bucket", "blob", "doc_id", "start", "size"],
-        )
+    """Step 1.  Rows (bucket, blob) and marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, held = [], 0
@@ -176,10 +182,10 @@ def _scan(buckets: int):
                 )
                 held += len(buf)
                 if held >= GATHER_BYTES:
-                    yield from flush(gathered)
+                    yield from _dealt(gathered, buckets)
                     gathered, held = [], 0
         if gathered:
-            yield from flush(gathered)
+            yield from _dealt(gathered, buckets)
 
     return run
 
@@ -219,53 +225,92 @@ def _settle(table: pa.Table) -> pa.Table:
     return pa.concat_tables([found, ready])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3: the bytes of the stretches asked for.
+def _windows(buf: np.ndarray, off: np.ndarray, ids: np.ndarray, row: np.ndarray, asked: dict) -> dict[str, np.ndarray]:
+    """The windows of the stretches asked for, as stretches of one window each.  Equal
+    windows stand at one distance from one gram, so the gram counts as part of the hash."""
+    inside = asked["start"] + asked["size"] <= np.diff(off)[row]
+    asked, row = {name: values[inside] for name, values in asked.items()}, row[inside]
+    count = asked["size"] - WINDOW + 1
+    shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(off[row] + asked["start"], count) + shift
+    by = np.argsort(at, kind="stable")
+    at, row = at[by], np.repeat(row, count)[by]
+    left = np.repeat(asked["left"], count)[by] - shift[by]
+    whole = textops.span_hashes(buf, at, at + WINDOW) ^ left.astype(np.uint64)
+    gram = np.repeat(asked["gram"], count)[by].view(np.uint64)
+    one = np.ones(len(at), np.int64)
+    return {
+        "gram": textops.mix(gram ^ whole), "whole": whole, "doc": ids[row], "start": at - off[row], "left": left, "size": one
+    }
 
-    Where a crowd shares a gram, a stretch is cut further, to the windows of one
-    segment of offsets; its key is then the core that all windows of that segment
-    have in common, so that only stretches that may share a window meet.
-    """
-    for batch in batches:
-        for row in range(batch.num_rows):
-            data = (batch.column("text")[row].as_py() or "").encode()
-            asked = batch.column("asked")[row].values
-            doc = batch.column("doc_id")[row].as_py()
-            keys, starts, pieces = [], [], []
-            fields = (asked.field(name).to_pylist() for name in ("start", "size", "left", "gram", "crowd"))
-            for start, size, left, gram, crowd in zip(*fields):
-                if not crowd:
-                    keys.append(gram)
-                    starts.append(start)
-                    pieces.append(data[start : start + size])
-                    continue
-                anchor = start + left
-                low, high = start - anchor, start + size - WINDOW - anchor
-                for segment in range(low // SEGMENT, high // SEGMENT + 1):
-                    a, b = max(low, segment * SEGMENT), min(high, segment * SEGMENT + SEGMENT - 1)
-                    core = anchor + segment * SEGMENT
-                    name = data[core + SEGMENT - 1 : core + WINDOW] + segment.to_bytes(1, "little", signed=True)
-                    keys.append(int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True))
-                    starts.append(anchor + a)
-                    pieces.append(data[anchor + a : anchor + b + WINDOW])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, pa.int64()),
-                    pa.array([doc] * len(keys), pa.int64()),
-                    pa.array(starts, pa.int32()),
-                    pa.array(pieces, pa.binary()),
-                ],
-                names=["gram", "doc_id", "start", "bytes"],
-            )
+
+_CUT = "bucket int, blob binary, doc_id long, start int, size int, bytes binary"
+
+
+def _cut(index_buckets: int, window_buckets: int):
+    """Steps 3 and 4: the bytes of the stretches asked for, by gram, and the windows of
+    those in a crowd, by hash, in buckets after the others."""
+
+    def crowded(gathered: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for batch in _dealt(gathered, window_buckets):
+            bucket = pc.add(batch.column("bucket"), pa.scalar(index_buckets, pa.int32()))
+            yield batch.set_column(0, "bucket", bucket).append_column("bytes", pa.nulls(batch.num_rows, pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, held = [], 0
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for first, end, buf, off in textops.pieces(batch.column("text"), PIECE_BYTES):
+                lists = batch.column("asked").slice(first, end - first)
+                row = np.repeat(np.arange(end - first), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                flat = lists.flatten()
+                asked = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in ("start", "size", "left", "gram")}
+                asked = {name: values.astype(np.int64) for name, values in asked.items()}
+                crowd = flat.field("crowd").to_numpy(zero_copy_only=False).astype(bool)
+                if crowd.any():
+                    own = {name: values[crowd] for name, values in asked.items()}
+                    gathered.append(_windows(buf, off, ids[first:end], row[crowd], own))
+                    held += len(gathered[-1]["gram"])
+                    if held >= GATHER_WINDOWS:
+                        yield from crowded(gathered)
+                        gathered, held = [], 0
+                at = off[row] + asked["start"]
+                stop = np.minimum(at + asked["size"], off[row + 1])
+                few = np.flatnonzero(~crowd)
+                bucket = asked["gram"][few].view(np.uint64) % np.uint64(index_buckets)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bucket.astype(np.int32)),
+                        pa.nulls(len(few), pa.binary()),
+                        pa.array(ids[first:end][row[few]]),
+                        pa.array(asked["start"][few].astype(np.int32)),
+                        pa.nulls(len(few), pa.int32()),
+                        pa.array([buf[at[i] : stop[i]].tobytes() for i in few], pa.binary()),
+                    ],
+                    names=[part.split()[0] for part in _CUT.split(", ")],
+                )
+        if gathered:
+            yield from crowded(gathered)
+
+    return run
 
 
 def _index(table: pa.Table) -> pa.Table:
-    """Step 3 for one bucket: marks of the windows with an earlier equal one."""
-    table = table.sort_by([("doc_id", "ascending"), ("start", "ascending")])
-    number, offset, again = first_occurrences(table.column("bytes").to_pylist(), WINDOW)
-    number, offset = number[again], offset[again]
-    doc, start = (table.column(name).to_numpy()[number] for name in ("doc_id", "start"))
-    return pa.Table.from_batches([_merged(doc, start.astype(np.int64) + offset, np.full(len(doc), WINDOW))])
+    """Steps 3 and 4 for one bucket: marks of the windows with an earlier equal one."""
+    blobs, pieces = pc.is_valid(table.column("blob")), pc.is_valid(table.column("bytes"))
+    ready = table.filter(pc.invert(pc.or_(blobs, pieces))).select(["doc_id", "start", "size"])
+    c = _unpack([blob.as_py() for blob in table.filter(blobs).column("blob")])
+    order, later = _later_copies(c)
+    gone = order[later]
+    table = table.filter(pieces).sort_by([("doc_id", "ascending"), ("start", "ascending")])
+    doc, start = c["doc"][gone], c["start"][gone]
+    if len(table):
+        number, offset, again = first_occurrences(table.column("bytes").to_pylist(), WINDOW)
+        number, offset = number[again], offset[again]
+        doc = np.r_[doc, table.column("doc_id").to_numpy()[number]]
+        start = np.r_[start, table.column("start").to_numpy()[number].astype(np.int64) + offset]
+    found = pa.Table.from_batches([_merged(doc, start, np.full(len(doc), WINDOW))])
+    return pa.concat_tables([ready.cast(found.schema), found])
 
 
 def _spans(marks: list) -> list[tuple[int, int]]:
@@ -293,17 +338,15 @@ def find_repeats(documents: DataFrame) -> DataFrame:
         "settled",
     )
     requests = settled.where("gram IS NOT NULL")
-    wanted = requests.agg(F.sum("size")).first()[0] or 0
+    wanted, crowded = requests.agg(
+        F.sum(F.when(~F.col("crowd"), F.col("size"))), F.sum(F.when(F.col("crowd"), F.col("size") - (WINDOW - 1)))
+    ).first()
     asked = requests.groupBy("doc_id").agg(
         F.collect_set(F.struct("start", "size", "left", "gram", "crowd")).alias("asked")
     )
-    index_buckets = max(1, -(-wanted // INDEX_BYTES))
-    cut = (
-        texts.dropDuplicates(["doc_id"])
-        .join(asked, "doc_id")
-        .transform(map_arrow, _cut, "gram long, doc_id long, start int, bytes binary")
-        .withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(index_buckets)))
-    )
+    index_buckets = max(1, -(-(wanted or 0) // INDEX_BYTES))
+    window_buckets = max(1, -(-(crowded or 0) // BUCKET_WINDOWS))
+    cut = texts.dropDuplicates(["doc_id"]).join(asked, "doc_id").transform(map_arrow, _cut(index_buckets, window_buckets), _CUT)
     indexed = cut.groupBy("bucket").applyInArrow(_index, _MARK)
     columns = ["doc_id", "start", "size"]
     marks = settled.where("gram IS NULL").select(columns).union(indexed)
