@@ -299,6 +299,24 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_vectors(vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sample", [embedding_dedup.SAMPLE_ROWS, 3])
+def test_embedding_dedup_mixed_lengths(spark, monkeypatch, sample):
+    """One longer vector, and a group of shorter ones: each length on its own, whether
+    or not the sample has it."""
+    rng = np.random.default_rng(6)
+    table = [(0, rng.normal(size=65).astype(np.float32).tolist(), 0)]
+    for width in (64, 40):
+        for _ in range(60):
+            one = rng.normal(size=width).astype(np.float32)
+            two = (one + rng.normal(size=width).astype(np.float32) * 0.05).tolist()
+            table += [(len(table), one.tolist(), 0), (len(table) + 1, two, 0)]
+    fit = embedding_dedup.fit
+    monkeypatch.setattr(embedding_dedup, "fit", lambda vectors: fit(vectors, sample))
+    vectors = spark.createDataFrame(table, "vec_id long, embedding array<float>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(vectors).collect()}
+    assert found == {0: (0, 0)} | {i: (1, i - (i + 1) % 2) for i in range(1, len(table))}
+
+
 def test_quality_classifier(docs, labels, hostile, spark):
     found = quality_model.quality_classifier(docs, labels)
     assert found.count() == len(hostile)

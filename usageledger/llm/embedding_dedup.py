@@ -5,7 +5,8 @@ centroid is stored as one code per subspace.  A query visits every list that can
 hold a neighbour, estimates distances with per-subspace tables, and confirms what
 may be near enough by the exact cosine.
 
-Both tests are exact bounds, so no pair is lost: a neighbour within distance r lies
+Vectors of different lengths have nothing in common: each length has a quantiser of
+its own.  Both tests are exact bounds, so no pair is lost: a neighbour within distance r lies
 behind the plane between two centroids by at most r, and a true distance differs
 from the estimate by at most the member's own quantisation error.
 """
@@ -18,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,12 +64,12 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """Centroids of each label that has several lists, and the residual code books.
-    A label without an entry has one list around the origin."""
+    """For vectors of one length: centroids of each label that has several lists, and
+    the residual code books.  A label without an entry has one list around the origin."""
 
     width: int
     centroids: dict[int, np.ndarray]
-    books: np.ndarray | None
+    books: list[np.ndarray]
     parts: list[slice] = field(default_factory=list)
 
     def of(self, label: int) -> np.ndarray:
@@ -89,57 +91,66 @@ class Quantiser:
         return np.sqrt(total)
 
 
-def fit(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Quantiser:
-    """Fit on up to ``sample_rows`` unit vectors, by the order of a hash of the id.
-    A label gets one list for every ``ROWS_PER_LIST`` of its vectors, as far as the
-    sample has ``SAMPLES_PER_LIST`` vectors for each."""
+def fit(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[int, Quantiser]:
+    """Fit on up to ``sample_rows`` unit vectors, by the order of a hash of the id; one
+    quantiser for each length among them.  A label gets one list for every
+    ``ROWS_PER_LIST`` of its vectors of a length, as far as the sample has
+    ``SAMPLES_PER_LIST`` vectors for each."""
     chosen = vectors.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows)
     rows = chosen.select("label", "embedding").collect()
-    if not rows:
-        return Quantiser(0, {}, None)
-    width = max(len(r["embedding"]) for r in rows)
-    rows = [r for r in rows if len(r["embedding"]) == width]
-    x = np.array([r["embedding"] for r in rows], np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    labels = np.array([r["label"] for r in rows])
-    sampled, counts = np.unique(labels, return_counts=True)
-    large = {int(v): int(c) for v, c in zip(sampled, counts) if c >= 2 * SAMPLES_PER_LIST}
+    by_width: dict[int, list] = {}
+    for row in rows:
+        by_width.setdefault(len(row["embedding"]), []).append(row)
+    labels = {width: np.array([r["label"] for r in own]) for width, own in by_width.items()}
+    large: dict[int, dict[int, int]] = {}
+    for width, own in labels.items():
+        counted = zip(*np.unique(own, return_counts=True))
+        large[width] = {int(v): int(c) for v, c in counted if c >= 2 * SAMPLES_PER_LIST}
+    wanted = {label for own in large.values() for label in own}
     sizes = {}
-    if large:  # at most sample_rows / 32 labels
-        known = vectors.where(F.col("label").isin(list(large))).groupBy("label").count().collect()
-        sizes = {r["label"]: r["count"] for r in known}
-    model = Quantiser(width, {}, None)
-    residual = x.copy()
-    for label, count in large.items():
-        lists = min(math.ceil(sizes[label] / ROWS_PER_LIST), count // SAMPLES_PER_LIST)
-        if lists > 1:
-            own = labels == label
-            model.centroids[label] = _kmeans(x[own], lists)
-            centres = model.centroids[label]
-            residual[own] -= centres[_nearest(x[own], centres)]
-    cuts = np.linspace(0, width, min(SUBSPACES, width) + 1).astype(int)
-    model.parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
-    codes = min(CODES, len(x))
-    model.books = [_kmeans(residual[:, p], codes) for p in model.parts]
-    return model
-
-
-def _unit(column: pa.Array, width: int) -> np.ndarray:
-    """Unit vectors in double precision; rows of another width come as zeros."""
-    x = np.zeros((len(column), width))
-    for i, row in enumerate(column):
-        values = row.values
-        if len(values) == width:
-            x[i] = values.to_numpy(zero_copy_only=False)
+    if wanted:  # at most sample_rows / 32 labels, as many lengths
+        size = F.size("embedding")
+        known = vectors.where(F.col("label").isin(list(wanted)) & size.isin([w for w, own in large.items() if own]))
+        counted = known.groupBy("label", size.alias("width")).count().collect()
+        sizes = {(r["width"], r["label"]): r["count"] for r in counted}
+    models = {}
+    for width, own_rows in by_width.items():
+        x = np.array([r["embedding"] for r in own_rows], np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        model = models[width] = Quantiser(width, {}, [])
+        residual = x.copy()
+        for label, count in large[width].items():
+            lists = min(math.ceil(sizes[width, label] / ROWS_PER_LIST), count // SAMPLES_PER_LIST)
+            if lists > 1:
+                own = labels[width] == label
+                model.centroids[label] = _kmeans(x[own], lists)
+                centres = model.centroids[label]
+                residual[own] -= centres[_nearest(x[own], centres)]
+        cuts = np.linspace(0, width, min(SUBSPACES, width) + 1).astype(int)
+        model.parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+        codes = min(CODES, len(x))
+        model.books = [_kmeans(residual[:, p], codes) for p in model.parts]
+    return models
+
+
+def _model(models: dict[int, Quantiser], width: int) -> Quantiser:
+    """The quantiser of a length.  One that the sample has missed has a single list and
+    a single code, so that all its vectors are compared."""
+    return models.get(width) or Quantiser(width, {}, [np.zeros((1, width))], [slice(0, width)])
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    """Unit vectors of one length in double precision."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 _ROUTED = (
-    "label int, list int, home boolean, rep long, copies long, embedding array<float>, codes binary, error double"
+    "label int, width int, list int, home boolean, rep long, copies long, embedding array<float>, codes binary, error double"
 )
 
 
-def _route(model: Quantiser, radius: float):
+def _route(models: dict[int, Quantiser], radius: float):
     """A row for every list that a vector has to visit; the one for its own list is
     the index entry, with codes and quantisation error."""
 
@@ -147,27 +158,31 @@ def _route(model: Quantiser, radius: float):
         for batch in batches:
             for first in range(0, batch.num_rows, 2048):
                 part = batch.slice(first, 2048)
-                x = _unit(part.column("embedding"), model.width)
                 label = part.column("label").to_numpy(zero_copy_only=False)
+                widths = pc.list_value_length(part.column("embedding")).to_numpy(zero_copy_only=False)
                 row, place, home, codes, error = [], [], [], [], []
-                for value in np.unique(label):
-                    at = np.flatnonzero(label == value)
+                for width, value in np.unique(np.stack([widths, label], axis=1), axis=0):
+                    at = np.flatnonzero((label == value) & (widths == width))
+                    model = _model(models, int(width))
+                    x = _unit(part.column("embedding").take(pa.array(at)))
                     centres = model.of(int(value))
-                    square = _squares(x[at], centres)
+                    square = _squares(x, centres)
                     nearest = square.argmin(axis=1)
                     gap = square - square[np.arange(len(at)), nearest][:, None]
                     between = np.sqrt(_squares(centres, centres))[nearest]
                     i, j = np.nonzero(gap <= 2 * radius * between + _SLACK)
-                    code, far = model.encode(x[at] - centres[nearest])
+                    code, far = model.encode(x - centres[nearest])
                     row.append(at[i])
                     place.append(j)
                     home.append(nearest[i] == j)
                     codes += [code[k].tobytes() if own else None for k, own in zip(i, home[-1])]
                     error.append(far[i])
-                taken = part.take(pa.array(np.concatenate(row)))
+                row = np.concatenate(row)
+                taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [
                         taken.column("label"),
+                        pa.array(widths[row].astype(np.int32)),
                         pa.array(np.concatenate(place).astype(np.int32)),
                         pa.array(np.concatenate(home)),
                         taken.column("rep"),
@@ -201,7 +216,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _compare(model: Quantiser, least: float, radius: float):
+def _compare(models: dict[int, Quantiser], least: float, radius: float):
     """Links of a block of queries with a block of members: one count for each query,
     and only the links that are needed to connect."""
 
@@ -212,9 +227,10 @@ def _compare(model: Quantiser, least: float, radius: float):
         empty = np.empty(0, np.int64)
         rep, links, one, two = empty, empty, empty, empty
         if len(x_rows) and len(q_rows):
+            model = _model(models, table.column("width")[0].as_py())
             centre = model.of(table.column("label")[0].as_py())[table.column("list")[0].as_py()]
-            x = _unit(x_rows.column("embedding").combine_chunks(), model.width)
-            q = _unit(q_rows.column("embedding").combine_chunks(), model.width)
+            x = _unit(x_rows.column("embedding").combine_chunks())
+            q = _unit(q_rows.column("embedding").combine_chunks())
             codes = np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in x_rows.column("codes")])
             error = x_rows.column("error").to_numpy()
             i, j = np.nonzero(model.estimate(q - centre, codes) <= radius + error[None, :] + _SLACK)
@@ -246,12 +262,11 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id,
     embedding, label).
 
-    Vectors link if their labels are equal and their cosine is at least ``least``
+    Vectors link if their labels and lengths are equal and their cosine is at least ``least``
     (up to rounding in double precision); equal vectors of one label are one class
     and link with each other.  A vector that is null, zero, or holds a null or a
     non-finite number, a null label and a null vec_id link with nothing; a null
-    vec_id has no component_id and is kept.  Vectors of another length than the
-    longest link only with equal ones.
+    vec_id has no component_id and is kept.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -271,22 +286,22 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
         ),
         "vectors",
     )
-    model = fit(classes)
-    if model.books is None:
+    models = fit(classes)
+    if not models:
         found = spark.createDataFrame([], "rep long, links long, other long")
     else:
         routed = materialize(
-            classes.select("label", "rep", "copies", "embedding").transform(map_arrow, _route(model, radius), _ROUTED),
+            classes.select("label", "rep", "copies", "embedding").transform(map_arrow, _route(models, radius), _ROUTED),
             "lists",
         )
-        sizes = routed.groupBy("label", "list").agg(
+        sizes = routed.groupBy("label", "width", "list").agg(
             F.ceil(F.count_if("home") / BLOCK_ROWS).cast("int").alias("member_blocks"),
             F.ceil(F.count("*") / (4 * BLOCK_ROWS)).cast("int").alias("query_blocks"),
         )
-        sized = routed.join(sizes.where("member_blocks > 0"), ["label", "list"])
+        sized = routed.join(sizes.where("member_blocks > 0"), ["label", "width", "list"])
         every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
         one_of = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
-        carried = ["label", "list", "rep", "copies", "embedding", "codes", "error"]
+        carried = ["label", "width", "list", "rep", "copies", "embedding", "codes", "error"]
         members = sized.where("home").select(
             *carried, F.lit(True).alias("member"), one_of("member_blocks").alias("x"), every("query_blocks").alias("y")
         )
@@ -295,8 +310,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
         )
         found = (
             members.unionByName(queries.select(members.columns))
-            .groupBy("label", "list", "x", "y")
-            .applyInArrow(_compare(model, least, radius), "rep long, links long, other long")
+            .groupBy("label", "width", "list", "x", "y")
+            .applyInArrow(_compare(models, least, radius), "rep long, links long, other long")
         )
     found = materialize(found, "found")
     joined = components(found.where("other IS NOT NULL"), "rep", "other")
