@@ -110,6 +110,19 @@ def test_quality_rules_base(docs, labels, hostile, small, spark):
             assert not (row["kept"] and row["base_failed"])
 
 
+def test_quality_rules_counts_every_good_label(spark):
+    """More good labels than a sample would take; the target is the sum over all."""
+    table = spark.range(30_000).selectExpr("id AS doc_id", "concat('w', id, ' x') AS text")
+    good = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality")
+    texts = [f"w{i} x".encode() for i in range(30_000)]
+    sums = []
+    for part in (texts[:25_000], texts):
+        buf, off = np.frombuffer(b"".join(part), np.uint8), np.r_[0, np.cumsum([len(x) for x in part])]
+        count = np.bincount(quality_rules._grams(buf, off)[0], minlength=quality_rules.BUCKETS) + quality_rules.SMOOTHING
+        sums.append(np.log(count / count.sum()))
+    assert np.allclose(quality_rules.fit(table, good), sums[0] - sums[1])
+
+
 def test_quality_rules_judge(spark):
     found = entries.op1_quality_rules(spark, "/root/testdata/sf0.01").join(
         spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id"

@@ -17,11 +17,9 @@ from pyspark.sql import functions as F
 
 from usageledger.llm import textops
 from usageledger.llm.docstats import Stats
-from usageledger.llm.sampling import labelled_sample
 from usageledger.llm.shipping import map_arrow
 
 BUCKETS = 1 << 15
-TARGET_ROWS = 20_000
 THRESHOLD = -0.35
 SMOOTHING = 0.5
 
@@ -47,43 +45,28 @@ def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        trusted = batch.column("trusted").to_numpy(zero_copy_only=False)
-        for first, end, buf, off in textops.pieces(batch.column("text")):
-            grams, count = _grams(buf, off)
-            raw += np.bincount(grams, minlength=BUCKETS)
-            chosen = np.repeat(trusted[first:end], count)
-            target += np.bincount(grams[chosen], minlength=BUCKETS)
-    at = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])],
-        names=["bucket", "raw", "target"],
-    )
-
-
-def fit(documents: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> np.ndarray:
-    """Log ratio of each bucket.  Raw counts cover all texts, the target up to
-    ``target_rows`` documents labelled good; without a target every ratio is 0.
-
-    What reaches the driver is one row per bucket.
-    """
-    trusted = labelled_sample(labels.where("quality = 1"), "quality", target_rows).select(
-        "doc_id", F.lit(True).alias("trusted")
-    )
-    marked = (
-        documents.select("doc_id", "text")
-        .join(F.broadcast(trusted), "doc_id", "left")
-        .select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    )
-    counts = (
-        marked.transform(map_arrow, _count, "bucket int, raw long, target long")
-        .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-        .toPandas()
-    )
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
+        for _, _, buf, off in textops.pieces(batch.column("text")):
+            total += np.bincount(_grams(buf, off)[0], minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+
+def _counts(texts: DataFrame) -> np.ndarray:
+    """4-grams of each bucket over all texts; one row per bucket reaches the driver."""
+    rows = texts.select("text").transform(map_arrow, _count, "bucket int, n long")
+    found = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(BUCKETS)
+    total[found["bucket"]] = found["n"]
+    return total
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Log ratio of each bucket.  Raw counts cover all texts, the target all documents
+    labelled good; without a target every ratio is 0."""
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    raw, target = _counts(documents), _counts(documents.join(trusted, "doc_id", "left_semi"))
     if not target.sum():
         return np.zeros(BUCKETS)
     share = [(c + SMOOTHING) / (c.sum() + SMOOTHING * BUCKETS) for c in (target, raw)]
