@@ -25,9 +25,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, the one with the smallest id."""
+    """Keep one document of each group of near-duplicates, the one with the smallest id,
+    and one row of it where its id and text are repeated.  Rows without an id all stay;
+    so do different texts of one id, unless their id is a near-duplicate's."""
     found = minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.select(*_COLUMNS).join(found, "doc_id", "left_anti").select(*_COLUMNS)
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rest = docs.select(*_COLUMNS).join(found, "doc_id", "left_anti").select(*_COLUMNS)
+    single = rest.join(repeated, "doc_id", "left_anti").select(*_COLUMNS)
+    several = rest.join(repeated, "doc_id", "left_semi").select(*_COLUMNS)
+    return single.unionByName(several.dropDuplicates(["doc_id", "text"]))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

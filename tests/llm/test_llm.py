@@ -492,6 +492,18 @@ def test_pipeline_stages(spark, small):
     assert sorted(r["n_tokens"] for r in final.collect()) == want
 
 
+def test_pipeline_repeated_rows(spark):
+    """Rows read in twice leave one document; null ids and other texts stay."""
+    rng = random.Random(9)
+    one, two, three = (prose(rng, 80) for _ in range(3))
+    rows = [(1, one), (1, one), (1, one), (2, two), (3, None), (3, None), (None, three), (None, three)]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCUMENTS).repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, table, SF).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept)) == sorted(
+        [(1, one), (2, two), (3, ""), (0, three), (0, three)]
+    )
+
+
 def test_pipeline_hostile(spark, docs, labels, tmp_path):
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
