@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
+from fractions import Fraction
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -108,3 +110,48 @@ def near_groups(texts):
         if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
     ]
     return {doc: len(s) for doc, s in sets.items()}, roots(sets, links)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def damaged_words(doc, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h = zlib.crc32(str(doc).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n or doc is None:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def word_runs(words):
+    n, found = len(words), {}
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            start = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            if i + q - start >= max(24, 3 * q):
+                found.setdefault((start, i + q - start), q)
+    return sorted((s, size, q) for (s, size), q in found.items())
+
+
+def collapse(words):
+    """The columns of the periodic runs after doc_id."""
+    runs = sorted(word_runs(words), key=lambda r: (r[0], r[2]))
+    gone = {i for s, size, q in runs for i in range(s + q, s + size)}
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    line = "".join(f"{s},{size},{q}\n" for s, size, q in runs)
+    left = " ".join(w for i, w in enumerate(words) if i not in gone)
+    return (len(runs), *((*best, 1000 * best[1] // best[2]) if best else [None] * 4), sha(line), sha(left))
+
+
+def digest_ids(ids):
+    return hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()

@@ -13,15 +13,18 @@ from usageledger.llm import (
     language_id,
     minhash_dedup,
     packing,
+    periodic_runs,
     pii,
     quality_model,
     quality_rules,
     secret_scan,
     substring_dedup,
+    word_bpe,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +77,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    repeating = documents.select("doc_id", periodic_runs.damaged("doc_id", "text").alias("text"))
+    return periodic_runs.digests(periodic_runs.find_runs(repeating))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    codec = word_bpe.load(public_tokenizers.path(WORD_VOCABULARY))
+    return word_bpe.digests(_table(spark, sf_dir, "documents"), codec)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -85,5 +101,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_word_bpe": op12_word_bpe,
 }
 SQL: dict[str, str] = {}
