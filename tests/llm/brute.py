@@ -155,3 +155,82 @@ def collapse(words):
 
 def digest_ids(ids):
     return hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+
+
+def damaged_rows(rows):
+    """(conv_id, turn, role, text) -> conv_id: rows after damage, in order."""
+    out = {}
+    for conv, turn, role, text in rows:
+        kept = out.setdefault(conv, [])
+        name = [" " if x is None else str(x) for x in (conv, turn)]
+        role, text = (" " if x is None else x for x in (role, text))
+        fate = zlib.crc32(":".join(name).encode()) % 20
+        if fate == 0:
+            continue
+        if fate == 1:
+            text = ""
+        if fate == 2:
+            text = re.sub("[.!?]", "", text)
+        if fate == 4:
+            role = "user"
+        kept += [(turn, role, text)] * (2 if fate == 3 else 1)
+    for kept in out.values():
+        kept.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    return out
+
+
+def cheapest_edits(symbols):
+    """Cost and letters by trying every edit; symbols are (initial, fault)."""
+    following = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    best = {s: (0, "") if s in (0, 3) else None for s in range(4)}
+
+    def put_in(best):
+        for _ in range(3):
+            for s in range(4):
+                for role in "ua":
+                    to = best.get(following[s].get(role))
+                    if to is not None and (best[s] is None or (to[0] + 5, "I" + to[1]) < best[s]):
+                        best[s] = (to[0] + 5, "I" + to[1])
+        return best
+
+    best = put_in(best)
+    for initial, fault in reversed(symbols):
+        new = {}
+        for s in range(4):
+            ways = [(best[s][0] + 2, "D" + best[s][1])] if best[s] else []
+            if fault not in ("blank", "duplicate"):
+                extra = 5 if fault == "truncated" else 0
+                for letter, role, cost in (("K", initial, 0), ("R", "u", 1), ("R", "a", 1)):
+                    to = best.get(following[s].get(role))
+                    if to is not None:
+                        ways.append((to[0] + cost + extra, letter + to[1]))
+            new[s] = min(ways, default=None)
+        best = put_in(new)
+    return best[0]
+
+
+def repaired(rows):
+    """The columns of the conversation repair after conv_id, for rows in order."""
+    faults, seen = [], set()
+    for _, role, text in rows:
+        shown = re.findall(r"[^\x20\x09-\x0D]", text)
+        fault = "blank" if not shown else "duplicate" if (role, text) in seen else ""
+        faults.append(fault or ("" if shown[-1] in ".!?" else "truncated"))
+        seen.add((role, text))
+    turns = {turn for turn, _, _ in rows if turn is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    initials = [role[:1] for _, role, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    cost, audit = cheapest_edits(list(zip(initials, faults)))
+    out, state, left = [], "", iter(rows)
+    for letter in audit:
+        if letter == "D":
+            next(left)
+            continue
+        role, text = (None, "") if letter == "I" else next(left)[1:]
+        if letter != "K":
+            role = "assistant" if state == "u" else "user"
+        state = role[:1]
+        out.append(f"{role}:{text}")
+    counts = [faults.count(f) for f in ("blank", "duplicate", "truncated")]
+    return gaps, *counts, illegal, cost, audit, sha("\n".join(out))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from usageledger.llm import (
     bpe,
+    conversation_repair,
     embedding_dedup,
     language_id,
     minhash_dedup,
@@ -90,6 +91,10 @@ def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(_table(spark, sf_dir, "documents"), codec)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -103,5 +108,6 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_word_bpe": op12_word_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 SQL: dict[str, str] = {}
