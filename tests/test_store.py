@@ -12,7 +12,6 @@ from usageledger.plans.store import (
     InvalidRecords,
     RecordStore,
     UnknownRecords,
-    remove_folder,
 )
 from usageledger.schema import RECORD_ADD
 from usageledger.session import settings
@@ -260,11 +259,6 @@ def test_stop_times_prune_months(spark, tmp_path):
     update = spark.createDataFrame([("r-1", at("2023-12-24T00:00:00Z"))], "record_id string, stop_time timestamp")
     store.update(update, order_by="stop_time")
     assert sorted(ids(store.get_stopped_since("2023-12-01T00:00:00Z"))) == ["r-1", "r-12"]
-    # A store without the table reads everything, and gets the table with the next add.
-    remove_folder(spark, store.months_path)
-    assert sorted(ids(store.get_stopped_since("2023-12-01T00:00:00Z"))) == ["r-1", "r-12"]
-    store.add(spark.createDataFrame([_job("r-13", "2023-01-11T00:00:00Z", 1)], RECORD_ADD))
-    assert sorted(ids(store.get_stopped_since("2023-12-01T00:00:00Z"))) == ["r-1", "r-12"]
 
 
 def test_month_reports_prune_months(spark, tmp_path):

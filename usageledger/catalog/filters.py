@@ -29,7 +29,7 @@ from usageledger.schema import COMPONENTS_DDL
 FLAT = "record_id, site, group_id, user_id, start_time, stop_time, runtime"
 
 
-def flat(records: DataFrame) -> DataFrame:
+def flat(records: DataFrame, *more: str) -> DataFrame:
     return records.select(
         "record_id",
         first_meta("site").alias("site"),
@@ -38,6 +38,7 @@ def flat(records: DataFrame) -> DataFrame:
         "start_time",
         "stop_time",
         "runtime",
+        *more,
     )
 
 
@@ -358,31 +359,29 @@ def conversion_guard(spark, sf_dir):
 # -- order and limit ---------------------------------------------------------------
 
 
-@query(
-    "o1_default_order_limit",
-    f"""SELECT {FLAT} FROM ev ORDER BY stop_time ASC NULLS LAST, record_id LIMIT 100""",
-)
+def ranked(q: RecordQuery, records: DataFrame) -> DataFrame:
+    """All records with their place in the order of a query."""
+    return flat(q.rank(records), "rank")
+
+
+def place(order: str, table: str) -> str:
+    return f"SELECT {FLAT}, row_number() OVER (ORDER BY {order}) AS rank FROM {table}"
+
+
+@query("o1_default_order_limit", place("stop_time ASC NULLS LAST, record_id", "ev"))
 def default_order(spark, sf_dir):
-    return ask(RecordQuery().limit(100), event_records(spark, sf_dir))
+    return ranked(RecordQuery(), event_records(spark, sf_dir))
 
 
-@query(
-    "o2_sort_descending",
-    f"SELECT {FLAT} FROM ev ORDER BY runtime DESC NULLS FIRST, record_id LIMIT 3000",
-)
+@query("o2_sort_descending", place("runtime DESC NULLS FIRST, record_id", "ev"))
 def sort_descending(spark, sf_dir):
     # Open records have no runtime and come first.
-    q = RecordQuery().sort_by(SortBy().descending("runtime")).limit(3000)
-    return ask(q, event_records(spark, sf_dir))
+    return ranked(RecordQuery().sort_by(SortBy().descending("runtime")), event_records(spark, sf_dir))
 
 
-@query(
-    "o2_sort_ascending_start",
-    f"SELECT {FLAT} FROM ord ORDER BY start_time ASC NULLS LAST, record_id LIMIT 250",
-)
+@query("o2_sort_ascending_start", place("start_time ASC NULLS LAST, record_id", "ord"))
 def sort_ascending(spark, sf_dir):
-    q = RecordQuery().sort_by(SortBy().ascending("start_time")).limit(250)
-    return ask(q, order_records(spark, sf_dir))
+    return ranked(RecordQuery().sort_by(SortBy().ascending("start_time")), order_records(spark, sf_dir))
 
 
 @query(
@@ -446,13 +445,9 @@ def component_query(spark, sf_dir):
     return ask(q, event_records(spark, sf_dir))
 
 
-@query(
-    "api5_sort_by",
-    f"SELECT {FLAT} FROM ev ORDER BY record_id DESC LIMIT 150",
-)
+@query("api5_sort_by", place("record_id DESC", "ev"))
 def sort_by(spark, sf_dir):
-    q = RecordQuery.from_dict({"sort_by": {"desc": "record_id"}, "limit": 150})
-    return ask(q, event_records(spark, sf_dir))
+    return ranked(RecordQuery.from_dict({"sort_by": {"desc": "record_id"}}), event_records(spark, sf_dir))
 
 
 # -- the read benchmark's queries ------------------------------------------------------

@@ -132,9 +132,20 @@ def last_update_wins(spark, sf_dir):
     return flat(store.records())
 
 
-@query("j11_update_lookup", UPDATED_SQL)
+@query(
+    "j11_update_lookup",
+    """SELECT record_id, strftime(start_time, '%Y-%m') AS start_month, start_time,
+         start_time + INTERVAL 90 SECOND AS stop_time, 90 AS runtime
+       FROM ev WHERE stop_time IS NULL""",
+)
 def update_lookup(spark, sf_dir):
-    return update(spark, sf_dir)
+    """What updates would change, found by id; half of the ids are unknown."""
+    store = _event_store(spark, sf_dir)
+    updates = closing(added_events(spark, sf_dir), 90)
+    unknown = updates.withColumn("record_id", F.concat(F.lit("no-"), "record_id"))
+    changed = store.preview_update(updates.unionByName(unknown), order_by="stop_time")
+    months = store.lookup(updates.unionByName(unknown))
+    return changed.join(months, "record_id").select("record_id", "start_month", "start_time", "stop_time", "runtime")
 
 
 @query("j9_new_records", f"SELECT {FLAT} FROM ev WHERE site <> 'site_1'")

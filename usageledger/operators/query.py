@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usageledger.functions.records import meta_values
+from usageledger.operators.ranking import with_rank
 from usageledger.schema import RECORD_COLUMNS
 
 SORTABLE = ("start_time", "stop_time", "runtime", "record_id")
@@ -277,6 +278,10 @@ class RecordQuery:
             result = result.limit(self.limit_rows)
         return result
 
+    def rank(self, df: DataFrame, name: str = "rank") -> DataFrame:
+        """All matching rows with their place in the order, from 1; the limit is ignored."""
+        return with_rank(replace(self, limit_rows=None).apply(df, ordered=False), (self.sort or SortBy()).columns(), name)
+
 
 def time_literal(value: Any, kind: T.DataType) -> Column:
     """A time (datetime or ISO text, naive = UTC) as a literal of the column's type."""

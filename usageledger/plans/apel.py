@@ -14,7 +14,7 @@ from usageledger.functions.calendar import day_of, month_bounds
 from usageledger.operators.fields import Field
 from usageledger.operators.lookup import assign_report_sites
 from usageledger.operators.query import Operator, RecordQuery
-from usageledger.plans.store import partition_folders, remove_folder
+from usageledger.plans.files import partition_folders, remove_folder
 from usageledger.session import materialize, settings
 
 # Message headers, field order and keys of the two messages.

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from usageledger.functions.calendar import archive_cutoff
 from usageledger.operators.query import time_literal
-from usageledger.plans.store import RecordStore, partition_folders
+from usageledger.plans.files import partition_folders
+from usageledger.plans.store import RecordStore
 from usageledger.schema import COMPONENTS_DDL, META_DDL
 from usageledger.session import settings
 
@@ -153,12 +154,13 @@ def archive_store(
     older_than_months: int,
     compression: str = "gzip",
 ) -> None:
-    """Archive, check, and only then delete what was archived."""
-    moving = old_enough(store.records(), now, older_than_months)
+    """Archive, check, and only then delete what was archived.  Reads the months that
+    hold records which stopped before the cutoff."""
+    moving = store.stopped_before(archive_cutoff(now, older_than_months))
     months = months_of(to_archive_rows(moving))
     if not months:
         return
-    write_archive(store.records(), path, now, older_than_months, compression)
+    write_archive(moving, path, now, older_than_months, compression)
     archived = read_archive(store.spark, path).where(in_months(months))
     wrong = mismatches(moving, archived).take(1)
     if wrong:

@@ -1,25 +1,29 @@
-"""The record store: a Parquet folder, partitioned by the month of the start.
+"""The record store: segments that never change, a log of changes, and versions.
 
-The start of a record never changes, so a record never moves to another
-partition.  Adds append; a stop-time correction rewrites the months it touches.
-One writer at a time is assumed.  Months are those of UTC, whatever the session's
-time zone is.
+Records are added as a segment, partitioned by the month of the start.  The start of a
+record never changes, so a record never moves to another partition.  A correction or a
+deletion writes only itself, into the month of its record; both are merged when the
+month is read, the newest version first, until ``compact`` writes the month again.  An
+index of ids in hash buckets says what is there, so that neither an add nor a change
+reads records.
 
-Beside the store, a small table has the first and last stop time of what was written
-to each month.  It is written before the records and only ever widens, so a query on
-stop times may leave out the months that it excludes.
+Every change ends with a new version (``plans/manifest.py``); a job that dies leaves
+the version before.  A DataFrame reads the version that was current when it was made.
+One writer at a time is assumed; a second one fails before its version is published.
+
+The version has the span of stop times of each month, so that a query on stop times
+opens no other folders.  Months are those of UTC, whatever the session's time zone is.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.group import GroupedData
 
 from usageledger.functions.records import runtime_seconds
 from usageledger.operators.query import (
@@ -31,9 +35,27 @@ from usageledger.operators.query import (
 )
 from usageledger.operators.reshape import to_record
 from usageledger.operators.validity import split_checked, with_reasons
-from usageledger.schema import RECORD_ADD, RECORD_COLUMNS, STORED, no_rows
+from usageledger.plans import id_index, manifest
+from usageledger.plans.files import names_in, remove_folder
+from usageledger.plans.manifest import CORRECTIONS, DELETES, RECORDS, Entry, IndexSegment, Manifest
+from usageledger.schema import (
+    CORRECTED,
+    DELETED,
+    RECORD_ADD,
+    RECORD_COLUMNS,
+    STORED,
+    STORED_SEGMENT,
+    no_rows,
+)
+from usageledger.session import materialize
 
 POLICIES = ("error", "ignore_batch", "skip")
+#: Buckets of the id index of a new store; about a million ids in each work well.
+BUCKETS = 64
+IDS_PER_BUCKET = 1 << 20
+MOST_BUCKETS = 1 << 16
+_SCHEMAS = {RECORDS: STORED_SEGMENT, CORRECTIONS: CORRECTED, DELETES: DELETED}
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 class DuplicateRecords(ValueError):
@@ -49,26 +71,38 @@ class InvalidRecords(ValueError):
 
 
 class RecordStore:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.buckets = buckets
 
-    # -- reading ------------------------------------------------------------
+    # -- versions -----------------------------------------------------------
+
+    def manifest(self, version: int | None = None) -> Manifest:
+        if version is not None:
+            return manifest.load(self.spark, self.path, version)
+        return manifest.current(self.spark, self.path, self.buckets)
+
+    def version(self) -> int:
+        return self.manifest().version
 
     def exists(self) -> bool:
-        return bool(partition_folders(self.spark, self.path))
+        return bool(self.manifest().months())
+
+    # -- reading ------------------------------------------------------------
 
-    def stored(self) -> DataFrame:
-        if not self.exists():
-            return no_rows(self.spark, STORED)
-        return self.spark.read.schema(STORED).parquet(self.path)
+    def stored(self, version: int | None = None) -> DataFrame:
+        return self._live(self.manifest(version))
 
-    def records(self) -> DataFrame:
-        return self.stored().select(*RECORD_COLUMNS)
+    def records(self, version: int | None = None) -> DataFrame:
+        return self.stored(version).select(*RECORD_COLUMNS)
 
     def advanced_query(self, query: RecordQuery, ordered: bool = True) -> DataFrame:
-        months = month_condition(query) & self._stop_condition(query)
-        return query.apply(self.stored().where(months), ordered)
+        return query.apply(self._matching(query), ordered)
+
+    def ranked(self, query: RecordQuery) -> DataFrame:
+        """All records of a query with their place in its order."""
+        return query.rank(self._matching(query))
 
     def get(self) -> DataFrame:
         return self.advanced_query(RecordQuery())
@@ -84,51 +118,93 @@ class RecordStore:
         query = RecordQuery(stop_time=Operator().gte(start).lt(end))
         return self.advanced_query(query, ordered=False)
 
+    def stopped_before(self, end: Any) -> DataFrame:
+        """Closed records that stopped before a time, in no order: what an archive reads."""
+        return self.advanced_query(RecordQuery(stop_time=Operator().lt(end)), ordered=False)
+
     def get_single_record(self, record_id: str) -> DataFrame:
         """At most one row; none for an unknown or a blank id."""
         return self.records().where(
             (F.col("record_id") == record_id) & F.lit(bool(record_id.strip()))
         )
 
-    # -- months and their stop times ------------------------------------------
+    def _folders(self, kind: str, entries: list[Entry]) -> DataFrame:
+        schema = _SCHEMAS[kind]
+        if not entries:
+            return no_rows(self.spark, schema)
+        base = f"{self.path}/{kind}"
+        folders = sorted({f"{base}/segment={e.segment}/start_month={e.month}" for e in entries})
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*folders)
+
+    def _live(self, version: Manifest, months: set[str] | None = None) -> DataFrame:
+        """The records of some months.  Months without changes are a plain scan."""
+        months = version.months() if months is None else months
+        changed = version.changed_months() & months
+        plain = version.of(RECORDS, months - changed)
+        parts = [self._folders(RECORDS, plain).select(*STORED.fieldNames())] if plain or not changed else []
+        if changed:
+            parts.append(self._merged(version, changed))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def _merged(self, version: Manifest, months: set[str]) -> DataFrame:
+        """Records of changed months with the changes that came after them."""
+        corrected = self._folders(CORRECTIONS, version.of(CORRECTIONS, months)).select(
+            "record_id",
+            F.col("segment").alias("corrected"),
+            F.struct("stop_time", "updated_at").alias("new"),
+            F.lit(None).cast("bigint").alias("deleted"),
+        )
+        deleted = self._folders(DELETES, version.of(DELETES, months)).select(
+            "record_id",
+            F.lit(None).cast("bigint").alias("corrected"),
+            F.lit(None).cast(corrected.schema["new"].dataType).alias("new"),
+            F.col("segment").alias("deleted"),
+        )
+        changes = (
+            corrected.unionByName(deleted)
+            .groupBy("record_id")
+            .agg(
+                F.max("corrected").alias("corrected"),
+                F.max_by("new", "corrected").alias("new"),
+                F.max("deleted").alias("deleted"),
+            )
+        )
+        applies = F.coalesce(F.col("corrected") > F.col("segment"), F.lit(False))
+        runtime = runtime_seconds("start_time", "stop_time")
+        return (
+            self._folders(RECORDS, version.of(RECORDS, months))
+            .join(changes, "record_id", "left")
+            .where("deleted IS NULL OR deleted < segment")
+            .withColumns(
+                {
+                    "stop_time": F.when(applies, F.col("new.stop_time")).otherwise(F.col("stop_time")),
+                    "updated_at": F.when(applies, F.col("new.updated_at")).otherwise(F.col("updated_at")),
+                    "_changed": applies,
+                }
+            )
+            .withColumn("runtime", F.when(F.col("_changed"), runtime).otherwise(F.col("runtime")))
+            .select(*STORED.fieldNames())
+        )
 
-    @property
-    def months_path(self) -> str:
-        return f"{self.path}-months"
+    def _matching(self, query: RecordQuery) -> DataFrame:
+        """The records of the months that a query's bounds leave."""
+        version = self.manifest()
+        months = _stop_months(version, query)
+        records = self._live(version, months).where(month_condition(query))
+        if len(months) < len(version.months()):
+            records = records.where(F.col("start_month").isin(*months) if months else F.lit(False))
+        return records
 
-    def _note_stops(self, by_month: GroupedData, stop: str) -> None:
-        """Widen the bounds of the months that are about to be written."""
+    # -- ids ------------------------------------------------------------------
 
-        def bounds(grouped: GroupedData, name: str) -> DataFrame:
-            ends = (F.min(name).alias("first"), F.max(name).alias("last"))
-            return grouped.agg(*ends).select(
-                "start_month", F.col("first").cast("timestamp"), F.col("last").cast("timestamp")
-            )
+    def index(self) -> DataFrame:
+        version = self.manifest()
+        return id_index.read(self.spark, self.path, list(version.index))
 
-        found = bounds(by_month, stop)
-        if self.exists() and not folder_exists(self.spark, self.months_path):
-            found = found.unionByName(bounds(self.stored().groupBy("start_month"), "stop_time"))
-        found.coalesce(1).write.mode("append").parquet(self.months_path)
-
-    def _stop_condition(self, query: RecordQuery) -> Column:
-        """What a condition on the stop time says about the month partitions."""
-        bounds = {}
-        if query.stop_time is not None:
-            bounds = query.stop_time.effective(on_time=True, strict=query.strict)
-        if not bounds or not folder_exists(self.spark, self.months_path):
-            return F.lit(True)
-        months = (
-            self.spark.read.schema("start_month string, first timestamp, last timestamp")
-            .parquet(self.months_path)
-            .groupBy("start_month")
-            .agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        )
-        inside = F.col("last").isNotNull()
-        for name, value in bounds.items():
-            moment = time_literal(value, T.TimestampType())
-            inside &= F.col("last") >= moment if name in ("gt", "gte") else F.col("first") <= moment
-        other = [row["start_month"] for row in months.where(~inside).collect()]
-        return F.coalesce(~F.col("start_month").isin(*other), F.lit(True)) if other else F.lit(True)
+    def lookup(self, ids: DataFrame) -> DataFrame:
+        """record_id and start_month of those of some ids that the store has.  Opens the
+        index buckets of these ids, and no records."""
+        return id_index.lookup(self.index(), ids, self.manifest().buckets)
 
     # -- adding -------------------------------------------------------------
 
@@ -156,7 +232,6 @@ class RecordStore:
                 bad = [row["record_id"] for row in rejects.select("record_id").take(5)]
                 if bad:
                     raise InvalidRecords(f"invalid records, for example {bad}")
-            self._note_stops(with_month(batch).groupBy("start_month"), "stop_time")
             if on_duplicate == "skip":
                 self._append(self._new_records(batch), now)
             else:
@@ -172,15 +247,11 @@ class RecordStore:
     def bulk_insert(self, added: DataFrame, on_duplicate: str = "error") -> DataFrame:
         return self.add(added, on_duplicate)
 
-    def _existing(self, batch: DataFrame) -> DataFrame:
-        """Ids of the batch that the store has.  Reads one column of the store;
-        whether the batch's ids are broadcast follows from their size."""
-        ids = batch.select("record_id")
-        return self.stored().select("record_id").join(ids, "record_id", "left_semi")
-
     def _collisions(self, batch: DataFrame) -> DataFrame:
         repeated = batch.groupBy("record_id").count().where("count > 1").select("record_id")
-        return repeated.unionByName(self._existing(batch))
+        if not self.manifest().index:
+            return repeated
+        return repeated.unionByName(self.lookup(batch).select("record_id"))
 
     def _new_records(self, batch: DataFrame) -> DataFrame:
         order = F.struct(
@@ -198,11 +269,52 @@ class RecordStore:
             .select("kept.*")
         )
         once = batch.join(repeated, "record_id", "left_anti").unionByName(chosen)
-        return once.join(self._existing(batch), "record_id", "left_anti")
+        return once.join(self.lookup(batch), "record_id", "left_anti") if self.manifest().index else once
 
     def _append(self, added: DataFrame, now: datetime | None) -> None:
+        version = self.manifest()
+        segment = version.version + 1
         records = to_record(added).withColumn("updated_at", _clock(now))
-        write_months(with_month(records), self.path, "append")
+        self._write_records(with_month(records), segment)
+        # Counts, spans and the index come from what is there now, from narrow columns.
+        written = self._segment(RECORDS, segment)
+        entries = _entries(RECORDS, segment, written)
+        if not entries:
+            return
+        rows = written.select("record_id", "start_month", F.lit(True).alias("live"), F.lit(segment).alias("since"))
+        self._publish(version, entries, rows)
+
+    def _segment(self, kind: str, segment: int) -> DataFrame:
+        folder = f"{self.path}/{kind}/segment={segment}"
+        if not any("=" in name for name in names_in(self.spark, folder)):
+            return no_rows(self.spark, _SCHEMAS[kind])
+        return self.spark.read.schema(_SCHEMAS[kind]).option("basePath", f"{self.path}/{kind}").parquet(folder)
+
+    def _write_records(self, records: DataFrame, segment: int) -> None:
+        write_months(records, f"{self.path}/{RECORDS}/segment={segment}")
+
+    def _publish(self, version: Manifest, entries: list[Entry], ids: DataFrame | None) -> None:
+        """Index some ids, and make the new folders part of the store."""
+        segment, index = version.version + 1, version.index
+        if ids is not None:
+            id_index.write(ids, self.path, segment, version.buckets)
+            index = (*index, IndexSegment(segment, sum(e.rows for e in entries)))
+        new = version.following(entries=(*version.entries, *entries), index=index)
+        manifest.publish(self.spark, self.path, new)
+        merged = id_index.to_merge(new.index)
+        if merged:
+            self._merge_index(new, merged, new.buckets)
+
+    def _merge_index(self, version: Manifest, count: int, buckets: int) -> None:
+        """Write the newest ``count`` segments of the index as one.  Ids that are gone are
+        forgotten where no older segment is left that knows them."""
+        older, merged = version.index[: len(version.index) - count], version.index[len(version.index) - count :]
+        rows = id_index.newest(id_index.read(self.spark, self.path, list(merged)))
+        segment = version.version + 1
+        id_index.write(rows if older else rows.where("live"), self.path, segment, buckets)
+        size = sum(s.rows for s in merged)
+        new = version.following(index=(*older, IndexSegment(segment, size)), buckets=buckets)
+        manifest.publish(self.spark, self.path, new)
 
     # -- correcting ---------------------------------------------------------
 
@@ -214,76 +326,150 @@ class RecordStore:
         now: datetime | None = None,
     ) -> DataFrame:
         """Set stop times; of several for one record the last by ``order_by``
-        counts.  Unknown ids raise, or are returned with ``on_unknown='return'``."""
-        latest = updates.groupBy("record_id").agg(
-            F.max_by("stop_time", order_by).alias("new_stop")
+        counts.  Unknown ids raise, or are returned with ``on_unknown='return'``.
+        Writes the new stop times and no record."""
+        version = self.manifest()
+        # Used for the checks, to be written, and by the caller.
+        judged = materialize(self._judged(updates, order_by), "updates")
+        unknown = judged.where("start_month IS NULL").select("record_id", "stop_time")
+        if on_unknown == "error":
+            missing = [row["record_id"] for row in unknown.take(5)]
+            if missing:
+                raise UnknownRecords(f"unknown records, for example {missing}")
+        segment = version.version + 1
+        # A correction without a stop time changes nothing.
+        known = judged.where("start_month IS NOT NULL AND stop_time IS NOT NULL")
+        known = known.withColumn("updated_at", _clock(now))
+        self._write_changes(CORRECTIONS, known, segment)
+        entries = _entries(CORRECTIONS, segment, self._segment(CORRECTIONS, segment))
+        if entries:
+            self._publish(version, entries, None)
+        return unknown
+
+    def _judged(self, updates: DataFrame, order_by: str) -> DataFrame:
+        """The last update of each id, with the month of its record, null if unknown."""
+        latest = updates.groupBy("record_id").agg(F.max_by("stop_time", order_by).alias("stop_time"))
+        latest = latest.withColumn("stop_time", F.col("stop_time").cast("timestamp"))
+        return latest.join(self.lookup(latest), "record_id", "left")
+
+    def preview_update(self, updates: DataFrame, order_by: str) -> DataFrame:
+        """The records that ``update`` would change, with their new stop time and runtime.
+        Reads the months of these records only."""
+        judged = materialize(self._judged(updates, order_by).where("start_month IS NOT NULL"), "updates")
+        months = {row[0] for row in judged.select("start_month").distinct().collect()}
+        new = judged.select("record_id", F.col("stop_time").alias("new_stop"))
+        records = self._live(self.manifest(), months).join(new, "record_id")
+        changed = records.withColumn("stop_time", F.coalesce("new_stop", "stop_time"))
+        return changed.withColumn("runtime", runtime_seconds("start_time", "stop_time")).select(*RECORD_COLUMNS)
+
+    def _write_changes(self, kind: str, rows: DataFrame, segment: int) -> None:
+        columns = [f.name for f in _SCHEMAS[kind] if f.name != "segment"]
+        (
+            rows.select(*columns)
+            .hint("rebalance", "start_month")
+            .write.mode("overwrite")
+            .partitionBy("start_month")
+            .parquet(f"{self.path}/{kind}/segment={segment}")
         )
-        # Used for the checks and for the rewrite.
-        latest.persist(StorageLevel.DISK_ONLY)
-        try:
-            stored = self.stored()
-            if on_unknown == "error":
-                unknown = latest.join(stored.select("record_id"), "record_id", "left_anti")
-                missing = [row["record_id"] for row in unknown.take(5)]
-                if missing:
-                    raise UnknownRecords(f"unknown records, for example {missing}")
-            self._rewrite(stored, latest, now)
-        finally:
-            latest.unpersist()
-        # The files have changed: read the ids again.
-        known = self.stored().select("record_id")
-        return latest.join(known, "record_id", "left_anti").withColumnRenamed(
-            "new_stop", "stop_time"
-        )
-
-    def _rewrite(self, stored: DataFrame, latest: DataFrame, now: datetime | None) -> None:
-        """Write the months again that hold a record to be changed."""
-        touched = _months_of(stored.join(latest, "record_id", "left_semi"))
-        if not touched:
-            return
-        months = self.spark.createDataFrame([(month,) for month in touched], "start_month string")
-        span = latest.agg(F.min("new_stop").alias("first"), F.max("new_stop").alias("last")).first()
-        bounds = [F.lit(span[name]).cast("timestamp").alias(name) for name in ("first", "last")]
-        months.select("start_month", *bounds).write.mode("append").parquet(self.months_path)
-        changed = F.col("new_stop").isNotNull()
-        runtime = runtime_seconds("start_time", "new_stop")
-        rewritten = (
-            stored.where(F.col("start_month").isin(touched))
-            .join(latest, "record_id", "left")
-            .withColumns(
-                {
-                    "stop_time": F.coalesce("new_stop", "stop_time"),
-                    "runtime": F.when(changed, runtime).otherwise(F.col("runtime")),
-                    "updated_at": F.when(changed, _clock(now)).otherwise(F.col("updated_at")),
-                }
-            )
-            .drop("new_stop")
-        )
-        write_months(rewritten, self.path, "overwrite")
 
     # -- deleting -----------------------------------------------------------
 
     def delete(self, ids: DataFrame) -> None:
-        """Remove the records with these ids; months left empty disappear."""
-        stored = self.stored()
-        gone = ids.select("record_id")
-        touched = _months_of(stored.join(gone, "record_id", "left_semi"))
-        if not touched:
-            return
-        kept = stored.where(F.col("start_month").isin(touched)).join(
-            gone, "record_id", "left_anti"
+        """Remove the records with these ids; ids that are not there have no effect.
+        Writes the ids and no record; ``compact`` drops what is gone."""
+        version = self.manifest()
+        gone = materialize(self.lookup(ids.select("record_id").distinct()), "deleted")
+        segment = version.version + 1
+        self._write_changes(DELETES, gone, segment)
+        entries = _entries(DELETES, segment, self._segment(DELETES, segment))
+        if entries:
+            rows = gone.select("record_id", "start_month", F.lit(False).alias("live"), F.lit(segment).alias("since"))
+            self._publish(version, entries, rows)
+
+    # -- compaction -----------------------------------------------------------
+
+    def compact(self, months: set[str] | None = None) -> None:
+        """Write months as one segment each: those given, else all that have changes or
+        several segments.  Afterwards the index is one segment whose buckets have about
+        ``IDS_PER_BUCKET`` ids.  Old folders stay until ``vacuum``."""
+        version = self.manifest()
+        if months is None:
+            several = [e.month for e in version.of(RECORDS)]
+            months = version.changed_months() | {m for m in several if several.count(m) > 1}
+        months = months & version.months()
+        if months:
+            segment = version.version + 1
+            self._write_records(self._live(version, months), segment)
+            new = _entries(RECORDS, segment, self._segment(RECORDS, segment))
+            others = tuple(e for e in version.entries if e.month not in months)
+            version = version.following(entries=(*others, *new))
+            manifest.publish(self.spark, self.path, version)
+        if len(version.index) > 1:
+            rows = sum(s.rows for s in version.index)
+            buckets = version.buckets
+            while buckets * IDS_PER_BUCKET < rows and buckets < MOST_BUCKETS:
+                buckets *= 2
+            self._merge_index(version, len(version.index), buckets)
+
+    def vacuum(self) -> None:
+        """Remove folders and versions that the current version does not need.  Readers of
+        older versions have to be done."""
+        version = self.manifest()
+        needed = {(e.kind, e.segment, e.month) for e in version.entries}
+        for kind in _SCHEMAS:
+            for name in names_in(self.spark, f"{self.path}/{kind}"):
+                segment = int(name.split("=")[1])
+                used = {month for k, s, month in needed if (k, s) == (kind, segment)}
+                folder = f"{self.path}/{kind}/{name}"
+                if not used:
+                    remove_folder(self.spark, folder)
+                    continue
+                for inner in names_in(self.spark, folder):
+                    if "=" in inner and inner.split("=")[1] not in used:
+                        remove_folder(self.spark, f"{folder}/{inner}")
+        segments = {f"segment={s.segment}" for s in version.index}
+        for name in names_in(self.spark, f"{self.path}/ids"):
+            if name not in segments:
+                remove_folder(self.spark, f"{self.path}/ids/{name}")
+        for name in names_in(self.spark, f"{self.path}/versions"):
+            if name.endswith(".json") and name != f"{version.version:012d}.json":
+                remove_folder(self.spark, f"{self.path}/versions/{name}")
+
+
+def _entries(kind: str, segment: int, rows: DataFrame) -> list[Entry]:
+    """Rows and span of stop times of each month of a segment; one row a month comes to
+    the driver."""
+    stop = F.col("stop_time") if "stop_time" in rows.columns else F.lit(None).cast("timestamp")
+    found = rows.groupBy("start_month").agg(
+        F.count("*").alias("rows"), F.unix_micros(F.min(stop)).alias("first"), F.unix_micros(F.max(stop)).alias("last")
+    )
+    return [Entry(kind, segment, r["start_month"], r["rows"], r["first"], r["last"]) for r in found.collect()]
+
+
+def _micros(value: Any) -> int:
+    """Microseconds of a time (datetime or ISO text, naive = UTC)."""
+    moment = datetime.fromisoformat(value) if isinstance(value, str) else value
+    if moment.tzinfo is None:
+        moment = moment.replace(tzinfo=timezone.utc)
+    return (moment - _EPOCH) // timedelta(microseconds=1)
+
+
+def _stop_months(version: Manifest, query: RecordQuery) -> set[str]:
+    """The months that may hold what a condition on the stop time asks for."""
+    months = version.months()
+    if query.stop_time is None:
+        return months
+    bounds = query.stop_time.effective(on_time=True, strict=query.strict)
+    if not bounds:
+        return months
+
+    def inside(span: tuple[int, int] | None) -> bool:
+        return span is not None and all(
+            span[1] >= _micros(value) if name in ("gt", "gte") else span[0] <= _micros(value)
+            for name, value in bounds.items()
         )
-        left = _months_of(kept)
-        if left:
-            write_months(kept, self.path, "overwrite")
-        for month in set(touched) - set(left):
-            remove_folder(self.spark, f"{self.path}/start_month={month}")
 
-
-def _months_of(stored: DataFrame) -> list[str]:
-    """The calendar months of some stored records; a short list however many
-    records there are."""
-    return [row["start_month"] for row in stored.select("start_month").distinct().collect()]
+    return {month for month, span in version.stop_spans().items() if inside(span)}
 
 
 def utc_month(moment: Column) -> Column:
@@ -296,7 +482,7 @@ def with_month(records: DataFrame) -> DataFrame:
     return records.withColumn("start_month", utc_month(F.col("start_time")))
 
 
-def write_months(records: DataFrame, path: str, mode: str) -> None:
+def write_months(records: DataFrame, path: str) -> None:
     """Write month partitions.
 
     Large months are split and small ones merged by their size at run time;
@@ -307,9 +493,8 @@ def write_months(records: DataFrame, path: str, mode: str) -> None:
         records.select(*STORED.fieldNames())
         .hint("rebalance", "start_month")
         .sortWithinPartitions("start_month", "stop_time")
-        .write.mode(mode)
+        .write.mode("overwrite")
         .partitionBy("start_month")
-        .option("partitionOverwriteMode", "dynamic")
         .option("parquet.bloom.filter.enabled#record_id", "true")
         .option("parquet.bloom.filter.adaptive.enabled", "true")
         .parquet(path)
@@ -339,38 +524,3 @@ def _clock(now: datetime | None) -> Column:
     if now is None:
         return F.current_timestamp()
     return time_literal(now.astimezone(timezone.utc), RECORD_ADD["start_time"].dataType)
-
-
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def partition_folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the partition folders directly below a path."""
-    system, where = _filesystem(spark, path)
-    if not system.exists(where):
-        return []
-    names = [status.getPath().getName() for status in system.listStatus(where)]
-    return [name for name in names if "=" in name]
-
-
-def folder_exists(spark: SparkSession, path: str) -> bool:
-    system, where = _filesystem(spark, path)
-    return system.exists(where)
-
-
-def move_only_file(spark: SparkSession, folder: str, target: str) -> None:
-    """Put the one part file of a written folder in place of ``target``."""
-    system, where = _filesystem(spark, folder)
-    names = [status.getPath() for status in system.listStatus(where)]
-    (part,) = [name for name in names if name.getName().startswith("part-")]
-    remove_folder(spark, target)
-    system.rename(part, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target))
-    remove_folder(spark, folder)
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    system, where = _filesystem(spark, path)
-    system.delete(where, True)

@@ -15,7 +15,7 @@ from usageledger.operators.fields import flatten
 from usageledger.operators.lookup import watt_per_core
 from usageledger.operators.query import Operator, RecordQuery
 from usageledger.plans.label_match import matching_labels
-from usageledger.plans.store import move_only_file
+from usageledger.plans.files import move_only_file
 from usageledger.session import materialize
 
 # CPU-time units per second, by the collector that wrote the records.

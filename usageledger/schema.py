@@ -49,6 +49,39 @@ STORED = T.StructType(
     ]
 )
 
+# What the store keeps of its records, corrections, deletions and ids.  The last columns
+# are partitions; a segment is numbered by the version that it came with.
+STORED_SEGMENT = T.StructType(
+    [field for field in STORED if field.name != "start_month"]
+    + [T.StructField("segment", T.LongType()), T.StructField("start_month", T.StringType())]
+)
+CORRECTED = T.StructType(
+    [
+        T.StructField("record_id", T.StringType()),
+        T.StructField("stop_time", T.TimestampType()),
+        T.StructField("updated_at", T.TimestampType()),
+        T.StructField("segment", T.LongType()),
+        T.StructField("start_month", T.StringType()),
+    ]
+)
+DELETED = T.StructType(
+    [
+        T.StructField("record_id", T.StringType()),
+        T.StructField("segment", T.LongType()),
+        T.StructField("start_month", T.StringType()),
+    ]
+)
+INDEXED = T.StructType(
+    [
+        T.StructField("record_id", T.StringType()),
+        T.StructField("start_month", T.StringType()),
+        T.StructField("live", T.BooleanType()),
+        T.StructField("since", T.LongType()),
+        T.StructField("segment", T.LongType()),
+        T.StructField("bucket", T.IntegerType()),
+    ]
+)
+
 # A record in a monthly archive: nested parts as JSON text.
 ARCHIVED = T.StructType(
     [

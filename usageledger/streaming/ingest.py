@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from usageledger.operators.query import time_literal
-from usageledger.plans.store import RecordStore, partition_folders
+from usageledger.plans.files import partition_folders
+from usageledger.plans.store import RecordStore
 from usageledger.schema import RECORD_ADD, no_rows
 from usageledger.sources import slurm
 from usageledger.sources.kubernetes import POD
