@@ -285,6 +285,36 @@ def label_pairs(spark, sf_dir):
     return matching_labels(values, "day", "user")
 
 
+_PATTERNS_SQL = """d AS (
+  SELECT DISTINCT CAST(start_time AS DATE) AS day, unnest([user_id, '^' || user_id || '[0-4]?$', 'u.*' || user_id[2:],
+    'u(1|2)+' || user_id[-1:], user_id || '|' || 'u9' || user_id[-1:], '[13]' || user_id[-1:] || '{1,2}$']) AS value FROM ev)"""
+
+
+@query(
+    "j3_pattern_labels",
+    f"""WITH {_PATTERNS_SQL} SELECT a.day, b.value AS label, a.value FROM d a JOIN d b
+        ON a.day = b.day AND regexp_matches(a.value, b.value)""",
+)
+def pattern_labels(spark, sf_dir):
+    """Values that are patterns: anchors, classes, groups, repetitions, alternatives."""
+    user = first_meta("user_id")
+    last = F.right(user, F.lit(1))
+    values = event_records(spark, sf_dir).select(
+        F.col("start_time").cast("date").alias("day"),
+        F.explode(
+            F.array(
+                user,
+                F.concat(F.lit("^"), user, F.lit("[0-4]?$")),
+                F.concat(F.lit("u.*"), F.substring(user, 2, 9)),
+                F.concat(F.lit("u(1|2)+"), last),
+                F.concat(user, F.lit("|u9"), last),
+                F.concat(F.lit("[13]"), last, F.lit("{1,2}$")),
+            )
+        ).alias("value"),
+    )
+    return matching_labels(values, "day", "value")
+
+
 @query(
     "j4_site_watts",
     """SELECT site, round(sum(CASE site WHEN 'site_1' THEN 4.6::DOUBLE WHEN 'site_2' THEN 4.3::DOUBLE

@@ -81,8 +81,7 @@ def incremental_source(spark, sf_dir):
 )
 def condor_ingest(spark, sf_dir):
     _, marks = _ingested_condor(spark, sf_dir)
-    last = F.max(F.struct("cluster", "proc")).alias("last")
-    return marks.groupBy("schedd").agg(last).select("schedd", "last.cluster", "last.proc")
+    return marks
 
 
 @query(
@@ -103,23 +102,15 @@ def condor_ingested_records(spark, sf_dir):
 
 
 def _ingested_condor(spark, sf_dir):
-    """The store and the marks after all history files were taken."""
-    drops = scratch_path(spark, "drops")
-    condor_lines(spark, sf_dir).write.partitionBy("schedd").text(drops)
-    lines = ingest.text_stream(spark, drops, files_per_batch=1)
+    """The store and the marks after the history was taken, and taken again."""
+    drops, checkpoint = scratch_path(spark, "drops"), scratch_path(spark, "checkpoint")
     store = RecordStore(spark, scratch_path(spark, "store"))
     marks = scratch_path(spark, "marks")
-    _finish(
-        ingest.ingest_with_marks(
-            lines,
-            lambda b: htcondor.collect(b, CONDOR).drop("has_stop"),
-            lambda b: htcondor.next_marks(htcondor.split_history(b, CONDOR)),
-            store,
-            marks,
-            scratch_path(spark, "checkpoint"),
-        )
-    )
-    return store, spark.read.parquet(marks)
+    for _ in range(2):
+        condor_lines(spark, sf_dir).write.mode("append").partitionBy("schedd").text(drops)
+        lines = ingest.text_stream(spark, drops)
+        _finish(ingest.ingest_history(lines, CONDOR, store, marks, checkpoint))
+    return store, ingest.marks(spark, marks)
 
 
 @query(

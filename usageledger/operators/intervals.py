@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Length of the pieces a series is cut into, so that a series with very many
 # samples is spread over tasks.
 PIECE_SECONDS = 3600
+# Length of the buckets in which spans and samples meet.
+BUCKET_SECONDS = 3600
 
 
-def samples_within(spans: DataFrame, samples: DataFrame) -> DataFrame:
+def samples_within(
+    spans: DataFrame, samples: DataFrame, bucket_seconds: int = BUCKET_SECONDS
+) -> DataFrame:
     """Samples that fall into a span of the same (namespace, pod).
 
     ``spans``: record_id, namespace, pod, start_time, stop_time.  The window
-    reaches back from the stop by the duration plus one second.  It is an inner
-    equality join with a range condition: a hot pod is split over tasks by the
-    skew-join rule, which an outer join would not allow on the sample side.
+    reaches back from the stop by the duration plus one second.  Spans are cut to
+    buckets of time and a sample lies in one of them, so a hot pod is spread over
+    as many keys as it has buckets, and a sample is compared only with spans of its
+    bucket.  The first and last moment of all spans, two numbers on the driver, are a
+    condition on the samples that reaches their scan.
     """
     seconds = F.timestamp_diff("SECOND", F.col("start_time"), F.col("stop_time")) + 1
+    until = F.unix_micros(F.col("stop_time").cast("timestamp"))
     bounded = spans.where(F.col("stop_time").isNotNull()).select(
         "record_id",
         "namespace",
         "pod",
-        F.unix_micros(F.col("stop_time").cast("timestamp")).alias("until"),
-        (F.unix_micros(F.col("stop_time").cast("timestamp")) - seconds * 1_000_000).alias("since"),
+        until.alias("until"),
+        (until - seconds * 1_000_000).alias("since"),
     )
+    bounded = bounded.where("since <= until")
+    ends = bounded.agg(F.min("since").alias("since"), F.max("until").alias("until")).first()
+    if ends["since"] is None:
+        samples = samples.where(F.lit(False))
+    else:
+        samples = samples.where(_between(samples, "ts", ends["since"], ends["until"]))
+
+    def bucket(micros: Column) -> Column:
+        return F.floor(micros / (bucket_seconds * 1_000_000))
+
+    pieces = bounded.withColumn("bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(F.col("until")))))
     timed = samples.select(
         "namespace",
         "pod",
@@ -33,14 +52,24 @@ def samples_within(spans: DataFrame, samples: DataFrame) -> DataFrame:
         "series",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
         "value",
-    )
+    ).withColumn("bucket", bucket(F.col("at")))
     return (
-        timed.join(bounded, ["namespace", "pod"])
+        timed.join(pieces, ["namespace", "pod", "bucket"])
         .where(F.col("at").between(F.col("since"), F.col("until")))
         .select("record_id", "metric", "series", "at", "value")
     )
 
 
+def _between(df: DataFrame, name: str, since: int, until: int) -> Column:
+    """A condition on the bare column, so that it reaches the scan.  A time without a zone
+    may be read in any zone: the bounds are a day wider for it."""
+    plain = isinstance(df.schema[name].dataType, T.TimestampNTZType)
+    slack = 86_400_000_000 if plain else 0
+    kind = df.schema[name].dataType
+    low, high = (F.timestamp_micros(F.lit(m)).cast(kind) for m in (since - slack, until + slack))
+    return (F.col(name) >= low) & (F.col(name) <= high)
+
+
 def counter_increase(points: DataFrame, piece_seconds: int = PIECE_SECONDS) -> DataFrame:
     """(record_id, series, at, value) -> increase per record and series.
 

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from usageledger.functions.numbers import half_away
 from usageledger.functions.records import has_component, make_component, runtime_seconds
 from usageledger.functions.text import percent_decode
+from usageledger.operators.lookup import BROADCAST_ROWS
 from usageledger.schema import COMPONENTS_DDL, RECORD_COLUMNS, SCORES_DDL
 
+# Parts into which a score is split that is joined and not broadcast.
+SCORE_SALTS = 16
+
 
 def to_record(added: DataFrame) -> DataFrame:
     """Derive the runtime; an empty component list becomes null."""
@@ -70,88 +74,147 @@ def to_flat_tables(records: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _meta_map() -> Column:
+    """Sorted (key, value) entries as one map of value lists."""
+    keys = F.array_distinct(F.transform("entries", lambda e: e["key"]))
+    return F.map_from_arrays(
+        keys,
+        F.transform(
+            keys,
+            lambda k: F.transform(F.filter("entries", lambda e: e["key"] == k), lambda e: e["value"]),
+        ),
+    )
+
+
 def meta_maps(meta: DataFrame) -> DataFrame:
     """(record_id, key, value) rows -> one map of sorted value lists per record."""
     entries = meta.groupBy("record_id").agg(
         F.array_sort(F.collect_list(F.struct("key", "value"))).alias("entries")
     )
-    keys = F.array_distinct(F.transform("entries", lambda e: e["key"]))
-    return entries.select(
-        "record_id",
-        F.map_from_arrays(
-            keys,
-            F.transform(
-                keys,
-                lambda k: F.transform(
-                    F.filter("entries", lambda e: e["key"] == k), lambda e: e["value"]
-                ),
-            ),
-        ).alias("meta"),
-    )
+    return entries.select("record_id", _meta_map().alias("meta"))
 
 
-def component_lists(
+def scored_links(
+    components_scores: DataFrame, scores: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """component_id with the name and value of each score.
+
+    A score is shared by many components.  Scores up to a checked number are
+    broadcast; more of them are joined under a salt, so that one that all components
+    share is spread.
+    """
+    if scores.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return components_scores.join(F.broadcast(scores), "score_id").select("component_id", "name", "value")
+    salts = F.array(*[F.lit(k) for k in range(SCORE_SALTS)])
+    salted = scores.withColumn("_salt", F.explode(salts))
+    link = components_scores.withColumn("_salt", F.pmod(F.xxhash64("component_id"), F.lit(SCORE_SALTS)).cast("int"))
+    return link.join(salted, ["score_id", "_salt"]).select("component_id", "name", "value")
+
+
+def _numbered_components(
     components: DataFrame,
     scores: DataFrame,
     components_scores: DataFrame,
     records_components: DataFrame,
 ) -> DataFrame:
-    """Link tables -> one component list per record, scores inside."""
+    """record_id and one component each, with its id and its scores.
+
+    Links, components and scores are one table under the component's id, which is
+    dealt out once.
+    """
     found = F.col("name").isNotNull() & F.col("value").isNotNull()
-    # The score table is small and shared by many components: its size at run
-    # time decides how it is joined.
-    scored = (
-        components_scores.join(scores, "score_id")
-        .groupBy("component_id")
-        .agg(
-            F.array_sort(F.collect_list(F.when(found, F.struct("name", "value")))).alias("scores")
-        )
+    no_record, no_component, no_score = (
+        F.lit(None).cast(kind) for kind in ("string", "struct<name:string,amount:bigint>", "struct<name:string,value:double>")
+    )
+    link = records_components.select(
+        "component_id", F.col("record_id"), no_component.alias("component"), no_score.alias("score")
+    )
+    own = components.select(
+        "component_id", no_record.alias("record_id"), F.struct("name", F.col("amount").cast("bigint").alias("amount")), no_score
+    )
+    score = scored_links(components_scores, scores).select(
+        "component_id", no_record, no_component, F.when(found, F.struct("name", F.col("value").cast("double").alias("value")))
     )
-    no_scores = F.array().cast(SCORES_DDL)
     return (
-        records_components.join(components, "component_id", "left")
-        .join(scored, "component_id", "left")
-        .groupBy("record_id")
+        link.union(own)
+        .union(score)
+        .groupBy("component_id")
         .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "component_id",
-                        "name",
-                        "amount",
-                        F.coalesce("scores", no_scores).alias("scores"),
-                    )
-                )
-            ).alias("numbered")
+            F.collect_list("record_id").alias("records"),
+            F.first("component", ignorenulls=True).alias("component"),
+            F.array_sort(F.collect_list("score")).alias("scores"),
         )
         .select(
-            "record_id",
-            F.transform(
-                "numbered",
-                lambda c: F.struct(
-                    c["name"].alias("name"),
-                    c["amount"].alias("amount"),
-                    c["scores"].alias("scores"),
-                ),
-            ).alias("components"),
+            F.explode("records").alias("record_id"),
+            F.struct(
+                "component_id",
+                F.col("component.name").alias("name"),
+                F.col("component.amount").alias("amount"),
+                F.col("scores").cast(SCORES_DDL).alias("scores"),
+            ).alias("numbered"),
         )
     )
 
 
+def _in_order(numbered: Column) -> Column:
+    """The components of a record by their ids, without the ids."""
+    return F.transform(
+        F.array_sort(numbered),
+        lambda c: F.struct(c["name"].alias("name"), c["amount"].alias("amount"), c["scores"].alias("scores")),
+    )
+
+
+def component_lists(
+    components: DataFrame,
+    scores: DataFrame,
+    components_scores: DataFrame,
+    records_components: DataFrame,
+) -> DataFrame:
+    """Link tables -> one component list per record, scores inside."""
+    numbered = _numbered_components(components, scores, components_scores, records_components)
+    return numbered.groupBy("record_id").agg(_in_order(F.collect_list("numbered")).alias("components"))
+
+
 def from_flat_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    """Flat tables -> records; records without metadata or components keep null."""
-    lists = component_lists(
+    """Flat tables -> records; records without metadata or components keep null.
+
+    Accounting rows, metadata and components are one table under the record's id,
+    which is dealt out once.
+    """
+    numbered = _numbered_components(
         tables["components"],
         tables["scores"],
         tables["components_scores"],
         tables["records_components"],
     )
-    return (
-        tables["accounting"]
-        .join(meta_maps(tables["meta"]), "record_id", "left")
-        .join(lists, "record_id", "left")
-        .select(*RECORD_COLUMNS)
+    times = F.struct("start_time", "stop_time", "runtime")
+    accounting = tables["accounting"].select("record_id", times.alias("times"))
+    none = {
+        "times": F.lit(None).cast(accounting.schema["times"].dataType),
+        "entry": F.lit(None).cast("struct<key:string,value:string>"),
+        "numbered": F.lit(None).cast(numbered.schema["numbered"].dataType),
+    }
+
+    def widened(df: DataFrame, **there: Column) -> DataFrame:
+        return df.select("record_id", *(there.get(name, empty).alias(name) for name, empty in none.items()))
+
+    rows = (
+        widened(accounting, times=F.col("times"))
+        .unionByName(widened(tables["meta"], entry=F.struct("key", "value")))
+        .unionByName(widened(numbered, numbered=F.col("numbered")))
     )
+    gathered = rows.groupBy("record_id").agg(
+        F.collect_list("times").alias("times"),
+        F.array_sort(F.collect_list("entry")).alias("entries"),
+        F.collect_list("numbered").alias("numbered"),
+    )
+    # Ids that only the other tables have are no records.
+    return gathered.select(
+        "record_id",
+        F.when(F.size("entries") > 0, _meta_map()).alias("meta"),
+        F.when(F.size("numbered") > 0, _in_order(F.col("numbered"))).alias("components"),
+        F.explode("times").alias("times"),
+    ).select("record_id", "meta", "components", "times.*").select(*RECORD_COLUMNS)
 
 
 # -- corrections -----------------------------------------------------------------

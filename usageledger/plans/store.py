@@ -50,8 +50,9 @@ from usageledger.schema import (
 from usageledger.session import materialize
 
 POLICIES = ("error", "ignore_batch", "skip")
-#: Buckets of the id index of a new store; about a million ids in each work well.
-BUCKETS = 64
+#: Buckets of the id index of a new store.  When the whole index is written again they
+#: are doubled until each has about ``IDS_PER_BUCKET`` ids.
+BUCKETS = 16
 IDS_PER_BUCKET = 1 << 20
 MOST_BUCKETS = 1 << 16
 _SCHEMAS = {RECORDS: STORED_SEGMENT, CORRECTIONS: CORRECTED, DELETES: DELETED}
@@ -303,16 +304,18 @@ class RecordStore:
         manifest.publish(self.spark, self.path, new)
         merged = id_index.to_merge(new.index)
         if merged:
-            self._merge_index(new, merged, new.buckets)
+            self._merge_index(new, merged)
 
-    def _merge_index(self, version: Manifest, count: int, buckets: int) -> None:
-        """Write the newest ``count`` segments of the index as one.  Ids that are gone are
-        forgotten where no older segment is left that knows them."""
+    def _merge_index(self, version: Manifest, count: int) -> None:
+        """Write the newest ``count`` segments of the index as one.  Where no older segment
+        is left, ids that are gone are forgotten, and there may be more buckets."""
         older, merged = version.index[: len(version.index) - count], version.index[len(version.index) - count :]
         rows = id_index.newest(id_index.read(self.spark, self.path, list(merged)))
-        segment = version.version + 1
-        id_index.write(rows if older else rows.where("live"), self.path, segment, buckets)
+        segment, buckets = version.version + 1, version.buckets
         size = sum(s.rows for s in merged)
+        while not older and buckets * IDS_PER_BUCKET < size and buckets < MOST_BUCKETS:
+            buckets *= 2
+        id_index.write(rows if older else rows.where("live"), self.path, segment, buckets)
         new = version.following(index=(*older, IndexSegment(segment, size)), buckets=buckets)
         manifest.publish(self.spark, self.path, new)
 
@@ -405,11 +408,7 @@ class RecordStore:
             version = version.following(entries=(*others, *new))
             manifest.publish(self.spark, self.path, version)
         if len(version.index) > 1:
-            rows = sum(s.rows for s in version.index)
-            buckets = version.buckets
-            while buckets * IDS_PER_BUCKET < rows and buckets < MOST_BUCKETS:
-                buckets *= 2
-            self._merge_index(version, len(version.index), buckets)
+            self._merge_index(version, len(version.index))
 
     def vacuum(self) -> None:
         """Remove folders and versions that the current version does not need.  Readers of

@@ -14,6 +14,7 @@ from usageledger.schema import no_rows
 from usageledger.streaming.ingest import (
     _version_before,
     _version_offset,
+    _write_version,
     keep_rejects,
     start,
 )
@@ -100,7 +101,7 @@ def _settle(
     state = store.spark.read.schema(enrichment.QUEUE).parquet(attempt)
     done = enrichment.emitted(state, max_retries)
     rejects = store.add(done, on_duplicate="skip", on_invalid="skip")
-    enrichment.remaining(state, max_retries).write.mode("overwrite").parquet(f"{queue_path}/batch={version}")
+    _write_version(enrichment.remaining(state, max_retries), queue_path, version)
     return rejects
 
 

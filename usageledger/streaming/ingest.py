@@ -6,8 +6,8 @@ There is no watermark: a late job is never dropped.  What the store rejects is k
 in a table beside the checkpoint, one folder per batch; ``rejected`` reads it.
 
 State that lives from batch to batch has one version per batch, made from the
-version before.  A new checkpoint counts on from the newest version, so nothing that
-waits is forgotten.
+version before; two versions are kept.  A new checkpoint counts on from the newest
+version, so nothing that waits is forgotten.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from usageledger.operators.query import time_literal
-from usageledger.plans.files import partition_folders
+from usageledger.plans.files import partition_folders, remove_folder
 from usageledger.plans.store import RecordStore
 from usageledger.schema import RECORD_ADD, no_rows
-from usageledger.sources import slurm
+from usageledger.sources import htcondor, slurm
 from usageledger.sources.kubernetes import POD
 
 # A delivery of a client: a record to add, or a stop time to set.
@@ -164,30 +164,61 @@ def _store_jobs(
     state = spark.read.parquet(tried)
     records = slurm.collect(state.where("ready").select("value"), config)
     rejects = store.add(records, on_duplicate="skip", on_invalid="skip")
-    state.where("NOT ready").select("value", "since").write.mode("overwrite").parquet(f"{path}/batch={version}")
+    _write_version(state.where("NOT ready").select("value", "since"), path, version)
     return rejects
 
 
-def ingest_with_marks(
+MARKS = T.StructType(
+    [
+        T.StructField("schedd", T.StringType()),
+        T.StructField("cluster", T.LongType()),
+        T.StructField("proc", T.LongType()),
+    ]
+)
+
+
+def ingest_history(
     stream: DataFrame,
-    to_records: Callable[[DataFrame], DataFrame],
-    marks_of: Callable[[DataFrame], DataFrame],
+    config: htcondor.CondorConfig,
     store: RecordStore,
     marks_path: str,
     checkpoint: str,
     interval: str | None = None,
 ) -> StreamingQuery:
-    """As ``ingest``, and keep the high-water mark of every batch in a small
-    table (one folder per batch, so a repeated batch replaces its own)."""
+    """HTCondor history -> records -> store, behind the mark of each scheduler.
+
+    A mark is the last job (cluster, proc) that a scheduler has given.  A batch takes the
+    jobs behind the marks of the batch before, so history that is read again adds no
+    work, and leaves the marks after it as a new version.  A scheduler gives its
+    jobs in order from batch to batch; inside a batch they may come in any order.
+    A job below the mark is taken for one that was read.
+    """
+    spark = store.spark
+    offset = _version_offset(spark, marks_path, checkpoint)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        rejects = store.add(to_records(batch), on_duplicate="skip", on_invalid="skip")
+        version = offset + batch_id
+        marks = _marks_at(spark, _version_before(spark, marks_path, version))
+        jobs = htcondor.after_marks(htcondor.split_history(batch, config), marks)
+        records = htcondor.to_records(htcondor.filter_history(jobs, config), config).drop("has_stop")
+        rejects = store.add(records, on_duplicate="skip", on_invalid="skip")
         keep_rejects(rejects, checkpoint, batch_id)
-        marks_of(batch).write.mode("overwrite").parquet(f"{marks_path}/batch={batch_id}")
+        last = F.max(F.struct("cluster", "proc")).alias("last")
+        reached = marks.unionByName(htcondor.next_marks(jobs)).groupBy("schedd").agg(last)
+        _write_version(reached.select("schedd", "last.cluster", "last.proc"), marks_path, version)
 
     return start(stream, each_batch, checkpoint, interval)
 
 
+def marks(spark: SparkSession, marks_path: str) -> DataFrame:
+    """The last job of each scheduler."""
+    return _marks_at(spark, _version_before(spark, marks_path, 2**62))
+
+
+def _marks_at(spark: SparkSession, folder: str | None) -> DataFrame:
+    return no_rows(spark, MARKS) if folder is None else spark.read.schema(MARKS).parquet(folder)
+
+
 def deliver(
     messages: DataFrame,
     store: RecordStore,
@@ -236,7 +267,7 @@ def _apply_updates(updates: DataFrame, store: RecordStore, path: str, version: i
     tried = f"{path}-tried/batch={version}"
     _last_update(updates).write.mode("overwrite").parquet(tried)
     unknown = store.update(store.spark.read.parquet(tried), order_by="batch_id", on_unknown="return")
-    unknown.withColumn("batch_id", F.lit(version)).write.mode("overwrite").parquet(f"{path}/batch={version}")
+    _write_version(unknown.withColumn("batch_id", F.lit(version)), path, version)
 
 
 def _last_update(updates: DataFrame) -> DataFrame:
@@ -246,6 +277,18 @@ def _last_update(updates: DataFrame) -> DataFrame:
     )
 
 
+def _write_version(state: DataFrame, path: str, version: int) -> None:
+    """Write the state after a batch and forget what no batch can need any more: the
+    checkpoint has passed all batches before this one, and this one, if it runs again,
+    starts from the version before."""
+    state.write.mode("overwrite").parquet(f"{path}/batch={version}")
+    spark = state.sparkSession
+    for folder in (path, f"{path}-tried"):
+        for name in partition_folders(spark, folder):
+            if int(name.split("=")[1]) < version - 1:
+                remove_folder(spark, f"{folder}/{name}")
+
+
 def _version_offset(spark: SparkSession, path: str, checkpoint: str) -> int:
     """What to add to a batch number to get its version.  A new checkpoint starts
     behind the newest version; it remembers the offset for its next runs."""
