@@ -512,3 +512,46 @@ def test_pipeline_hostile(spark, docs, labels, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         table = stage(spark, table, str(tmp_path)) if "doc_id" in table.columns and "text" in table.columns else table
     assert table.count() == 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("size", [512, 1024, 4096, 32768])
+def test_hashes_tell_exchanged_letters_apart(spark, size):
+    """Texts whose polynomials agree modulo every power of two."""
+    a, b = thue_morse(size, "ab"), thue_morse(size, "ba")
+    rows = [(1, f"{a}\n{b}\n" + "word " * 3), (2, a), (3, b), (4, f"{a}\n{a}\n"), (5, f"{a} x y {b} x y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], LABELS)
+    found = by_id(quality_rules.quality_rules(table, labels))
+    for doc, text in rows:
+        assert tuple(found[doc])[1:7] == brute.rules(text), doc
+    near = by_id(minhash_dedup.near_duplicates(table))
+    sizes, groups = brute.near_groups(rows)
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in near.items()} == {
+        d: (sizes[d], groups[d]) for d in sizes
+    }
+
+
+def test_secrets_of_any_alphabet():
+    """Letters or digits alone are judged by what they add, too; words of a sentence are not."""
+    for value in ("qZrLmXpWvNtYbKcHdSeUfGjAxQoVwT", "8241905736120984571209348", "zqxjkvbpwmfygcuhdnrlots"):
+        for line in (f"key={value}", f"key = {value}", f'"signature": "{value}"', f"credential: {value}"):
+            (span,) = [s for s in secret_scan.find(f"some code {line} and more") if s[0] == "novel"]
+            assert line[span[1] - 10 : span[2] - 10] == value
+    prose = "The key internationalization of a token responsibilities, key characteristically."
+    assert secret_scan.find(prose) == []
+    assert secret_scan.find("the key q8Zr2LmX0pWv7NtYb4Kc9Hd was lost")[0][0] == "novel"
+
+
+def test_filter_of_ids_loses_no_row(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "FILTER_BITS", 1 << 15)
+    docs = spark.range(5000).selectExpr("id - 2500 AS doc_id", "concat('t', id) AS text")
+    docs = docs.unionByName(docs.limit(10)).unionByName(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
+    ids = spark.range(0, 5000, 7).selectExpr("id - 2500 AS doc_id")
+    found = quality_rules._of_ids(docs, ids)
+    expected = docs.join(ids, "doc_id", "left_semi")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    assert quality_rules._of_ids(docs, ids.limit(0)).count() == 0

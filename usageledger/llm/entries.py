@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +46,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = os.environ.get("BPE_RANKS", public_tokenizers.path(VOCABULARY))
-    codec = bpe.load(path, public_tokenizers.PATTERN)
+    codec = bpe.load(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), codec)
 
 

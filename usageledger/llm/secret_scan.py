@@ -1,6 +1,8 @@
 """Secret scans: patterns, and novelty against a primed zstandard dictionary.
 
-A string next to a sensitive word is a candidate.  It is compressed with a
+A string of 16 or more characters next to a sensitive word is a candidate: after an
+operator or a quotation mark whatever it consists of, after a mere space if it has a
+digit, as the next word of a sentence has none.  It is compressed with a
 dictionary made of common identifiers and of the text around it, without copies of
 the string itself; what it adds to the compressed size, against its length, is its
 novelty.  Names, paths and words of the surrounding code compress well, random keys
@@ -41,6 +43,7 @@ _SENSITIVE = re.compile(
     r"([A-Za-z0-9+/_=.-]{16,})",
     re.IGNORECASE | re.ASCII,
 )
+_OPERATOR = re.compile(r"[=:>(,\"'`]|\b(?:is|basic|bearer)\b", re.IGNORECASE)
 _WORDS = ("pass", "pwd", "secret", "token", "credential", "bearer", "authorization", "key", "signature")
 _IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 9876543210 "
@@ -51,6 +54,8 @@ _IDENTIFIERS = (
     "changeme placeholder insert_key_here http://www. https:// .com .org /usr/local/bin /home/user/ "
     "get_value set_value to_string from_string is_valid create_user update_record delete_item "
     "getElementById addEventListener toLowerCase application/json charset=utf-8 2024-01-01T00:00:00Z "
+    "authentication authorization organization administration international implementation "
+    "environment development production responsibility characteristics corresponding information "
 ).encode()
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[list(b"0123456789abcdef")] = True
@@ -86,8 +91,11 @@ def _novel(text: str, lowered: str) -> Iterator[Span]:
     for match in _SENSITIVE.finditer(text):
         start, end = match.span(1)
         value = match[1]
-        mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-        if mixed and novelty(value, *_around(text, start, end)) >= LEAST_NOVELTY:
+        # In prose, with nothing but a space between, the next long word is no value.
+        bare = text[start - 1 : start].isspace() and not _OPERATOR.search(match[0][: start - match.start()])
+        if bare and not any(c.isdigit() for c in value):
+            continue
+        if novelty(value, *_around(text, start, end)) >= LEAST_NOVELTY:
             yield "novel", start, end
 
 

@@ -22,6 +22,25 @@ _INV = np.multiply.accumulate(
     np.r_[np.uint64(1), np.full(_BLOCK + _LONG, pow(_BASE, -1, 1 << 64), np.uint64)]
 )
 
+# The same with a prime modulus: strings can be built whose hashes modulo a power of two
+# agree for every base.
+_PRIME = (1 << 31) - 1
+_PRIME_BASE = 0x2545F491
+
+
+def _prime_powers(base: int) -> np.ndarray:
+    """Powers of the base, by doubling."""
+    out = np.ones(1, np.uint64)
+    step = base % _PRIME
+    while len(out) <= _BLOCK + _LONG:
+        out = np.r_[out, out * np.uint64(step) % np.uint64(_PRIME)]
+        step = step * step % _PRIME
+    return out[: _BLOCK + _LONG + 1]
+
+
+_PRIME_POW = _prime_powers(_PRIME_BASE)
+_PRIME_INV = _prime_powers(pow(_PRIME_BASE, -1, _PRIME))
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -56,7 +75,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; starts ascend.  Equal bytes, equal hash."""
+    """A 64-bit hash of each byte span; starts ascend.  Equal bytes, equal hash.
+
+    Two polynomials, modulo 2 ** 64 and modulo a prime, are mixed; spans above 64 KiB have
+    a cryptographic hash.
+    """
     out = np.empty(len(starts), np.uint64)
     size = ends - starts
     long = size > _LONG
@@ -65,14 +88,20 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         out[i] = int.from_bytes(digest, "little")
     short = np.flatnonzero(~long)
     s, e = starts[short], ends[short]
+    prime = np.uint64(_PRIME)
     cuts = np.r_[0, np.flatnonzero(np.diff(s // _BLOCK)) + 1, len(s)] if len(s) else np.array([0, 0])
     for a, b in zip(cuts[:-1], cuts[1:]):
         if a == b:
             continue
         low, high = int(s[a]), int(e[a:b].max())
-        terms = (buf[low:high].astype(np.uint64) + np.uint64(1)) * _POW[: high - low]
-        sums = np.r_[np.uint64(0), np.cumsum(terms, dtype=np.uint64)]
-        out[short[a:b]] = (sums[e[a:b] - low] - sums[s[a:b] - low]) * _INV[s[a:b] - low]
+        first, last = s[a:b] - low, e[a:b] - low
+        bytes_ = buf[low:high].astype(np.uint64) + np.uint64(1)
+        sums = np.r_[np.uint64(0), np.cumsum(bytes_ * _POW[: high - low], dtype=np.uint64)]
+        wide = (sums[last] - sums[first]) * _INV[first]
+        # Terms are below 2 ** 40, so the sums of a block stay below 2 ** 59.
+        sums = np.r_[np.uint64(0), np.cumsum(bytes_ * _PRIME_POW[: high - low], dtype=np.uint64)]
+        narrow = (sums[last] - sums[first]) % prime * _PRIME_INV[first] % prime
+        out[short[a:b]] = wide ^ mix(narrow + np.uint64(0xA24BAED4963EE407))
     return mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
