@@ -19,60 +19,65 @@ def lines(spark):
 
 # -- Slurm ------------------------------------------------------------------------
 
-PART_1, PART_2 = OnlyIf("Partition", "^part1$"), OnlyIf("Partition", "^part2$")
+GUEST = OnlyIf("Account", "^guest")
 CONFIG = slurm.SlurmConfig(
-    sites=(SiteRule("SiteA", PART_1), SiteRule("SiteB", PART_2)),
-    meta=(MetaRule("Comment", "Comment", "Json", allow_empty=True),),
+    sites=(SiteRule("hall", OnlyIf("QOS", "^(day|night)$")), SiteRule("attic", GUEST)),
+    meta=(MetaRule("Comment", "Comment", "Json", allow_empty=True), MetaRule("account", "Account")),
     components=(
-        ComponentRule(
-            "Cores", "NCPUS",
-            scores=(ScoreRule("HEPSPEC06", 1.1, PART_1), ScoreRule("HEPSPEC06", 1.2, PART_2)),
-        ),
-        ComponentRule("SystemCPU", "SystemCPU", "Time", only_if=PART_1),
-        ComponentRule("Memory", "ReqMem", "IntegerMega"),
+        ComponentRule("Ram", "ReqMem", "IntegerMega"),
+        ComponentRule("Kernel", "SystemCPU", "Time", only_if=OnlyIf("QOS", "^day$")),
+        ComponentRule("Slots", "AllocCPUS", scores=(ScoreRule("grant", 8.0, GUEST), ScoreRule("points", 3.25))),
     ),
 )
-# Partition | Comment | NCPUS | SystemCPU | ReqMem | JobID | Start | End | Group | User | State
-JOB_1 = (
-    "part1|{'voms': '/atlas', 'user_id': 'x'}|2||1000M|1|2023-11-07T10:14:01|2023-11-07T11:39:09|g|u|COMPLETED"
-)
-BATCH_1 = "||2|00:01.500||1.batch|2023-11-07T10:14:01|2023-11-07T11:39:09||||COMPLETED"
-JOB_2 = "part2||4||500M|2|2023-11-07T10:00:00|2023-11-07T11:00:00|g|u|COMPLETED"
 
 
-def test_key_order():
-    assert [key.name for key in CONFIG.keys()] == [
-        "Partition", "Comment", "NCPUS", "SystemCPU", "ReqMem",
-        "JobID", "Start", "End", "Group", "User", "State",
-    ]
+def line(**cells):
+    """A line of the dump with some cells, in the order of the configured keys."""
+    return "|".join(cells.get(key.name, "") for key in CONFIG.keys())
+
+
+DAY = {
+    "QOS": "day", "Account": "chemistry", "Comment": "{'project': 'blue', 'user_id': 'x'}", "AllocCPUS": "16",
+    "ReqMem": "3000M", "JobID": "31", "Start": "2024-03-01T06:00:00", "End": "2024-03-01T09:30:00",
+    "Group": "lab", "User": "mara", "State": "COMPLETED",
+}
+DAY_BATCH = {"AllocCPUS": "16", "SystemCPU": "01:05.750", "JobID": "31.batch", "State": "COMPLETED"}
+GUEST_JOB = DAY | {"QOS": "weekend", "Account": "guest-7", "Comment": "", "ReqMem": "250M", "JobID": "32"}
+JOB_1, BATCH_1, JOB_2 = line(**DAY), line(**DAY_BATCH), line(**GUEST_JOB)
+
+
+def test_keys_of_a_configuration():
+    names = [key.name for key in CONFIG.keys()]
+    assert len(names) == len(set(names))
+    assert set(names) == {*DAY, "SystemCPU"}
+    assert names[-6:] == ["JobID", "Start", "End", "Group", "User", "State"]
 
 
 def test_slurm_records(lines):
-    steps = [BATCH_1.replace("1.batch", f"1.{step}") for step in ("extern", "0", "")]
+    steps = [line(**DAY_BATCH | {"JobID": f"31.{step}"}) for step in ("extern", "0", "")]
     rows = slurm.collect(lines(JOB_1, BATCH_1, *steps, JOB_2), CONFIG).orderBy("record_id").collect()
     first, second = rows
-    assert first["record_id"] == "slurm-1"
+    assert first["record_id"] == "slurm-31"
     assert first["meta"] == {
-        "voms": ["/atlas"], "site_id": ["SiteA"], "user_id": ["u"], "group_id": ["g"],
+        "project": ["blue"], "account": ["chemistry"], "site_id": ["hall"], "user_id": ["mara"], "group_id": ["lab"],
     }
-    assert [(c["name"], c["amount"]) for c in first["components"]] == [
-        ("Cores", 2), ("SystemCPU", 1), ("Memory", 1000),
-    ]
-    assert first["components"][0]["scores"][0]["value"] == 1.1
-    assert (second["meta"]["site_id"], second["components"][0]["scores"][0]["value"]) == (["SiteB"], 1.2)
-    assert [c["name"] for c in second["components"]] == ["Cores", "Memory"]
+    assert [(c["name"], c["amount"]) for c in first["components"]] == [("Ram", 3000), ("Kernel", 65), ("Slots", 16)]
+    assert [tuple(score) for score in first["components"][2]["scores"]] == [("points", 3.25)]
+    assert second["meta"]["site_id"] == ["attic"]
+    assert [c["name"] for c in second["components"]] == ["Ram", "Slots"]
+    assert [tuple(score) for score in second["components"][1]["scores"]] == [("grant", 8.0), ("points", 3.25)]
 
 
 @pytest.mark.parametrize(
     ("job", "why"),
     [
-        (JOB_1.replace("part1", "part3"), "no site"),
-        (JOB_1, "no system cpu without the batch step"),
-        (JOB_2.replace("|4|", "|four|"), "amount that cannot be read"),
-        (JOB_2.replace("2023-11-07T11:00:00", "Unknown"), "no end"),
-        (JOB_2.replace("|COMPLETED", "|FAILED"), "state"),
-        (JOB_2.replace("2023-11-07T10:00:00", "None").replace("COMPLETED", "CANCELLED by 1"), "never started"),
-        ("part2||4||500M", "short line"),
+        (line(**DAY | {"QOS": "week"}), "no site"),
+        (JOB_1, "no kernel time without the batch step"),
+        (line(**GUEST_JOB | {"AllocCPUS": "four"}), "amount that cannot be read"),
+        (line(**GUEST_JOB | {"End": "Unknown"}), "no end"),
+        (line(**GUEST_JOB | {"State": "FAILED"}), "state"),
+        (line(**GUEST_JOB | {"Start": "None", "State": "CANCELLED by 1"}), "never started"),
+        (JOB_2.rsplit("|", 8)[0], "short line"),
     ],
 )
 def test_jobs_left_out(lines, job, why):
@@ -119,22 +124,23 @@ def test_typed_meta_and_guard(lines):
 
 
 def test_next_mark(lines):
-    records = slurm.collect(lines(JOB_1, BATCH_1, JOB_2), CONFIG)
+    later = line(**GUEST_JOB | {"JobID": "30", "End": "2024-03-02T00:00:00"})
+    records = slurm.collect(lines(JOB_1, BATCH_1, JOB_2, later), CONFIG)
     row = slurm.next_mark(records).first()
-    assert row["last_id"] == "slurm-1"
+    assert row["last_id"] == "slurm-30"
     row = slurm.next_mark(records.limit(0), at("2020-01-01T00:00:00Z"), "slurm-0").first()
     assert row["last_id"] == "slurm-0" and row["last_check"] is not None
 
 
 DETAIL = (
     "JobId=7 JobName=a=b\n   UserId=me(1000) GroupId=us(100)\n StartTime=2023-11-07T10:00:00 "
-    "EndTime=2023-11-07T11:00:00 NumCPUs=2 NumCPUs=4 noise Partition=part1"
+    "EndTime=2023-11-07T11:00:00 NumCPUs=2 NumCPUs=4 noise QOS=day"
 )
 
 
 def test_job_detail(lines):
     config = slurm_detail.DetailConfig(
-        "here", components=(ComponentRule("Cores", "NumCPUs", scores=(ScoreRule("S", 1.5, PART_1),)),)
+        "here", components=(ComponentRule("Cores", "NumCPUs", scores=(ScoreRule("S", 1.5, OnlyIf("QOS", "day")),)),)
     )
     row = slurm_detail.to_records(lines(DETAIL), config).first()
     assert row["record_id"] == "slurm-7"

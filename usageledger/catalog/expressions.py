@@ -29,6 +29,8 @@ from usageledger.operators.fields import (
 )
 from usageledger.operators.lookup import watt_per_core
 from usageledger.operators.reshape import to_added, to_record, to_update
+from usageledger.plans import archive, metrics
+from usageledger.sources.slurm import as_text
 
 VO = {"cl": "clicks", "pur": "sales", "s": "signups"}
 ORDER_NAMES = "SELECT record_id, c.name, c.amount FROM ord JOIN comp c ON o_orderkey = l_orderkey"
@@ -404,12 +406,12 @@ def json_text(spark, sf_dir):
     """SELECT event_id, CAST(k AS VARCHAR) AS number, group_id AS text,
               strftime(start_time, '%Y-%m-%d %H:%M:%S UTC') AS moment FROM ev""",
 )
-def as_text(spark, sf_dir):
+def typed_as_text(spark, sf_dir):
     return events(spark, sf_dir).select(
         "event_id",
-        F.col("k").cast("string").alias("number"),
-        F.col("event_type").alias("text"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss 'UTC'").alias("moment"),
+        as_text(F.col("k"), "Integer").alias("number"),
+        as_text(F.col("event_type"), "String").alias("text"),
+        as_text(F.col("ts"), "DateTime").alias("moment"),
     )
 
 
@@ -520,9 +522,8 @@ def json_encode(spark, sf_dir):
     plain = F.transform(
         "components", lambda c: F.struct(c["name"].alias("name"), c["amount"].alias("amount"))
     )
-    return order_records(spark, sf_dir).select(
-        "record_id", F.coalesce(F.to_json(plain), F.lit("null")).alias("components")
-    )
+    records = order_records(spark, sf_dir).withColumn("components", plain)
+    return records.select("record_id", archive.as_text("components").alias("components"))
 
 
 @query("x24_record_key", "SELECT 'slurm-' || CAST(event_id AS VARCHAR) || '-' || group_id AS id FROM ev")
@@ -556,9 +557,4 @@ def first_match(spark, sf_dir):
     "SELECT DISTINCT flag FROM flag",
 )
 def distinct_labels(spark, sf_dir):
-    return (
-        order_records(spark, sf_dir)
-        .select(F.explode(meta_values("flags")).alias("flag"))
-        .dropna()
-        .distinct()
-    )
+    return metrics.distinct_values(order_records(spark, sf_dir), "flags").withColumnRenamed("name", "flag")

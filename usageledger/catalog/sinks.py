@@ -23,7 +23,7 @@ from usageledger.catalog.reports import (
 )
 from usageledger.catalog.tables import event_records, order_records, zoned
 from usageledger.functions.records import component_amount, score_value
-from usageledger.operators.query import Operator, RecordQuery
+from usageledger.operators.query import Operator, RecordQuery, SortBy
 from usageledger.operators.reshape import to_added
 from usageledger.plans import apel, archive, metrics, utilization
 from usageledger.plans.store import DuplicateRecords, RecordStore
@@ -132,6 +132,56 @@ def last_update_wins(spark, sf_dir):
     return flat(store.records())
 
 
+def _changed_store(spark, sf_dir):
+    """Events added in two segments, open records closed twice, and one site deleted: changes
+    that are merged when they are read."""
+    store = _store(spark)
+    records = added_events(spark, sf_dir)
+    is_first = F.col("meta")["site"][0] == "site_1"
+    store.add(records.where(is_first))
+    store.add(records.where(~is_first))
+    store.update(closing(records, 300), order_by="stop_time")
+    store.update(closing(records, 90), order_by="stop_time")
+    store.delete(records.where(F.col("meta")["site"][0] == "site_3"))
+    return store
+
+
+CHANGED_SQL = f"SELECT * FROM ({UPDATED_SQL}) WHERE site <> 'site_3'"
+
+
+@query("k4_changes_merged_on_read", CHANGED_SQL)
+def changes_merged(spark, sf_dir):
+    return flat(_changed_store(spark, sf_dir).records())
+
+
+@query("k7_compacted", CHANGED_SQL)
+def compacted(spark, sf_dir):
+    store = _changed_store(spark, sf_dir)
+    store.compact()
+    store.vacuum()
+    return flat(store.records())
+
+
+@query(
+    "f3_changed_store",
+    f"""SELECT * FROM ({CHANGED_SQL}) WHERE stop_time >= TIMESTAMP '2024-01-10'
+        AND stop_time < TIMESTAMP '2024-01-20' AND runtime >= 50""",
+)
+def filtered_store(spark, sf_dir):
+    q = RecordQuery().with_runtime(Operator().gte(50))
+    q = q.with_stop_time(Operator().gte("2024-01-10T00:00:00").lt("2024-01-20T00:00:00"))
+    return flat(_changed_store(spark, sf_dir).advanced_query(q, ordered=False))
+
+
+@query(
+    "o2_ranked_store",
+    f"SELECT *, row_number() OVER (ORDER BY runtime DESC NULLS FIRST, record_id) AS rank FROM ({CHANGED_SQL})",
+)
+def ranked_store(spark, sf_dir):
+    q = RecordQuery().sort_by(SortBy().descending("runtime"))
+    return flat(_changed_store(spark, sf_dir).ranked(q), "rank")
+
+
 @query(
     "j11_update_lookup",
     """SELECT record_id, strftime(start_time, '%Y-%m') AS start_month, start_time,

@@ -34,6 +34,11 @@ def count_per_value(records: DataFrame, key: str) -> DataFrame:
     )
 
 
+def distinct_values(records: DataFrame, key: str) -> DataFrame:
+    """The different values of a metadata key."""
+    return records.select(F.explode(meta_values(key)).alias("name")).dropna().distinct()
+
+
 def _labelled(label: str, key: str) -> Column:
     """(label, value) pairs of one metadata key of a record."""
     values = F.coalesce(meta_values(key), F.array().cast("array<string>"))

@@ -209,6 +209,13 @@ def _text_of(name: str) -> Column:
     return F.col(name).cast("string")
 
 
+def as_text(value: Column, kind: str) -> Column:
+    """A parsed value as it stands in the metadata."""
+    if kind == "DateTime":
+        value = F.date_format(value, "yyyy-MM-dd HH:mm:ss 'UTC'")
+    return value.cast("string")
+
+
 def _meta(config: SlurmConfig) -> Column:
     typed = F.create_map().cast("map<string,array<string>>")
     for rule in config.meta:
@@ -219,11 +226,9 @@ def _meta(config: SlurmConfig) -> Column:
                 lambda _, v: F.array(v),
             )
         else:
-            if kind == "DateTime":
-                value = F.date_format(value, "yyyy-MM-dd HH:mm:ss 'UTC'")
             entry = F.when(
                 value.isNotNull(),
-                F.create_map(F.lit(rule.name), F.array(value.cast("string"))),
+                F.create_map(F.lit(rule.name), F.array(as_text(value, kind))),
             ).otherwise(F.create_map().cast("map<string,array<string>>"))
         if config.guard_meta:
             entry = F.when(guard(rule.only_if, _text_of), entry).otherwise(
