@@ -555,3 +555,27 @@ def test_filter_of_ids_loses_no_row(spark, monkeypatch):
     expected = docs.join(ids, "doc_id", "left_semi")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
     assert quality_rules._of_ids(docs, ids.limit(0)).count() == 0
+
+
+def test_personal_data_of_a_long_text(spark):
+    """Tens of thousands of matches in one text, several chunks of each kind."""
+    rng = random.Random(9)
+    words = []
+    for i in range(9000):
+        words.append(
+            rng.choice([f"user{i}@host{i % 7}.example.com", f"10.0.{i % 300}.7", "555-123-4567", "+1 (555) 010-9999", "4111 1111 1111 1111", "word"])
+        )
+    rows = [(1, " ".join(words)), (2, "a@b.cd" * 700), (3, "1.2.3.4 " * 257 + "x"), (4, None), (5, "")]
+    found = by_id(pii.digests(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))))
+    for doc, text in rows:
+        spans = brute.personal(text)
+        row = found[doc]
+        assert (row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]) == tuple(
+            sum(s[0] == kind for s in spans) for kind in ("email", "ip", "card", "phone")
+        )
+        assert row["base_sha256"] == brute.digest(spans)
+        kept = [s.split(":") for s in row["spans"].split(",") if s]
+        strict = {(k, int(a), int(b)) for k, a, b in kept} & set(spans)
+        assert strict == set(spans)
+        loose = [(int(a), int(b)) for k, a, b in kept if (k, int(a), int(b)) not in strict]
+        assert not any(a < e and s < b for a, b in loose[:200] for _, s, e in spans)

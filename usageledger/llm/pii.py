@@ -1,7 +1,8 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Candidates come from strict patterns and from looser ones.  Five labelers (format,
-check, gazetteer, cue words before, misleading words before) vote on each; the
+Candidates come from strict patterns and from looser ones.  Five labelers (the strict
+rule, the characters on both sides, gazetteer, cue words before, misleading words before)
+vote on each; the
 reliability of every labeler is estimated by expectation-maximisation over the
 counts of the vote patterns; the resulting probabilities train a naive Bayes span
 classifier, which judges the candidates that the strict rules do not settle.
@@ -9,6 +10,8 @@ classifier, which judges the candidates that the strict rules do not settle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ BASE = KINDS[:4]
 LABELERS = 5
 ROUNDS = 25
 AROUND = 40
+#: Matches that are gathered at once; the work of a text grows with this, not with its matches.
+CHUNK = 256
 CUT = 0.0
 
 # A run starts where the previous character is not of the run, or where the last
@@ -46,6 +51,9 @@ _GAZETTEER = {
     "number": r"^\(?[2-9][0-9]{2}",
     "person": rf"^(?:{_GIVEN})\x20",
 }
+# What stands on both sides of a value that is written on its own.
+_OPENED = r"(?:^|[\s\"'(\[{<:;,=|])$"
+_CLOSED = r"^(?:$|[\s\"')\]}>;|]|[.,:!?](?:\s|$))"
 _CUE = (
     r"(?i)(?:e-?mail|mailto|contact|phone|tel|mobile|call|fax|card|visa|mastercard|credit|iban|account|ssn|"
     r"social security|passport|\bip\b|address|host|server|name|kontakt|telefon|correo|courriel)"
@@ -54,6 +62,31 @@ _MISLEADING = r"(?i)(?:version|isbn|issn|doi|order|invoice|ref|figure|page|chapt
 _PARTS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; in a lambda it would be computed for
+    every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunks(items: Column) -> Column:
+    """A list as lists of up to ``CHUNK`` items."""
+    last = F.ceil(F.size(items) / CHUNK).cast("int") - 1
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(items, k * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(F.size(items) > 0, cut).otherwise(F.slice(cut, 1, 0))
+
+
+def _starts(chunks: Column) -> Column:
+    """Where in the text each chunk of matches begins."""
+    length = lambda total, x: total + F.length(x["around"]["before"]) + F.length(x["match"])
+    sizes = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0).cast("long"), length))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+
+    def add(state: Column, size: Column) -> Column:
+        return F.struct((state["at"] + size).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    return F.aggregate(sizes, none, add, lambda state: state["out"])
+
+
 def _matches(text: Column, kind: str) -> Column:
     """Leftmost non-overlapping matches: start, end, the match, and what surrounds it."""
     pattern = F.lit(_PATTERNS[kind])
@@ -83,8 +116,18 @@ def _matches(text: Column, kind: str) -> Column:
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
     empty = F.array().cast(f"array<{item}>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-    spans = F.aggregate(zipped, start, place, lambda state: state["spans"])
+
+    def chunk_spans(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), empty.alias("spans")), place, lambda state: state["spans"])
+
+    def all_spans(zipped: Column) -> Column:
+        # Growing one list match by match would copy it every time.
+        return _bound(
+            _chunks(zipped),
+            lambda chunks: F.flatten(F.zip_with(chunks, _starts(chunks), chunk_spans)),
+        )
+
+    spans = _bound(zipped, all_spans)
     some = text.rlike(_PATTERNS[kind])
     if kind in _NEEDS:
         some = text.contains(_NEEDS[kind]) & some
@@ -124,9 +167,10 @@ def _candidates(text: Column, kind: str) -> Column:
         match, before = span["match"], span["before"]
         base = _settled(kind, match)
         strict = kind in BASE
+        closed = before.rlike(_OPENED) & span["after"].rlike(_CLOSED)
         votes = F.array(
-            vote(base) if strict else F.lit(0),
             vote(base, ~base) if strict else F.lit(0),
+            vote(closed, ~closed),
             vote(match.rlike(_GAZETTEER[kind])),
             vote(before.rlike(_CUE)),
             vote(F.lit(False), before.rlike(_MISLEADING)),
@@ -243,10 +287,26 @@ def personal_data(documents: DataFrame) -> DataFrame:
             return c["base"] | (score > CUT)
 
     base = F.filter("found", lambda c: c["base"])
-    spans = F.filter(
-        F.filter("found", accepted),
-        lambda c: c["base"] | ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
+
+    def free(chunks: Column) -> Column:
+        """The accepted candidates that overlap no strict match: a chunk of these is looked
+        into only where its whole stretch is met."""
+
+        def meets(c: Column) -> Column:
+            inside = lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
+            return F.exists(chunks, lambda chunk: inside(chunk) & F.exists(chunk["spans"], inside))
+
+        return F.filter(F.filter("found", accepted), lambda c: c["base"] | ~meets(c))
+
+    stretches = lambda chunks: F.transform(
+        chunks,
+        lambda chunk: F.struct(
+            chunk.alias("spans"),
+            F.array_min(F.transform(chunk, lambda b: b["start"])).alias("start"),
+            F.array_max(F.transform(chunk, lambda b: b["end"])).alias("end"),
+        ),
     )
+    spans = _bound(_bound(base, lambda b: stretches(_chunks(b))), free)
     brief = lambda spans: F.transform(
         spans, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
     )
