@@ -184,15 +184,24 @@ def test_record_that_comes_back(spark, tmp_path):
     assert stops(store) == {"a": 5, "b": None}
 
 
-def test_index_stays_in_few_segments(spark, tmp_path):
+def test_index_and_records_stay_in_few_segments(spark, tmp_path):
     store = RecordStore(spark, str(tmp_path / "many"), buckets=4)
     for k in range(10):
         store.add(added(spark, job(f"r-{k}", "2024-01-01T00:00:00Z")))
-    assert len(store.manifest().index) < id_index.MERGED
-    assert store.lookup(named(spark, *[f"r-{k}" for k in range(15)])).count() == 10
-    assert id_index.to_merge(tuple(manifest.IndexSegment(k, 1) for k in range(7))) == 0
+        if k == 2:
+            store.update(update_of(spark, ("r-1", "2024-01-01T00:00:07Z")), order_by="stop_time")
+            store.delete(named(spark, "r-2"))
+    assert len(store.manifest().index) < manifest.MERGED
+    assert store.lookup(named(spark, *[f"r-{k}" for k in range(15)])).count() == 9
+    # So do the records of a month, with the changes that came after them.
+    assert len(store.manifest().of(manifest.RECORDS)) < manifest.MERGED
+    runtimes = stops(store)
+    assert len(runtimes) == 9 and runtimes.pop("r-1") == 7 and set(runtimes.values()) == {None}
+    store.update(update_of(spark, ("r-1", "2024-01-01T00:00:09Z"), ("r-9", "2024-01-01T00:00:09Z")), order_by="stop_time")
+    assert stops(store)["r-1"] == stops(store)["r-9"] == 9
+    assert manifest.to_merge(tuple(manifest.IndexSegment(k, 1) for k in range(7))) == 0
     sizes = (10_000, 900, *[100] * 8)
-    assert id_index.to_merge(tuple(manifest.IndexSegment(k, n) for k, n in enumerate(sizes))) == 9
+    assert manifest.to_merge(tuple(manifest.IndexSegment(k, n) for k, n in enumerate(sizes))) == 9
 
 
 def test_preview_of_an_update(spark, years):

@@ -162,6 +162,11 @@ def compacted(spark, sf_dir):
     return flat(store.records())
 
 
+@query("s2_stored_record", f"SELECT * FROM ({CHANGED_SQL}) WHERE record_id = 'ev-17'")
+def stored_record(spark, sf_dir):
+    return flat(_changed_store(spark, sf_dir).get_single_record("ev-17"))
+
+
 @query(
     "f3_changed_store",
     f"""SELECT * FROM ({CHANGED_SQL}) WHERE stop_time >= TIMESTAMP '2024-01-10'

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from usageledger.plans.manifest import IndexSegment
 from usageledger.schema import INDEXED, no_rows
 
-#: Segments of similar size that are merged to one.
-MERGED = 8
-
 
 def bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("record_id"), F.lit(buckets)).cast("int")
@@ -59,14 +56,3 @@ def newest(index: DataFrame) -> DataFrame:
     """The newest row of each id."""
     latest = F.max_by(F.struct("start_month", "live", "since"), "since")
     return index.groupBy("record_id").agg(latest.alias("row")).select("record_id", "row.*")
-
-
-def to_merge(segments: tuple[IndexSegment, ...]) -> int:
-    """How many of the newest segments to merge: those whose sizes are similar, if they
-    are many."""
-    total, count = 0, 0
-    for segment in reversed(segments):
-        if count and segment.rows > 2 * total:
-            break
-        total, count = total + segment.rows, count + 1
-    return count if count >= MERGED else 0

@@ -12,13 +12,16 @@ keeps it short.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import SparkSession
 
 from usageledger.plans.files import read_text, replace_text
 
+#: Segments of similar size that are merged to one.
+MERGED = 8
+
 RECORDS, CORRECTIONS, DELETES = "records", "corrections", "deletes"
 
 
@@ -76,6 +79,17 @@ class Manifest:
         return replace(self, version=self.version + 1, **changes)
 
 
+def to_merge(segments: Sequence[IndexSegment | Entry]) -> int:
+    """How many of the newest segments to merge: those whose sizes are similar, if they
+    are many."""
+    total, count = 0, 0
+    for segment in reversed(segments):
+        if count and segment.rows > 2 * total:
+            break
+        total, count = total + segment.rows, count + 1
+    return count if count >= MERGED else 0
+
+
 def _folder(path: str) -> str:
     return f"{path}/versions"
 

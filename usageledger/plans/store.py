@@ -37,7 +37,15 @@ from usageledger.operators.reshape import to_record
 from usageledger.operators.validity import split_checked, with_reasons
 from usageledger.plans import id_index, manifest
 from usageledger.plans.files import names_in, remove_folder
-from usageledger.plans.manifest import CORRECTIONS, DELETES, RECORDS, Entry, IndexSegment, Manifest
+from usageledger.plans.manifest import (
+    CORRECTIONS,
+    DELETES,
+    RECORDS,
+    Entry,
+    IndexSegment,
+    Manifest,
+    to_merge,
+)
 from usageledger.schema import (
     CORRECTED,
     DELETED,
@@ -138,17 +146,22 @@ class RecordStore:
         return self.spark.read.schema(schema).option("basePath", base).parquet(*folders)
 
     def _live(self, version: Manifest, months: set[str] | None = None) -> DataFrame:
-        """The records of some months.  Months without changes are a plain scan."""
-        months = version.months() if months is None else months
-        changed = version.changed_months() & months
-        plain = version.of(RECORDS, months - changed)
-        parts = [self._folders(RECORDS, plain).select(*STORED.fieldNames())] if plain or not changed else []
-        if changed:
-            parts.append(self._merged(version, changed))
+        """The records of some months."""
+        return self._live_in(version, version.of(RECORDS, months))
+
+    def _live_in(self, version: Manifest, entries: list[Entry]) -> DataFrame:
+        """The records of some folders.  Months without changes are a plain scan."""
+        changed = version.changed_months()
+        plain = [e for e in entries if e.month not in changed]
+        merged = [e for e in entries if e.month in changed]
+        parts = [self._folders(RECORDS, plain).select(*STORED.fieldNames())] if plain or not merged else []
+        if merged:
+            parts.append(self._merged(version, merged))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-    def _merged(self, version: Manifest, months: set[str]) -> DataFrame:
+    def _merged(self, version: Manifest, entries: list[Entry]) -> DataFrame:
         """Records of changed months with the changes that came after them."""
+        months = {e.month for e in entries}
         corrected = self._folders(CORRECTIONS, version.of(CORRECTIONS, months)).select(
             "record_id",
             F.col("segment").alias("corrected"),
@@ -173,7 +186,7 @@ class RecordStore:
         applies = F.coalesce(F.col("corrected") > F.col("segment"), F.lit(False))
         runtime = runtime_seconds("start_time", "stop_time")
         return (
-            self._folders(RECORDS, version.of(RECORDS, months))
+            self._folders(RECORDS, entries)
             .join(changes, "record_id", "left")
             .where("deleted IS NULL OR deleted < segment")
             .withColumns(
@@ -284,6 +297,28 @@ class RecordStore:
             return
         rows = written.select("record_id", "start_month", F.lit(True).alias("live"), F.lit(segment).alias("since"))
         self._publish(version, entries, rows)
+        self._merge_segments()
+
+    def _merge_segments(self) -> None:
+        """Where a month has many segments of similar size, write the newest as one, with
+        the changes that came after them.  A record is written again only when its
+        segment has at least doubled; older segments stay as they are."""
+        version = self.manifest()
+        chosen: list[Entry] = []
+        for month in version.months():
+            entries = sorted(version.of(RECORDS, {month}), key=lambda e: e.segment)
+            chosen += entries[len(entries) - to_merge(entries) :]
+        if chosen:
+            self._replace(version, chosen, [e for e in version.entries if e not in set(chosen)])
+
+    def _replace(self, version: Manifest, chosen: list[Entry], others: list[Entry]) -> Manifest:
+        """Write some folders of records as one segment, in place of these folders."""
+        segment = version.version + 1
+        self._write_records(self._live_in(version, chosen), segment)
+        new = _entries(RECORDS, segment, self._segment(RECORDS, segment))
+        following = version.following(entries=(*others, *new))
+        manifest.publish(self.spark, self.path, following)
+        return following
 
     def _segment(self, kind: str, segment: int) -> DataFrame:
         folder = f"{self.path}/{kind}/segment={segment}"
@@ -302,7 +337,7 @@ class RecordStore:
             index = (*index, IndexSegment(segment, sum(e.rows for e in entries)))
         new = version.following(entries=(*version.entries, *entries), index=index)
         manifest.publish(self.spark, self.path, new)
-        merged = id_index.to_merge(new.index)
+        merged = to_merge(new.index)
         if merged:
             self._merge_index(new, merged)
 
@@ -401,12 +436,8 @@ class RecordStore:
             months = version.changed_months() | {m for m in several if several.count(m) > 1}
         months = months & version.months()
         if months:
-            segment = version.version + 1
-            self._write_records(self._live(version, months), segment)
-            new = _entries(RECORDS, segment, self._segment(RECORDS, segment))
-            others = tuple(e for e in version.entries if e.month not in months)
-            version = version.following(entries=(*others, *new))
-            manifest.publish(self.spark, self.path, version)
+            others = [e for e in version.entries if e.month not in months]
+            version = self._replace(version, version.of(RECORDS, months), others)
         if len(version.index) > 1:
             self._merge_index(version, len(version.index))
 
