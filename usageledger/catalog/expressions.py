@@ -367,6 +367,20 @@ def local_time(spark, sf_dir):
     )
 
 
+@query(
+    "x12_summer_time",
+    """SELECT event_id, date_trunc('second', start_time) + INTERVAL 170 DAY AS utc,
+              date_trunc('second', start_time) + INTERVAL 170 DAY - INTERVAL 2 HOUR AS berlin FROM ev""",
+)
+def summer_time(spark, sf_dir):
+    written = F.date_format(F.col("ts") + F.expr("INTERVAL 170 DAY"), "yyyy-MM-dd'T'HH:mm:ss")
+    return events(spark, sf_dir).select(
+        "event_id",
+        parsing.local_datetime(written).alias("utc"),
+        parsing.local_datetime(written, "Europe/Berlin").alias("berlin"),
+    )
+
+
 @query("x13_account_id", "SELECT event_id, user_id AS account FROM ev")
 def account(spark, sf_dir):
     written = F.concat("user", F.lit("("), F.col("uid").cast("string"), F.lit(")(x)"))
