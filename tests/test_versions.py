@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+import shutil
 
 import pytest
 from conftest import at, ids
@@ -45,11 +46,19 @@ def sixty_months():
             for y in range(2019, 2024) for m in range(1, 13)]
 
 
-@pytest.fixture
-def years(spark, tmp_path):
-    store = RecordStore(spark, str(tmp_path / "years"))
+@pytest.fixture(scope="module")
+def written(spark, tmp_path_factory):
+    store = RecordStore(spark, str(tmp_path_factory.mktemp("written") / "years"))
     store.add(added(spark, *sixty_months()))
-    return store
+    return store.path
+
+
+@pytest.fixture
+def years(spark, tmp_path, written):
+    """A store of 60 months of its own."""
+    path = str(tmp_path / "years")
+    shutil.copytree(written, path)
+    return RecordStore(spark, path)
 
 
 def spoil(paths):

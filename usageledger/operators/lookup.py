@@ -16,6 +16,8 @@ from usageledger.session import materialize
 # A lookup that comes out of a configuration is broadcast up to this many rows;
 # a longer one is joined like any other table.
 BROADCAST_ROWS = 100_000
+# Configured ids that are part of the plan as a literal; more would make plans slow.
+LITERAL_IDS = 10_000
 
 
 def lookup_table(
@@ -61,7 +63,7 @@ def assign_report_sites(
     sites: Mapping[str, Sequence[str]],
     meta_keys: Sequence[str],
     check_duplicates: bool = False,
-    literal_ids: int = BROADCAST_ROWS,
+    literal_ids: int = LITERAL_IDS,
 ) -> DataFrame:
     """One row per record and report site that one of its site ids belongs to.
 
