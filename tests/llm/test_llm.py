@@ -412,6 +412,39 @@ def test_components(spark):
     assert components.components(table.limit(0)).count() == 0
 
 
+def test_language_id_learns_the_most_frequent(spark):
+    """Values of lang beyond the bound are not learned; ties go to the smaller value."""
+    rows = [(i, "the cat sat on the mat", "en") for i in range(40)]
+    rows += [(100 + i, "der hund und die katze", "de") for i in range(40)]
+    rows += [(200 + i, "xx yy zz", f"dirty{i}") for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(table, languages_at_most=2).languages == ["de", "en"]
+    held = table.where(language_id.fold("doc_id", 4) != 2).where("lang LIKE 'dirty%'").agg(F.min("lang")).first()[0]
+    assert language_id.fit(table, languages_at_most=3).languages == sorted(["de", "en", held])
+
+
+def test_components_hubs(spark, monkeypatch):
+    """Hubs are broadcast, everything else meets by id; both together give the same parts."""
+    monkeypatch.setattr(components, "HUBS", 8)
+    rng = random.Random(9)
+    links = [(1000, 2000 + i) for i in range(400)] + [(2000 + i, 1500) for i in range(0, 400, 3)]
+    links += [(i, i + 1) for i in range(5000, 5040)] + [(1500, rng.randrange(9000, 9100)) for _ in range(60)]
+    table = spark.createDataFrame(links, "a long, b long")
+    parts = brute.roots({x for link in links for x in link}, links)
+    assert {r["node"]: r["component_id"] for r in components.components(table).collect()} == parts
+    pairs = table.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    both = pairs.union(table.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    least = components._least(both)
+    assert least.where(F.col("degree") > 2 * len(links) / components.HUBS).count() <= components.HUBS
+    dealt = components._meet(both, least, 2 * len(links))
+    nearest = {}
+    for a, b in links:
+        for u, v in ((a, b), (b, a)):
+            nearest[u] = min(v, nearest.get(u, v))
+    assert dealt.count() == 2 * len(links)
+    assert {(r["u"], r["m"]) for r in dealt.collect()} == set(nearest.items())
+
+
 def test_best_buckets():
     rng = random.Random(6)
     for _ in range(30):

@@ -275,10 +275,13 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     sound = finite & F.exists("embedding", lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label").cast("int"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False))
-    rows = rows.withColumn("name", F.when(usable, F.xxhash64("label", "embedding")))
+    # Two chains of hashes from different starts name a class of equal vectors.
+    rows = rows.withColumn("name", F.when(usable, F.xxhash64("label", "embedding"))).withColumn(
+        "mark", F.when(usable, F.xxhash64(F.lit("mark"), "embedding"))
+    )
     classes = materialize(
         rows.where("name IS NOT NULL")
-        .groupBy("label", "name")
+        .groupBy("label", "name", "mark")
         .agg(
             F.min("vec_id").alias("rep"),
             F.count("*").alias("copies"),
@@ -316,19 +319,20 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     found = materialize(found, "found")
     joined = components(found.where("other IS NOT NULL"), "rep", "other")
     counted = (
-        classes.select("label", "name", "rep", "copies")
+        classes.select("label", "name", "mark", "rep", "copies")
         .join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
         .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
         .select(
             "label",
             "name",
+            "mark",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("component_id", "rep").alias("component_id"),
         )
     )
     return (
-        rows.select("vec_id", "label", "name")
-        .join(counted, ["label", "name"], "left")
+        rows.select("vec_id", "label", "name", "mark")
+        .join(counted, ["label", "name", "mark"], "left")
         .select(
             "vec_id",
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

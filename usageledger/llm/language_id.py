@@ -25,6 +25,7 @@ WIDTHS = (2, 3, 4)
 EMBEDDING = 8
 FILTERS = 16
 ROWS_PER_LANGUAGE = 600
+LANGUAGES = 256
 WINDOWS_PER_ROW = 2
 STEPS = 600
 BATCH = 64
@@ -156,14 +157,19 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Network | None:
+def fit(
+    documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages_at_most: int = LANGUAGES
+) -> Network | None:
     """Train on about ``rows_per_language`` texts of each language outside the
     held-out fold (all texts of a language with fewer), ``WINDOWS_PER_ROW`` windows
-    each.  None if there is nothing to learn from."""
+    each.  Of more than ``languages_at_most`` values of lang the most frequent are learned
+    (ties: the smaller), so that a dirty column does not fill the driver.  None if there
+    is nothing to learn from."""
     usable = documents.select("doc_id", "text", "lang").where(
         (fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages_at_most)
+    counts = {r["lang"]: r["count"] for r in frequent.collect()}
     if not counts:
         return None
     share = F.create_map(
