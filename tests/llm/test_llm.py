@@ -265,6 +265,35 @@ def test_substring_dedup_common_passage(spark, monkeypatch, size):
         assert found[doc]["n_removed"] == sum(mark) and found[doc]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
 
 
+@pytest.mark.parametrize("crowded", [0, 40])
+def test_substring_dedup_crowds_found_by_counts(spark, monkeypatch, crowded):
+    """Grams with many different stretches are known before any stretch is sent: no group of
+    step 2 holds many rows of one gram, and the result stays whole."""
+    rng = random.Random(17)
+    passage = prose(rng, 30)
+    rows = [(i, prose(rng, 12) + " " + passage + " " + prose(rng, 12)) for i in range(1500)]
+    rows += [(2000, passage * 3), (2001, None), (2002, ""), (2003, rows[0][1]), (2004, "é" * 150 + passage)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    settle, folder = substring_dedup._settle, tempfile.mkdtemp()
+
+    def counted(part):
+        c = substring_dedup._unpack([b.as_py() for b in part.column("blob") if b.is_valid])
+        if len(c["gram"]):
+            open(os.path.join(folder, str(np.unique(c["gram"], return_counts=True)[1].max())), "w").close()
+        return settle(part)
+
+    monkeypatch.setattr(substring_dedup, "_settle", counted)
+    monkeypatch.setattr(substring_dedup, "LOCAL", 2)
+    monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
+    texts = table.where("text IS NOT NULL")
+    assert substring_dedup.crowded_places(texts)
+    found = by_id(substring_dedup.digests(substring_dedup.remove_repeats(table)))
+    assert max(map(int, os.listdir(folder))) <= crowded + 12
+    for doc, (data, mark) in brute.without_repeats([row for row in rows if row[1] is not None]).items():
+        kept = bytes(b for b, m in zip(data, mark) if not m)
+        assert found[doc]["n_removed"] == sum(mark) and found[doc]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+
+
 def test_run_index():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(60)]

@@ -6,15 +6,19 @@ removed.  Windows are dealt out by content: a window belongs to its minimizer, t
 gram they share, at the same offset.  The neighbouring windows of one gram form a
 stretch of 100 to 168 bytes.
 
+0. Grams that very many different stretches share are found first, by counts alone:
+   each task counts what it reads, the counts of a place (24 bits of the gram's hash) are
+   summed, and the crowded places go to all tasks as 2 MB of bits at most.
 1. Each task finds grams and stretches, collapses equal stretches, and sends their
-   hashes out by gram, packed by bucket.
+   hashes out by gram, packed by bucket.  At crowded places the windows of a stretch go
+   out one by one, each by its own hash.
 2. Per gram, equal stretches have an earliest one; the others repeat it whole.  Grams
    with stretches that differ are asked for: only there can a window be shared by
    stretches that are not equal.
 3. Those stretches are cut from the texts and indexed, bucket by bucket: a run-length
    Burrows-Wheeler transform is streamed backwards by all stretches at once, and a
    window is marked if its interval has an earlier member.
-4. Where very many stretches share a gram, as at the ends of a passage that many
+4. Where many stretches share a gram, as at the ends of a passage that many
    documents have, no index is to hold them.  Their windows are hashed one by one and
    go out by hash, only the earliest of each task.
 5. The marks meet their text again.
@@ -43,6 +47,10 @@ GATHER_BYTES = 16 << 20
 BUCKET_BYTES = 2 << 20
 INDEX_BYTES = 1 << 19
 CROWD = 256
+CROWDED = 1 << 16
+LOCAL = 8
+PLACE_BITS = 24
+BLOCK_BITS = 15
 GATHER_WINDOWS = 1 << 19
 BUCKET_WINDOWS = 1 << 17
 
@@ -62,9 +70,10 @@ def _gram_hashes(buf: np.ndarray) -> np.ndarray:
     return textops.mix(h)
 
 
-def stretches(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+def stretches(buf: np.ndarray, off: np.ndarray, grams: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Gram hash, row, first window, place of the gram after it, and number of windows
-    of every stretch of the rows, in text order."""
+    of every stretch of the rows, in text order.  ``grams`` are the hashes of all grams, if
+    they are known."""
     size = np.diff(off)
     n = len(buf)
     row_of = np.repeat(np.arange(len(size)), size)
@@ -72,7 +81,7 @@ def stretches(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(starts):
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, none, none
-    grams = _gram_hashes(buf)
+    grams = _gram_hashes(buf) if grams is None else grams
     blocks = -(-(n + GRAMS) // GRAMS)
     keys = np.full(blocks * GRAMS, np.iinfo(np.uint64).max, np.uint64)
     keys[:n] = grams
@@ -160,7 +169,68 @@ def _dealt(gathered: list[dict[str, np.ndarray]], buckets: int) -> Iterator[pa.R
     )
 
 
-def _scan(buckets: int):
+def _frequent(least: int):
+    """Step 0 for one task: rows (place, n) of the grams that ``least`` or more different
+    stretches of ``GATHER_BYTES`` of text share."""
+
+    def counted(gathered: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        gram, whole = (np.concatenate(parts) for parts in zip(*gathered))
+        order = np.lexsort((whole, gram))
+        gram, whole = gram[order], whole[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = gram[1:] != gram[:-1]
+        kinds = new.copy()
+        kinds[1:] |= whole[1:] != whole[:-1]
+        n = np.bincount(np.cumsum(new) - 1, kinds).astype(np.int64)
+        place = (gram[new] >> np.uint64(64 - PLACE_BITS)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(place[n >= least]), pa.array(n[n >= least])], names=["place", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, held = [], 0
+        for batch in batches:
+            for _, _, buf, off in textops.pieces(batch.column("text"), PIECE_BYTES):
+                grams = _gram_hashes(buf)
+                gram, _, start, _, count = stretches(buf, off, grams)
+                last = start + count + WINDOW - 1 - GRAM
+                whole = count.astype(np.uint64)
+                for at in range(0, 2 * GRAMS + GRAM, GRAM):  # grams side by side cover a stretch
+                    whole = textops.mix(whole ^ grams[np.minimum(start + at, last)])
+                gathered.append((gram, whole))
+                held += len(buf)
+                if held >= GATHER_BYTES:
+                    yield counted(gathered)
+                    gathered, held = [], 0
+        if gathered:
+            yield counted(gathered)
+
+    return run
+
+
+def crowded_places(texts: DataFrame) -> dict[int, bytes]:
+    """Bits of the places that more than ``CROWDED`` different stretches share, in blocks
+    of 4 KB: 512 of them at most, whatever the size of the corpus.
+
+    A gram with fewer than ``LOCAL`` stretches in all that a task counts at once is not
+    seen; so ``LOCAL`` stretches for each ``GATHER_BYTES`` of text can still meet in a task.
+    A place may have several grams.  How a gram is dealt with follows from its place alone,
+    so equal windows always meet and the result does not depend on the counts.
+    """
+    counts = texts.transform(map_arrow, _frequent(LOCAL), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    block, bit = F.shiftright("place", BLOCK_BITS), F.col("place").bitwiseAND((1 << BLOCK_BITS) - 1)
+    rows = counts.where(F.col("n") > CROWDED).groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("bits"))
+    return {row["block"]: bytes(row["bits"]) for row in rows.collect()}
+
+
+def _is_crowded(gram: np.ndarray, blocks: dict[int, bytes]) -> np.ndarray:
+    place = (gram >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+    out = np.zeros(len(gram), bool)
+    for block, bits in blocks.items():
+        own = np.flatnonzero(place >> BLOCK_BITS == block)
+        out[own] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")[place[own] & ((1 << BLOCK_BITS) - 1)]
+    return out
+
+
+def _scan(buckets: int, blocks: dict[int, bytes]):
     """Step 1.  Rows (bucket, blob) and marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +239,13 @@ def _scan(buckets: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, end, buf, off in textops.pieces(batch.column("text"), PIECE_BYTES):
                 gram, row, start, left, count = stretches(buf, off)
+                crowd = _is_crowded(gram, blocks)
+                if crowd.any():
+                    own = {"start": start - off[row], "size": count + WINDOW - 1, "left": left, "gram": gram.view(np.int64)}
+                    own = {name: values[crowd] for name, values in own.items()}
+                    gathered.append(_windows(buf, off, ids[first:end], row[crowd], own))
+                    held += GRAM * len(gathered[-1]["gram"])
+                    gram, row, start, left, count = (values[~crowd] for values in (gram, row, start, left, count))
                 whole = textops.span_hashes(buf, start, start + count + WINDOW - 1) ^ left.astype(np.uint64)
                 gathered.append(
                     {
@@ -332,7 +409,7 @@ def find_repeats(documents: DataFrame) -> DataFrame:
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-volume // BUCKET_BYTES))
     settled = materialize(
-        texts.transform(map_arrow, _scan(buckets), f"bucket int, blob binary, {_MARK}")
+        texts.transform(map_arrow, _scan(buckets, crowded_places(texts)), f"bucket int, blob binary, {_MARK}")
         .groupBy("bucket")
         .applyInArrow(_settle, f"{_MARK}, left int, gram long, crowd boolean"),
         "settled",
