@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import re
 import tempfile
 import zlib
 
@@ -28,6 +29,7 @@ from usageledger.llm import (
     secret_scan,
     substring_dedup,
 )
+from usageledger.session import settings
 
 SF = "/root/testdata/sf0.001"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -471,6 +473,10 @@ def test_components_hubs(spark, monkeypatch):
         for u, v in ((a, b), (b, a)):
             nearest[u] = min(v, nearest.get(u, v))
     assert dealt.count() == 2 * len(links)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
+        again = components._meet(both, components._least(both), 2 * len(links))
+        plan = again._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(u#\d+L?, salt#\d+", plan)
     assert {(r["u"], r["m"]) for r in dealt.collect()} == set(nearest.items())
 
 

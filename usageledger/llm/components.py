@@ -29,7 +29,9 @@ def _meet(pairs: DataFrame, least: DataFrame, rows: int) -> DataFrame:
     hubs = least.where(F.col("degree") > rows / HUBS).select("u", F.col("m").alias("hub_m"))
     salt = F.when(F.col("hub_m").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(HUBS)))
     dealt = pairs.join(F.broadcast(hubs), "u", "left").withColumn("salt", salt.cast("int"))
-    return dealt.join(least.select("u", F.lit(0).alias("salt"), "m"), ["u", "salt"], "left").select(
+    # Always 0, but not as a literal: that would be taken out of the key.
+    unsalted = (F.col("degree") < 0).cast("int").alias("salt")
+    return dealt.join(least.select("u", unsalted, "m"), ["u", "salt"], "left").select(
         "u", "v", F.coalesce("hub_m", "m").alias("m")
     )
 
