@@ -179,3 +179,17 @@ def test_history_that_is_read_again(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in ingest.marks(spark, marks_path).collect()} == {("schedd0", 14, 0), ("schedd1", 13, 0)}
     assert store.records().count() == 14
     assert len(list((tmp_path / "marks").glob("batch=*"))) == 2
+
+
+def test_labels_and_pieces_are_not_broadcast(spark):
+    """However small the rows look before they are cut to pieces; a pattern whose keys all
+    meet a value matches it once."""
+    table = spark.createDataFrame([("d", v) for v in ("cms", "cms-u17", "u17|cms", "cms|u17|s-u")], "day string, value string")
+    found = matching_labels(table, "day", "value")
+    assert re.search(r"SortMergeJoin \[day#\d+, key#\d+\]", plan_of(found))
+    assert sorted((r["label"], r["value"]) for r in found.collect()) == sorted(
+        (label, value)
+        for label in ("cms", "cms-u17", "u17|cms", "cms|u17|s-u")
+        for value in ("cms", "cms-u17", "u17|cms", "cms|u17|s-u")
+        if "|" in label or label in value
+    )
