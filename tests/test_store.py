@@ -2,7 +2,9 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 from conftest import at, component, ids, record
+from pyspark.sql import functions as F
 
+from usageledger.catalog import sinks
 from usageledger.functions.calendar import month_bounds
 from usageledger.operators.query import Operator, RecordQuery
 from usageledger.operators.reshape import to_added, to_record, to_update
@@ -280,3 +282,15 @@ def test_months_do_not_depend_on_the_session_zone(spark, tmp_path):
     query = RecordQuery(start_time=Operator().gte("2023-12-31T00:00:00Z").lt("2023-12-31T23:59:00Z"))
     assert ids(store.advanced_query(query)) == ["edge"]
     assert store.stored().first()["start_month"] == "2023-12"
+
+
+def test_update_lookup_returns_the_whole_store(spark, tmp_path):
+    """Changed and unchanged records, each with the month that the lookup found."""
+    rows = [(n, f"2024-0{n + 1}-05 10:00:00", n, "error" if n % 2 else "view", 10.0, '{"k": 3}') for n in range(4)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz")
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    found = {r["record_id"]: r for r in sinks.update_lookup(spark, str(tmp_path)).collect()}
+    assert {key: (r["start_month"], r["runtime"]) for key, r in found.items()} == {
+        "ev-0": ("2024-01", 10), "ev-1": ("2024-02", 90), "ev-2": ("2024-03", 10), "ev-3": ("2024-04", 90),
+    }

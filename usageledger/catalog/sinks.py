@@ -189,18 +189,21 @@ def ranked_store(spark, sf_dir):
 
 @query(
     "j11_update_lookup",
-    """SELECT record_id, strftime(start_time, '%Y-%m') AS start_month, start_time,
-         start_time + INTERVAL 90 SECOND AS stop_time, 90 AS runtime
-       FROM ev WHERE stop_time IS NULL""",
+    f"SELECT *, strftime(start_time, '%Y-%m') AS start_month FROM ({UPDATED_SQL})",
 )
 def update_lookup(spark, sf_dir):
-    """What updates would change, found by id; half of the ids are unknown."""
+    """All records after updates found by id, half of whose ids are unknown: the changed
+    ones as the preview says, the others as the store has them."""
     store = _event_store(spark, sf_dir)
     updates = closing(added_events(spark, sf_dir), 90)
     unknown = updates.withColumn("record_id", F.concat(F.lit("no-"), "record_id"))
-    changed = store.preview_update(updates.unionByName(unknown), order_by="stop_time")
-    months = store.lookup(updates.unionByName(unknown))
-    return changed.join(months, "record_id").select("record_id", "start_month", "start_time", "stop_time", "runtime")
+    both = updates.unionByName(unknown)
+    changed = store.preview_update(both, order_by="stop_time")
+    store.update(both, order_by="stop_time", on_unknown="return")
+    records = store.records()
+    others = records.join(store.lookup(updates), "record_id", "left_anti")
+    months = store.lookup(records.select("record_id").unionByName(unknown.select("record_id")))
+    return flat(changed.unionByName(others).join(months, "record_id"), "start_month")
 
 
 @query("j9_new_records", f"SELECT {FLAT} FROM ev WHERE site <> 'site_1'")
