@@ -193,3 +193,21 @@ def test_labels_and_pieces_are_not_broadcast(spark):
         for value in ("cms", "cms-u17", "u17|cms", "cms|u17|s-u")
         if "|" in label or label in value
     )
+
+
+def test_many_pieces_of_spans_are_not_broadcast(spark):
+    """Few spans, but 210,000 hours of them."""
+    spans = spark.createDataFrame([("r", "n", "p", at("2000-01-01T00:00:00Z"), at("2024-01-01T00:00:00Z"))], SPANS)
+    samples = spark.createDataFrame([("n", "p", "m", "s", at("2023-01-01T00:00:00Z"), 1.0)], SAMPLES)
+    found = samples_within(spans, samples)
+    assert re.search(r"SortMergeJoin \[namespace[^\]]*bucket", plan_of(found))
+    assert [r["value"] for r in found.collect()] == [1.0]
+
+
+def test_many_ids_are_not_broadcast(spark, records_of, tmp_path):
+    store = RecordStore(spark, str(tmp_path / "store"))
+    store.add(reshape.to_added(records_of(record("7", "2024-01-01T00:00:00Z"))))
+    found = store.lookup(spark.range(100_001).select(F.col("id").cast("string").alias("record_id")))
+    assert "SortMergeJoin" in plan_of(found) and "BroadcastHashJoin" not in plan_of(found)
+    assert [tuple(r) for r in found.collect()] == [("7", "2024-01")]
+    assert "BroadcastHashJoin" in plan_of(store.lookup(spark.range(3).selectExpr("CAST(id AS STRING) record_id")))

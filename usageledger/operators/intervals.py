@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from usageledger.operators.lookup import BROADCAST_ROWS
+
 # Length of the pieces a series is cut into, so that a series with very many
 # samples is spread over tasks.
 PIECE_SECONDS = 3600
@@ -23,7 +25,8 @@ def samples_within(
     buckets of time and a sample lies in one of them, so a hot pod is spread over
     as many keys as it has buckets, and a sample is compared only with spans of its
     bucket.  The first and last moment of all spans, two numbers on the driver, are a
-    condition on the samples that reaches their scan.
+    condition on the samples that reaches their scan.  The number of pieces says
+    whether they may be broadcast; their size before they are cut does not.
     """
     seconds = F.timestamp_diff("SECOND", F.col("start_time"), F.col("stop_time")) + 1
     until = F.unix_micros(F.col("stop_time").cast("timestamp"))
@@ -35,16 +38,21 @@ def samples_within(
         (until - seconds * 1_000_000).alias("since"),
     )
     bounded = bounded.where("since <= until")
-    ends = bounded.agg(F.min("since").alias("since"), F.max("until").alias("until")).first()
-    if ends["since"] is None:
-        samples = samples.where(F.lit(False))
-    else:
-        samples = samples.where(_between(samples, "ts", ends["since"], ends["until"]))
 
     def bucket(micros: Column) -> Column:
         return F.floor(micros / (bucket_seconds * 1_000_000))
 
+    ends = bounded.agg(
+        F.min("since").alias("since"),
+        F.max("until").alias("until"),
+        F.sum(bucket(F.col("until")) - bucket(F.col("since")) + 1).alias("pieces"),
+    ).first()
+    if ends["since"] is None:
+        samples = samples.where(F.lit(False))
+    else:
+        samples = samples.where(_between(samples, "ts", ends["since"], ends["until"]))
     pieces = bounded.withColumn("bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(F.col("until")))))
+    pieces = F.broadcast(pieces) if (ends["pieces"] or 0) <= BROADCAST_ROWS else pieces.hint("merge")
     timed = samples.select(
         "namespace",
         "pod",

@@ -122,7 +122,8 @@ def fill(queue: DataFrame, samples: DataFrame, now: int) -> DataFrame:
     record keeps its retry count, an incomplete one is tried once more later.
     """
     found = measured(spans(queue), samples).withColumnRenamed("record_id", "rid")
-    joined = queue.join(found, "rid", "left")
+    # As many rows as the queue has entries, which may be all records: never broadcast.
+    joined = queue.join(found.hint("merge"), "rid", "left")
     none = F.array().cast(COMPONENTS_DDL)
     cpu_added = ~_has(CPU) & F.col("cpu").isNotNull()
     cpu_there = _has(CPU) | F.col("cpu").isNotNull()

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usageledger.operators.lookup import BROADCAST_ROWS
 from usageledger.plans.manifest import IndexSegment
 from usageledger.schema import INDEXED, no_rows
 
@@ -42,14 +43,22 @@ def read(spark: SparkSession, path: str, segments: list[IndexSegment]) -> DataFr
 def lookup(index: DataFrame, ids: DataFrame, buckets: int) -> DataFrame:
     """record_id and start_month of those ids that are there.
 
-    The buckets of the ids, at most ``buckets`` numbers, come to the driver, so that the
-    others are not opened.
+    The buckets of the ids with their numbers of ids, at most ``buckets`` rows, come to the
+    driver, so that the others are not opened, and many ids are not broadcast.
     """
     wanted = ids.select("record_id")
-    touched = [row[0] for row in wanted.select(bucket(buckets)).distinct().collect()]
+    touched = wanted.groupBy(bucket(buckets).alias("bucket")).count().collect()
     if len(touched) < buckets:
-        index = index.where(F.col("bucket").isin(*touched) if touched else F.lit(False))
-    return newest(index.join(wanted, "record_id", "left_semi")).where("live").select("record_id", "start_month")
+        index = index.where(F.col("bucket").isin(*(row["bucket"] for row in touched)) if touched else F.lit(False))
+    size = sum(row["count"] for row in touched)
+    there = newest(index.join(by_size(wanted, size), "record_id", "left_semi")).where("live")
+    return by_size(there.select("record_id", "start_month"), size)
+
+
+def by_size(side: DataFrame, rows: int) -> DataFrame:
+    """One side of a join with a known number of rows, or a bound of it: more than
+    ``BROADCAST_ROWS`` are never sent to the driver, however small their files are."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side.hint("merge")
 
 
 def newest(index: DataFrame) -> DataFrame:

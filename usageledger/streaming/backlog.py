@@ -46,13 +46,12 @@ def enrich(
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         version = offset + batch_id
         before = _version_before(spark, queue_path, version)
-        waiting = (
-            no_rows(spark, enrichment.QUEUE)
-            if before is None
-            else spark.read.schema(enrichment.QUEUE).parquet(before)
-        )
-        fresh = enrichment.enqueue(batch).join(waiting.select("rid"), "rid", "left_anti")
-        queue = waiting.unionByName(fresh.select(*waiting.columns))
+        queue = enrichment.enqueue(batch)
+        if before is not None:
+            waiting = spark.read.schema(enrichment.QUEUE).parquet(before)
+            # What waits may be all records so far: never broadcast.
+            fresh = queue.join(waiting.select("rid").hint("merge"), "rid", "left_anti")
+            queue = waiting.unionByName(fresh.select(*waiting.columns))
         tried = _tried(queue, samples_now, clock(batch_id), max_retries, interval_seconds, reachable())
         rejects = _settle(tried, store, queue_path, version, max_retries)
         keep_rejects(rejects, checkpoint, batch_id)
