@@ -284,6 +284,21 @@ def test_months_do_not_depend_on_the_session_zone(spark, tmp_path):
     assert store.stored().first()["start_month"] == "2023-12"
 
 
+def test_a_batch_is_computed_once(spark, store, records_of):
+    """For its checks, its records and its rejects."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(record_id):
+        seen.add(1)
+        return record_id
+
+    rows = records_of(*[record(str(n), "2022-06-27T15:00:00Z", None, {"k": [" " if n == 3 else "v"]}) for n in range(6)])
+    added = to_added(rows.unionByName(rows.where("record_id = '1'"))).withColumn("record_id", F.udf(count)("record_id"))
+    rejects = store.add(added, on_duplicate="skip", on_invalid="skip")
+    assert [(r["record_id"], r["reasons"]) for r in rejects.collect()] == [("3", ["meta"])]
+    assert sorted(ids(store.records())) == ["0", "1", "2", "4", "5"] and seen.value == 7
+
+
 def test_update_lookup_returns_the_whole_store(spark, tmp_path):
     """Changed and unchanged records, each with the month that the lookup found."""
     rows = [(n, f"2024-0{n + 1}-05 10:00:00", n, "error" if n % 2 else "view", 10.0, '{"k": 3}') for n in range(4)]

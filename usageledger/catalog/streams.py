@@ -30,15 +30,27 @@ from usageledger.catalog.tables import (
 from usageledger.functions.records import component_amount, first_meta
 from usageledger.operators.reshape import to_added
 from usageledger.plans import enrichment
+from usageledger.plans.files import names_in
 from usageledger.plans.store import RecordStore
 from usageledger.session import scratch_path
 from usageledger.sources import htcondor, kubernetes, slurm
 from usageledger.streaming import backlog, counts, ingest
 
+
+# Batches that files come in, and files of each, so that tasks write and read them together.
+DROPS, DROP_FILES = 3, 8
+
+
 def _finish(running) -> None:
     running.awaitTermination()
 
 
+def _share(spark, folder: str) -> int:
+    """Files of a batch where the files of a folder come in ``DROPS`` batches."""
+    files = sum(name.startswith("part-") for name in names_in(spark, folder))
+    return max(1, -(-files // DROPS))
+
+
 @query("t1_slurm_ingest", SLURM_SQL)
 def slurm_ingest(spark, sf_dir):
     """Several drops, one per batch, with the lines of a job in any of them; what is
@@ -239,16 +251,16 @@ def store_and_forward(spark, sf_dir):
         "stop_time",
     )
     first, second = scratch_path(spark, "messages"), scratch_path(spark, "messages")
-    update_messages.coalesce(1).write.parquet(first)
-    inserts.coalesce(1).write.mode("append").parquet(first)
-    inserts.unionByName(update_messages).write.parquet(second)
     store = RecordStore(spark, scratch_path(spark, "store"))
-    for folder in (first, second):
-        stream = ingest.parquet_stream(spark, folder, ingest.MESSAGE, files_per_batch=1)
-        _finish(
-            ingest.deliver(
-                stream, store, scratch_path(spark, "pending"), scratch_path(spark, "checkpoint")
-            )
+    pending, checkpoint = scratch_path(spark, "pending"), scratch_path(spark, "checkpoint")
+    for messages in (update_messages, inserts):
+        messages.write.mode("append").parquet(first)
+        _finish(ingest.deliver(ingest.parquet_stream(spark, first, ingest.MESSAGE), store, pending, checkpoint))
+    inserts.unionByName(update_messages).write.parquet(second)
+    stream = ingest.parquet_stream(spark, second, ingest.MESSAGE, files_per_batch=_share(spark, second))
+    _finish(
+        ingest.deliver(
+            stream, store, scratch_path(spark, "pending"), scratch_path(spark, "checkpoint")
         )
     return flat(store.records())
 

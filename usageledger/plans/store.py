@@ -20,7 +20,6 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +54,7 @@ from usageledger.schema import (
     STORED_SEGMENT,
     no_rows,
 )
-from usageledger.session import materialize
+from usageledger.session import materialize, scratch_path
 
 POLICIES = ("error", "ignore_batch", "skip")
 #: Buckets of the id index of a new store.  When the whole index is written again they
@@ -238,14 +237,15 @@ class RecordStore:
         if on_duplicate not in POLICIES:
             raise ValueError(f"unknown policy {on_duplicate!r}; one of {POLICIES}")
         checked = with_reasons(added.select(*RECORD_ADD.fieldNames()))
-        # The batch is read several times: for checks, and to be written.
-        checked.persist(StorageLevel.DISK_ONLY)
-        batch, rejects = split_checked(checked)
+        # The batch is read several times: for checks, mostly of its ids, to be written, and
+        # for the rejects.
+        folder = scratch_path(self.spark, "checked")
         try:
-            if on_invalid == "error":
-                bad = [row["record_id"] for row in rejects.select("record_id").take(5)]
-                if bad:
-                    raise InvalidRecords(f"invalid records, for example {bad}")
+            checked.write.parquet(folder)
+            batch, rejects = split_checked(self.spark.read.schema(checked.schema).parquet(folder))
+            bad = [row["record_id"] for row in rejects.select("record_id").take(5)]
+            if bad and on_invalid == "error":
+                raise InvalidRecords(f"invalid records, for example {bad}")
             if on_duplicate == "skip":
                 self._append(self._new_records(batch), now)
             else:
@@ -255,8 +255,8 @@ class RecordStore:
                 if not collisions:
                     self._append(batch, now)
         finally:
-            checked.unpersist()
-        return rejects
+            return materialize(rejects, "rejects") if bad else no_rows(self.spark, rejects.schema)
+            remove_folder(self.spark, folder)
 
     def bulk_insert(self, added: DataFrame, on_duplicate: str = "error") -> DataFrame:
         return self.add(added, on_duplicate)

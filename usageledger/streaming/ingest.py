@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -235,20 +234,17 @@ def deliver(
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         version = offset + batch_id
-        batch.persist(StorageLevel.DISK_ONLY)
-        try:
-            inserts = batch.where(F.col("kind") == INSERT).drop("kind")
-            rejects = store.add(inserts, on_duplicate="skip", on_invalid="skip")
-            keep_rejects(rejects, checkpoint, batch_id)
-            updates = batch.where(F.col("kind") == UPDATE).select(
-                "record_id", "stop_time", F.lit(version).alias("batch_id")
-            )
-            before = _version_before(store.spark, pending_path, version)
-            if before is not None:
-                updates = updates.unionByName(store.spark.read.parquet(before).select(updates.columns))
-            _apply_updates(updates, store, pending_path, version)
-        finally:
-            batch.unpersist()
+        # The batch is read once for its inserts and once for its updates.
+        inserts = batch.where(F.col("kind") == INSERT).drop("kind")
+        rejects = store.add(inserts, on_duplicate="skip", on_invalid="skip")
+        keep_rejects(rejects, checkpoint, batch_id)
+        updates = batch.where(F.col("kind") == UPDATE).select(
+            "record_id", "stop_time", F.lit(version).alias("batch_id")
+        )
+        before = _version_before(store.spark, pending_path, version)
+        if before is not None:
+            updates = updates.unionByName(store.spark.read.parquet(before).select(updates.columns))
+        _apply_updates(updates, store, pending_path, version)
 
     return start(messages, each_batch, checkpoint, interval)
 
