@@ -4,6 +4,7 @@ import pytest
 from conftest import at, ids
 from pyspark.sql import functions as F
 
+from usageledger.catalog import streams
 from usageledger.plans import enrichment
 from usageledger.plans.store import RecordStore
 from usageledger.schema import RECORD_ADD
@@ -208,3 +209,23 @@ def test_retry_without_new_records(spark, store, tmp_path):
     assert tries() == [1]
     backlog.retry(samples, store, queue, 4000, 1, 60)
     assert tries() == [] and store.get().count() == 1
+
+
+def test_files_of_a_batch_are_several(spark, tmp_path):
+    """Jobs of the drops come in three batches, of as many files as there are tasks to read them."""
+    drops = str(tmp_path / "drops")
+    spark.range(2400).selectExpr("CAST(id AS STRING) value").repartition(streams.DROPS * streams.DROP_FILES).write.text(drops)
+    assert streams._share(spark, drops) == streams.DROP_FILES > 1
+    assert streams._share(spark, str(tmp_path / "nothing")) == 1
+    sizes = []
+    lines = ingest.text_stream(spark, drops, files_per_batch=streams._share(spark, drops))
+    ingest.start(lines, lambda batch, _: sizes.append(batch.count()), str(tmp_path / "checkpoint")).awaitTermination()
+    assert len(sizes) == streams.DROPS and sum(sizes) == 2400
+
+
+def test_waiting_entries_are_not_broadcast(spark):
+    """What was measured for the queue may be as long as the queue."""
+    queue = enrichment.enqueue(spark.createDataFrame([], RECORD_ADD))
+    samples = spark.createDataFrame([], enrichment.SAMPLES)
+    plan = enrichment.fill(queue, samples, 1)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint (strategy=merge)" in plan

@@ -56,11 +56,11 @@ def slurm_ingest(spark, sf_dir):
     """Several drops, one per batch, with the lines of a job in any of them; what is
     still incomplete at the end is flushed.  Then all of them once more."""
     drops = scratch_path(spark, "drops")
-    slurm_lines(spark, sf_dir, pieces=3).write.text(drops)
+    slurm_lines(spark, sf_dir, pieces=DROPS * DROP_FILES).write.text(drops)
     store = RecordStore(spark, scratch_path(spark, "store"))
     pending = scratch_path(spark, "pending")
     for attempt in ("first", "again"):
-        lines = ingest.text_stream(spark, drops, files_per_batch=1)
+        lines = ingest.text_stream(spark, drops, files_per_batch=_share(spark, drops))
         checkpoint = scratch_path(spark, f"checkpoint-{attempt}")
         _finish(ingest.ingest_jobs(lines, DUMP, store, pending, checkpoint))
         ingest.flush_jobs(DUMP, store, pending)
@@ -262,6 +262,7 @@ def store_and_forward(spark, sf_dir):
         ingest.deliver(
             stream, store, scratch_path(spark, "pending"), scratch_path(spark, "checkpoint")
         )
+    )
     return flat(store.records())
 
 

@@ -159,7 +159,8 @@ def _store_jobs(
     ready = (F.col("has_batch") & F.col("has_job")) | (F.col("first") <= due)
     # Written once, read twice: what to store and what waits.
     tried = f"{path}-tried/batch={version}"
-    keyed.join(jobs, "job").select("value", "since", ready.alias("ready")).write.mode("overwrite").parquet(tried)
+    # A job has a few lines, so there are about as many jobs as lines: never broadcast.
+    keyed.join(jobs.hint("merge"), "job").select("value", "since", ready.alias("ready")).write.mode("overwrite").parquet(tried)
     state = spark.read.parquet(tried)
     records = slurm.collect(state.where("ready").select("value"), config)
     rejects = store.add(records, on_duplicate="skip", on_invalid="skip")
