@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from conftest import at, component, record
 from pyspark.sql import functions as F
@@ -109,3 +111,10 @@ def test_settings_are_put_back(spark):
 
 def test_scratch_is_the_named_folder(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_lists_are_built_where_their_rows_are(spark):
+    """Rows are dealt out by component and by record before lists are built of them."""
+    plan = from_flat_tables(to_flat_tables(steady_records(spark, 20)))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(component_id#\d+, \d+\), REPARTITION_BY_COL", plan)
+    assert re.search(r"hashpartitioning\(record_id#\d+, \d+\), REPARTITION_BY_COL", plan)

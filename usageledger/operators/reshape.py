@@ -138,6 +138,8 @@ def _numbered_components(
     return (
         link.union(own)
         .union(score)
+        # Dealt out before lists are built: a list is not sent, and not built twice.
+        .repartition("component_id")
         .groupBy("component_id")
         .agg(
             F.collect_list("record_id").alias("records"),
@@ -203,7 +205,7 @@ def from_flat_tables(tables: dict[str, DataFrame]) -> DataFrame:
         .unionByName(widened(tables["meta"], entry=F.struct("key", "value")))
         .unionByName(widened(numbered, numbered=F.col("numbered")))
     )
-    gathered = rows.groupBy("record_id").agg(
+    gathered = rows.repartition("record_id").groupBy("record_id").agg(
         F.collect_list("times").alias("times"),
         F.array_sort(F.collect_list("entry")).alias("entries"),
         F.collect_list("numbered").alias("numbered"),
