@@ -4,6 +4,7 @@ import pytest
 from conftest import at, component, record
 from pyspark.sql import functions as F
 
+from usageledger.catalog.tables import order_records
 from usageledger.operators.reconcile import reconcile
 from usageledger.operators.reshape import (
     decode_names,
@@ -118,3 +119,26 @@ def test_lists_are_built_where_their_rows_are(spark):
     plan = from_flat_tables(to_flat_tables(steady_records(spark, 20)))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(component_id#\d+, \d+\), REPARTITION_BY_COL", plan)
     assert re.search(r"hashpartitioning\(record_id#\d+, \d+\), REPARTITION_BY_COL", plan)
+
+
+def test_items_of_orders_are_dealt_out_once(spark, tmp_path):
+    """Items without an order belong to no record; the others are sent once."""
+    at_time = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
+    tables = {
+        "lineitem": "SELECT * FROM VALUES (1L, 'F', 'A', 2.0D, 0.02D), (1L, 'F', 'N', 3.0D, 0.04D), (1L, 'O', 'N', 1.0D, 0.05D), "
+        "(CAST(NULL AS BIGINT), 'F', 'R', 9.0D, 0.01D) AS t(l_orderkey, l_linestatus, l_returnflag, l_quantity, l_discount)",
+        "orders": f"SELECT 1L AS o_orderkey, 5L AS o_custkey, {at_time} AS o_orderdate UNION ALL SELECT NULL, 5L, {at_time}",
+        "customer": "SELECT 5L AS c_custkey, 'BUILDING' AS c_mktsegment, 2L AS c_nationkey",
+        "nation": "SELECT 2L AS n_nationkey, 'N2' AS n_name",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    records = order_records(spark, str(tmp_path))
+    assert len(re.findall(r"hashpartitioning\(l_orderkey", records._jdf.queryExecution().executedPlan().toString())) == 1
+    rows = {r["record_id"]: r for r in records.collect()}
+    assert set(rows) == {"order-1", None}
+    assert [(c["name"], c["amount"], round(c["scores"][0]["value"], 6)) for c in rows["order-1"]["components"]] == [
+        ("F", 5, 0.03), ("O", 1, 0.05),
+    ]
+    assert rows["order-1"]["meta"]["flags"] == ["A", "N"] and rows["order-1"]["runtime"] == 6 * 3600
+    assert rows[None]["components"] is None and "flags" not in rows[None]["meta"]
