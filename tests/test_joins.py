@@ -195,6 +195,19 @@ def test_labels_and_pieces_are_not_broadcast(spark):
     )
 
 
+def test_a_pair_of_label_and_value_is_made_by_compiled_code(spark):
+    """Alternatives match each other, so that pairs grow with the square of a day's values: no
+    lambda is interpreted for a pair, and a choice of literals is not tried as a pattern."""
+    texts = ["u95", "u12345|u95", "u12346|u95", "u95|u12345|u95", "u|u9", "", "|", "x|", "very-long-group-a|z", "very-long-group-b",
+             "^u1234[0-4]?$", "u12345", "u1234", "very-long-group-[ab]$", "z", "u95|", "(u95|x)z?"]
+    found = matching_labels(spark.createDataFrame([("d", v) for v in texts], "day string, value string"), "day", "value")
+    join = next(line for line in plan_of(found).splitlines() if "SortMergeJoin" in line)
+    assert "RLIKE" in join and "lambda" not in join and re.search(r"NOT is_pattern#\d+ OR RLIKE", join)
+    assert sorted((r["label"], r["value"]) for r in found.collect()) == sorted(
+        (label, value) for label in texts for value in texts if re.search(label, value)
+    )
+
+
 def test_many_pieces_of_spans_are_not_broadcast(spark):
     """Few spans, but 210,000 hours of them."""
     spans = spark.createDataFrame([("r", "n", "p", at("2000-01-01T00:00:00Z"), at("2024-01-01T00:00:00Z"))], SPANS)
